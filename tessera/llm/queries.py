@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_fingerprints
 from .sharding import op8_sharding
 
 
 def llm_queries() -> dict:
     return {
+        "op3_fingerprints": op3_fingerprints,
         "op8_sharding": op8_sharding,
     }
 
