@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
+from .licenses import op4_licenses
 from .sharding import op8_sharding
 
 
 def llm_queries() -> dict:
     return {
         "op3_fingerprints": op3_fingerprints,
+        "op4_licenses": op4_licenses,
         "op8_sharding": op8_sharding,
     }
 
