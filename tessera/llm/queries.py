@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
 from .licenses import op4_licenses
+from .sentencepiece_codec import op9_sentencepiece
 from .sharding import op8_sharding
 
 
@@ -12,6 +13,7 @@ def llm_queries() -> dict:
         "op3_fingerprints": op3_fingerprints,
         "op4_licenses": op4_licenses,
         "op8_sharding": op8_sharding,
+        "op9_sentencepiece": op9_sentencepiece,
     }
 
 
