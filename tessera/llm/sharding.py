@@ -53,7 +53,10 @@ def proportional_shards(
         F.conv(F.substring(draw, 1, 15), 16, 10).cast("long").alias("draw"),
     )
     counts = rows.groupBy("stratum").agg(F.count("*").alias("n_stratum"))
-    total = counts.agg(F.sum("n_stratum")).first()[0] or 0
+    total, strata = counts.agg(F.sum("n_stratum"), F.count("*")).first()
+    total = total or 0
+    if strata <= MAX_CELLS:  # a join by shuffle would deal the rows out by stratum alone
+        counts = F.broadcast(counts)
 
     per = F.least(F.lit(MAX_CELLS), F.ceil(F.col("n_stratum") / rows_per_cell))
     celled = rows.join(counts, "stratum").withColumn(
