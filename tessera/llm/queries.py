@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
 from .licenses import op4_licenses
 from .sentencepiece_codec import op9_sentencepiece
@@ -10,6 +11,7 @@ from .sharding import op8_sharding
 
 def llm_queries() -> dict:
     return {
+        "op1_decontamination": op1_decontamination,
         "op3_fingerprints": op3_fingerprints,
         "op4_licenses": op4_licenses,
         "op8_sharding": op8_sharding,
