@@ -105,21 +105,22 @@ def _bucket(df: DataFrame, key: str, rows_per_bucket: int):
     )
 
 
-def with_next(df: DataFrame, key: str, cols: list[str], order: list[str], rows_per_bucket: int = 2000) -> DataFrame:
+def with_next(df: DataFrame, key: str, cols: list[str], order: list[str], derive: dict[str, Column], rows_per_bucket: int = 2000) -> DataFrame:
     """Adds next_<col>: the cols of the row after this one by descending key, then descending order cols; the first follows the last.
 
     One shuffle: rows go to order-preserving buckets, and each bucket gets a copy of the first row of the bucket after it.
+    derive: columns made once of each row and copy, before the shuffle.
     """
     rows = df.withColumn("_bucket", _bucket(df, key, rows_per_bucket)).withColumn("_ghost", F.lit(0))
     heads = rows.groupBy("_bucket").agg(F.max(key).alias("_head"))  # at most MAX_CUTS + 2 rows
     w = Window.orderBy("_bucket")
     heads = heads.withColumn("_to", F.coalesce(F.lead("_bucket").over(w), F.min("_bucket").over(Window.partitionBy())))
     tops = rows.join(F.broadcast(heads.select("_head", "_to", F.col("_bucket").alias("_of"))), (F.col(key).eqNullSafe(F.col("_head"))) & (F.col("_bucket") == F.col("_of")))
-    first = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in cols if c not in order]))
+    first = F.max(F.struct(*[F.col(c) for c in order]))
     ghosts = tops.groupBy("_to").agg(first.alias("_x")).select(
-        F.col("_to").alias("_bucket"), F.lit(1).alias("_ghost"), *[F.col(f"_x.{c}").alias(c) for c in dict.fromkeys(order + cols)]
+        F.col("_to").alias("_bucket"), F.lit(1).alias("_ghost"), *[F.col(f"_x.{c}").alias(c) for c in order]
     )
-    both = rows.unionByName(ghosts, allowMissingColumns=True)
+    both = rows.unionByName(ghosts, allowMissingColumns=True).withColumns(derive)
     w = Window.partitionBy("_bucket").orderBy("_ghost", F.col(key).desc_nulls_last(), *[F.col(c).desc() for c in order])
     out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in cols])
     return out.filter("_ghost = 0").drop("_ghost", "_bucket")
@@ -129,7 +130,7 @@ def op3_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Every text, and the text with its last third replaced by the start of the next document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"))), "doc_id", ["text", "fingerprint"], ["text"])
+    rows = with_next(docs, "doc_id", ["text", "fingerprint"], ["text"], {"fingerprint": fingerprint(F.col("text"))})
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     edited = rows.withColumn("n_chars", n.cast("long")).withColumn(
