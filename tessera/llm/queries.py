@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
 from .licenses import op4_licenses
+from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .sharding import op8_sharding
 
@@ -12,6 +13,7 @@ from .sharding import op8_sharding
 def llm_queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_quality": op2_quality,
         "op3_fingerprints": op3_fingerprints,
         "op4_licenses": op4_licenses,
         "op8_sharding": op8_sharding,
