@@ -8,6 +8,7 @@ from .licenses import op4_licenses
 from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .sharding import op8_sharding
+from .warc import op6_warc
 
 
 def llm_queries() -> dict:
@@ -16,6 +17,7 @@ def llm_queries() -> dict:
         "op2_quality": op2_quality,
         "op3_fingerprints": op3_fingerprints,
         "op4_licenses": op4_licenses,
+        "op6_warc": op6_warc,
         "op8_sharding": op8_sharding,
         "op9_sentencepiece": op9_sentencepiece,
     }
