@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
 from .licenses import op4_licenses
+from .pii import op7_pii
 from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .sharding import op8_sharding
@@ -18,6 +19,7 @@ def llm_queries() -> dict:
         "op3_fingerprints": op3_fingerprints,
         "op4_licenses": op4_licenses,
         "op6_warc": op6_warc,
+        "op7_pii": op7_pii,
         "op8_sharding": op8_sharding,
         "op9_sentencepiece": op9_sentencepiece,
     }
