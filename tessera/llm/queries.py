@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
+from .html_extract import op10_html
 from .licenses import op4_licenses
 from .pii import op7_pii
 from .quality import op2_quality
@@ -14,6 +15,7 @@ from .warc import op6_warc
 
 def llm_queries() -> dict:
     return {
+        "op10_html": op10_html,
         "op1_decontamination": op1_decontamination,
         "op2_quality": op2_quality,
         "op3_fingerprints": op3_fingerprints,
