@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
 from .html_extract import op10_html
+from .jaccard_join import op5_jaccard
 from .licenses import op4_licenses
 from .pii import op7_pii
 from .quality import op2_quality
@@ -20,6 +21,7 @@ def llm_queries() -> dict:
         "op2_quality": op2_quality,
         "op3_fingerprints": op3_fingerprints,
         "op4_licenses": op4_licenses,
+        "op5_jaccard": op5_jaccard,
         "op6_warc": op6_warc,
         "op7_pii": op7_pii,
         "op8_sharding": op8_sharding,
