@@ -14,8 +14,16 @@ from .sharding import op8_sharding
 from .warc import op6_warc
 
 
+def pipeline(spark, sf_dir: str):
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op10_html": op10_html,
         "op1_decontamination": op1_decontamination,
         "op2_quality": op2_quality,
