@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocabulary as V
 
@@ -20,7 +21,7 @@ def strip_parens(c: Column) -> Column:
     return F.regexp_replace(c, r"\s*\(.*?\)", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s):  # no JVM expression normalises Unicode
     """NFKC, typographic dashes and Greek letters spelled in ASCII, white space collapsed."""
     import re
