@@ -51,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, kind: str = "part") -> DataFrame:
+    """Cuts lineage with a compressed table in the shared folder; later reads take only the columns they need."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
