@@ -12,7 +12,8 @@ at least 3/4. The result is exact; it names each document's component.
    GROUPS hash groups, packed into an R-tree. The overlap of two sets is at most
    the sum of the coordinate minima of their points (for a node: of a point and
    the node's upper corner), which prunes pairs that cannot reach the
-   threshold; survivors are verified on the sets.
+   threshold. Pairs that are left meet the same bound over FINE groups;
+   survivors are verified on the sets, each pair once.
 4. Links are found in three rounds, so a large group of near-copies costs rows
    in proportion to its members, not their pairs: every member against a few
    pivots of its block; what is still apart, against its best-bounded partners;
@@ -41,18 +42,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut, ship
+from ..plans.runtime import cut, ship, stored
 from .bytewords import Words, chunks, mix
 
 WIDTH = 5
 NUM, DEN = 3, 4  # the threshold
-GROUPS = 16
+GROUPS, FINE = 16, 512
 LEAF = 32
 PIVOTS, BEST = 8, 3
 SLICE = 20_000  # members of a block; larger blocks are cut into pairs of slices
 PARTS = 64  # of the count table
 MAX_BROADCAST = 1_000_000
-DOCS = "doc_id long, n int, h1 long, h2 long, vec binary, part int, counts binary"
+DOCS = "doc_id long, n int, h1 long, h2 long, vec binary, fine binary, part int, counts binary"
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -68,6 +69,13 @@ def point(s: np.ndarray) -> np.ndarray:
     return (-(-counts // step)).astype(np.uint16)
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts of FINE groups as bytes, after the step that they are in; never rounded down."""
+    counts = np.bincount(((s >> np.uint64(20)) % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+    step = 1 + int(counts.max()) // 255 if len(s) else 1
+    return np.uint32(step).tobytes() + (-(-counts // step)).astype(np.uint8).tobytes()
+
+
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     for at, _, raw, offsets in chunks(batch.column(column)):
         for r, s in enumerate(Words(raw, offsets, "space").sets(WIDTH)):
@@ -80,13 +88,13 @@ def _profile(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
     counts = np.zeros(1 << bits, np.int32)
     names = [c.split(" ")[0] for c in DOCS.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
     for batch in batches:
         ids = batch.column(0).to_pylist()
         out, pending, held = [], [], 0
         for row, s in _sets(batch, 1):
             h1, h2 = digest(s) if len(s) else (None, None)
-            out.append((ids[row], len(s), h1, h2, point(s).tobytes(), None, None))
+            out.append((ids[row], len(s), h1, h2, point(s).tobytes(), fine_point(s), None, None))
             pending.append(s)
             held += len(s)
             if held > 1_000_000:
@@ -97,7 +105,7 @@ def _profile(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
     blobs = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(PARTS, -1)]
-    empty = [pa.nulls(PARTS, t) for t in types[:5]]
+    empty = [pa.nulls(PARTS, t) for t in types[:6]]
     yield pa.RecordBatch.from_arrays([*empty, pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
 
@@ -295,6 +303,21 @@ def _blocks_to_pairs(mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield flush()
 
 
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bound over the fine groups reaches the threshold."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sides = []
+        for i in (2, 4):
+            raw = np.frombuffer(b"".join(batch.column(i + 1).to_pylist()), np.uint8).reshape(-1, 4 + FINE)
+            step = raw[:, :4].copy().view(np.uint32).astype(np.int64)
+            sides.append((batch.column(i).to_numpy().astype(np.int64), raw[:, 4:] * step))
+        (na, va), (nb, vb) = sides
+        bound, need = _bounds(va, na, vb, nb)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(bound >= need))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -320,8 +343,11 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that link. Only texts of documents in pairs are shingled again."""
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that link. Only texts of documents that the fine bound leaves are shingled again."""
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    fitting = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "fa", "nb", "fb")
+    pairs = cut(fitting.mapInArrow(_fitting, "a long, b long").distinct())
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(ids), "id", "left_semi")
     sets = cut(texts.mapInArrow(_packed, "id long, set binary"))
@@ -359,13 +385,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = int(min(24, max(16, (4 * docs.count()).bit_length())))
-    profiled = cut(docs.mapInArrow(lambda it: _profile(bits, it), DOCS))
-    rows = profiled.filter("part is null").select("doc_id", "n", "h1", "h2", "vec")
-    reps = cut(
-        rows.filter("n > 0 and doc_id is not null")
-        .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("vec").alias("vec"))
-    )
+    profiled = stored(docs.mapInArrow(lambda it: _profile(bits, it), DOCS), "profile")
+    rows = profiled.filter("part is null").select("doc_id", "n", "h1", "h2")
+    first = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    points = profiled.filter("part is null and n > 0").select(F.col("doc_id").alias("rep"), "h1", "h2", "n", "vec", "fine")
+    reps = stored(first.join(points, ["h1", "h2", "rep"]).dropDuplicates(["h1", "h2"]), "sets")
     counts = spark.sparkContext.broadcast(count_table(profiled, bits))
     prefixes = docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(bits, counts.value, it), "token long, sid long")
     # tokens of at least two sets, and each set once in a block
@@ -379,17 +403,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = F.when(F.col("slices") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
     blocks = cut(sliced.select(key.alias("block"), "rep", "n", "vec").repartition("block").sortWithinPartitions("block", "rep"))
 
-    links, comps = None, None
+    links, comps, tested = None, None, None
     for mode in ("pivots", "best", "rest"):
         rows_in = blocks
         if comps is not None:
             at = small(comps.select(F.col("node").alias("rep"), "comp"))
             rows_in = blocks.join(at, "rep", "left").select("block", "rep", "n", "vec", F.coalesce("comp", "rep").alias("comp"))
             rows_in = rows_in.repartition("block").sortWithinPartitions("block", "rep") if comps.count() > MAX_BROADCAST else rows_in
-        pairs = cut(rows_in.mapInArrow(lambda it, mode=mode: _blocks_to_pairs(mode, it), "a long, b long").distinct())
+        pairs = rows_in.mapInArrow(lambda it, mode=mode: _blocks_to_pairs(mode, it), "a long, b long").distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        new = verified(docs, pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = verified(docs, reps, pairs)
         links = cut(new if links is None else links.unionByName(new).distinct())
         comps = components(links)
     sets = reps.select("h1", "h2", "rep")
