@@ -179,7 +179,7 @@ class CountTree:
         """Members whose overlap with (v, n) can reach the threshold, and their bound over what is needed."""
         nodes = None
         for hi, lo_n, hi_n in reversed(self.levels):
-            at = np.arange(len(hi)) if nodes is None else nodes
+            at = np.arange(len(hi)) if nodes is None else nodes[nodes < len(hi)]
             bound = np.minimum(hi[at], v).sum(1)
             fits = (DEN * lo_n[at] * NUM <= DEN * DEN * n) & (DEN * hi_n[at] >= NUM * n) & ((NUM + DEN) * bound >= NUM * (n + lo_n[at]))
             nodes = (at[fits][:, None] * LEAF + np.arange(LEAF)).ravel()
