@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2000  # of documents that a Python worker holds at once
 PACKAGE_ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -64,8 +65,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, for the operators that run Python there."""
+    """Sends this package to the executors once, for the operators that run Python there, and bounds their batches."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_tessera_shipped", False):
         return
     out = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), f"{PACKAGE_ROOT.name}.zip")
