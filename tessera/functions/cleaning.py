@@ -162,7 +162,7 @@ def coalesce_choice(first: Column, other: Column) -> Column:
 
 def zip_with_default(ids: Column, labels: Column) -> Column:
     """Pairs by position; an id without a label gets its local name."""
-    i, n = F.transform(F.split(ids, ","), F.trim), F.transform(F.split(labels, ","), F.trim)
+    i, n = F.transform(F.split(ids, ","), lambda v: F.trim(v)), F.transform(F.split(labels, ","), lambda v: F.trim(v))
     return F.transform(i, lambda x, k: F.struct(x.alias("id"), F.coalesce(F.get(n, k), local_name(x)).alias("label")))
 
 

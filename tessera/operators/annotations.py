@@ -16,7 +16,7 @@ CONJUNCTIONS = [" and ", " or ", " And ", " Or ", " AND ", " OR "]
 def split_values(c: Column, conjunctions_only: bool = False) -> Column:
     """The values of a cell. Separators are replaced one after the other (an alternation would differ where they overlap); none left gives [null]."""
     marked = reduce(lambda x, s: F.replace(x, F.lit(s), F.lit("|")), CONJUNCTIONS if conjunctions_only else [*CONJUNCTIONS, ",", ";"], c)
-    parts = F.filter(F.transform(F.split(marked, r"\|"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(marked, r"\|"), lambda v: F.trim(v)), lambda x: x != "")
     return F.when(c.isNull() | (F.size(parts) == 0), F.array(F.lit(None).cast("string"))).otherwise(parts)
 
 

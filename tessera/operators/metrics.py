@@ -60,7 +60,7 @@ def accepted(df: DataFrame, accepted_ids: str, pred: str) -> DataFrame:
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, po, pe, kappa of two raters (1 where chance agreement is total)."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    sides = rows.select(F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("v")), F.struct(F.lit("b"), F.col(b)))).alias("x"))
+    sides = rows.select(F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("v")), F.struct(F.lit("b").alias("side"), F.col(b).alias("v")))).alias("x"))
     marginal = sides.groupBy("x.v").agg(F.count_if(F.col("x.side") == "a").alias("na"), F.count_if(F.col("x.side") == "b").alias("nb"))
     total = rows.agg(F.count("*").alias("n"), F.count_if(F.col(a) == F.col(b)).alias("same"))
     chance = marginal.agg(F.sum(F.col("na") * F.col("nb")).alias("chance"))

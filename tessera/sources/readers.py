@@ -88,7 +88,7 @@ def read_records(spark: SparkSession, path: str, database: str = "CLO") -> DataF
     """name, id: of tagged flat records (ID, SY, DR lines; // ends one) that have an id of the database."""
     lines = spark.read.text(path, lineSep="\n//\n").select(F.split("value", "\n").alias("lines"))
     tag = lambda t: F.transform(F.filter("lines", lambda x: x.startswith(f"{t}   ")), lambda x: F.trim(F.substring(x, 6, 1 << 20)))
-    names = F.flatten(F.array(tag("ID"), F.flatten(F.transform(tag("SY"), lambda x: F.transform(F.split(x, ";"), F.trim)))))
+    names = F.flatten(F.array(tag("ID"), F.flatten(F.transform(tag("SY"), lambda x: F.transform(F.split(x, ";"), lambda v: F.trim(v))))))
     ids = F.filter(F.transform(tag("DR"), lambda x: C.canon_search(F.regexp_extract(x, rf"^{database};\s*(\S+)", 1), database)), lambda x: x.isNotNull())
     return lines.select(F.explode(F.filter(names, lambda x: x != "")).alias("name"), ids.alias("ids")).select("name", F.explode("ids").alias("id")).distinct()
 
