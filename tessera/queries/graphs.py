@@ -1,2 +1,173 @@
+"""Graph construction, reasoning and graph queries over a graph of the driver tables.
+
+peptide = part, cargo = supplier, complex = distinct (part, supplier) of lineitem,
+place = nation below region below Place, mechanism = order priority.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vocabulary as V
+from ..operators import shapes
+from ..plans import graph_build as B
+from ..plans import graph_query as Q
+from ..plans import reasoner
+from ..plans.runtime import cut
+from ..plans.runtime import table as T
 from .registry import Registry
+
 REGISTRY = Registry()
+add = REGISTRY.add
+NS = V.DATASET_NS
+R, K = V.RELATIONS, V.CLASSES
+
+PAIRS_SQL = f"""
+pairs as (select distinct l_partkey, l_suppkey, '{NS}c' || l_partkey || '_' || l_suppkey as complex, '{NS}part' || l_partkey as peptide, '{NS}supp' || l_suppkey as cargo, '{NS}nation' || s_nationkey as place
+  from lineitem join supplier on l_suppkey = s_suppkey)"""
+
+
+def pairs(s, d):
+    rows = T(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(F.broadcast(T(s, d, "supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    iri = lambda kind, *c: F.concat(F.lit(NS + kind), *c)
+    return rows.select(
+        "l_partkey", "l_suppkey", iri("c", "l_partkey", F.lit("_"), "l_suppkey").alias("complex"), iri("part", "l_partkey").alias("peptide"), iri("supp", "l_suppkey").alias("cargo"), iri("nation", "s_nationkey").alias("place")
+    )
+
+
+def hierarchy(s, d):
+    """Places: nation below region below Place, with labels."""
+    n, r = T(s, d, "nation"), T(s, d, "region")
+    iri = lambda kind, c: F.concat(F.lit(NS + kind), c)
+    place = f"{NS}Place"
+    up = B.triples_of(n, [B.iri(iri("nation", "n_nationkey"), V.SUB_CLASS_OF, iri("region", "n_regionkey")), B.literal(iri("nation", "n_nationkey"), V.RDFS_LABEL, F.col("n_name"))])
+    top = B.triples_of(r, [B.iri(iri("region", "r_regionkey"), V.SUB_CLASS_OF, place), B.literal(iri("region", "r_regionkey"), V.RDFS_LABEL, F.col("r_name"))])
+    return up.unionByName(top)
+
+
+def located(s, d):
+    """Complexes, each located in its supplier's nation, and the hierarchy."""
+    p = pairs(s, d)
+    x = F.col("complex")
+    return B.triples_of(p, [B.iri(x, V.RDF_TYPE, K["complex"]), *B.some_values(x, "is_located_in", F.col("place"))]).unionByName(hierarchy(s, d))
+
+
+def molecular(s, d):
+    """Peptides, cargo and complexes with their roles, labels and sequences, all but the places."""
+    p = pairs(s, d).withColumn("mechanism", F.array(F.concat(F.lit(f"{NS}mech"), (F.col("l_partkey") % 3).cast("string"))))
+    part, supp = T(s, d, "part"), T(s, d, "supplier")
+    me = F.concat(F.lit(f"{NS}part"), "p_partkey")
+    peptides = B.triples_of(part, [*B.individual(me, K["peptide"], F.col("p_name")), B.literal(me, f"{V.SCHEMA_NS}sequence", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))))])
+    you = F.concat(F.lit(f"{NS}supp"), "s_suppkey")
+    cargo = B.triples_of(supp, B.individual(you, K["cargo"], F.col("s_name")))
+    return B.union([B.complexes(p), peptides, cargo])
+
+
+def experimental(s, d):
+    """Experiments: an order line's complex in a cell line (the order's customer segment), with publications."""
+    l, o = T(s, d, "lineitem"), T(s, d, "orders")  # noqa: E741
+    c = T(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, "o_custkey").filter("l_linenumber = 1")
+    rows = rows.select(
+        F.col("l_orderkey").alias("id"), F.concat(F.lit(f"{NS}c"), "l_partkey", F.lit("_"), "l_suppkey").alias("complex"), F.concat(F.lit(f"{NS}cell_"), "c_mktsegment").alias("cell_line"),
+        F.array(F.concat(F.lit(f"{NS}mech"), (F.col("l_partkey") % 3).cast("string"))).alias("mechanism"), F.array(F.concat(F.lit(f"{NS}loc"), (F.col("l_suppkey") % 4).cast("string"))).alias("location"),
+        F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey").cast("string")).alias("pubmed"), F.concat(F.lit("US "), F.col("o_custkey").cast("string")).alias("patent"),
+    )
+    return rows
+
+
+LOCATED = f"with recursive {PAIRS_SQL}, up as (select '{NS}nation' || n_nationkey a, '{NS}region' || n_regionkey b from nation union all select '{NS}region' || r_regionkey, '{NS}Place' from region), closed as (select a, b from up union select c.a, u.b from closed c join up u on c.b = u.a), labels as (select '{NS}nation' || n_nationkey node, n_name as label from nation union all select '{NS}region' || r_regionkey, r_name from region)"
+
+add("subclass_closure", lambda s, d: reasoner.subclass_closure(hierarchy(s, d)).select("s", "o"), f"{LOCATED} select a s, b o from closed except select a, b from up")
+CYCLE = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")]
+CYCLE_SQL = "with recursive e(child, parent) as (values ('a','b'), ('b','c'), ('c','a'), ('c','d'), ('e','e')), k as (select * from e union select k.child, e.parent from k join e on k.parent = e.child) select * from k"
+add("closure_cycle", lambda s, d: reasoner.closure(s.createDataFrame(CYCLE, "child string, parent string")), CYCLE_SQL)
+add("closure_by_joins", lambda s, d: reasoner.closure_sql_plan(s.createDataFrame(CYCLE, "child string, parent string"), "child", "parent"), CYCLE_SQL)
+add("brand_closure", lambda s, d: reasoner.closure(T(s, d, "part").select(F.col("p_brand").alias("child"), F.col("p_type").alias("parent")).union(T(s, d, "part").select("p_type", F.lit("Any")))), "select distinct p_brand child, p_type parent from part union select distinct p_brand, 'Any' from part union select distinct p_type, 'Any' from part")
+add("unfold_restrictions", lambda s, d: reasoner.unfold_restrictions(located(s, d)).select("s", "p", "o"), f"with {PAIRS_SQL} select complex s, '{R['is_located_in']}' p, place o from pairs")
+
+
+def _types(s, d):
+    g = located(s, d)
+    member = pairs(s, d).select("place").distinct().withColumn("x", F.concat("place", F.lit("/i")))
+    g = g.unionByName(B.triples_of(member, [B.iri(F.col("x"), V.RDF_TYPE, F.col("place"))]))
+    g = g.unionByName(reasoner.subclass_closure(g))
+    return reasoner.propagate_types(g).filter(F.col("s").endswith("/i")).select("s", "o")
+
+
+add("propagate_types", _types, f"{LOCATED} select p.place || '/i' s, c.b o from (select distinct place from pairs) p join closed c on p.place = c.a")
+add(
+    "materialize_stats",
+    lambda s, d: reasoner.materialize(located(s, d))[1],
+    f"{LOCATED} select 'subclass_closure' as rule, count(*) n from (select a, b from closed except select a, b from up) union all select 'unfold_restrictions', count(*) from pairs union all select 'propagate_types', 0",
+)
+add("materialized_size", lambda s, d: reasoner.materialize(located(s, d))[0].agg(F.count("*").alias("n")), f"{LOCATED} select cast((select count(*) from pairs) * 6 + (select count(*) from closed) + (select count(*) from labels) as bigint) n")
+
+# competency queries
+ASIA = f"{NS}region2"
+add("cq3", lambda s, d: Q.located_below(located(s, d), ASIA), f"{LOCATED} select complex, place, label from pairs join (select a from closed where b = '{ASIA}' union select '{ASIA}') t on place = t.a left join labels on place = node")
+add("cq3_by_place", lambda s, d: Q.located_below(located(s, d), ASIA).groupBy("place", "label").agg(F.count("*").alias("n")), f"{LOCATED} select place, label, count(*) n from pairs join (select a from closed where b = '{ASIA}' union select '{ASIA}') t on place = t.a left join labels on place = node group by all")
+
+
+def regulation_pairs(s, d):
+    n = T(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), F.concat(F.lit(f"{NS}gene"), "n_nationkey").alias("agent"), F.concat(F.lit(f"{NS}region"), "n_regionkey").alias("mechanism"), F.col("n_name").alias("label"))
+    return n.withColumn("identifier", F.col("label")).withColumn("pubmed", (F.col("ord") * 10).cast("string")).withColumn("known", F.col("ord") % 5 != 4)
+
+
+REG_SQL = f"reg as (select n_nationkey k, '{NS}gene' || n_nationkey agent, '{NS}gene' || n_nationkey || '_region' as x, n_regionkey r, n_name, '{NS}upreg_process_' || printf('%04d', n_nationkey + 1) as process, 'gene' || n_nationkey || '_region' || n_regionkey rn from nation where n_nationkey % 5 <> 4)"
+add("cq2", lambda s, d: Q.role_chain(B.regulation(regulation_pairs(s, d)).distinct(), K["gene"], K["activator_role"]), f"with {REG_SQL} select agent, '{NS}' || rn || '_activator_role' as role, process, '{NS}region' || r as value, n_name as label from reg")
+add("cq1", lambda s, d: Q.subsumption(B.union([B.complexes(pairs(s, d).withColumn("mechanism", F.array("place"))), hierarchy(s, d)]), "is_realized_in", ASIA), f"{LOCATED}, hit as (select * from pairs where place in (select a from closed where b = '{ASIA}' union select '{ASIA}')) select peptide agent, complex || '_peptide_role' as role, place as value from hit union select cargo, complex || '_cargo_role', place from hit")
+add("regulation_triples", lambda s, d: B.regulation(regulation_pairs(s, d)).distinct().groupBy("p").agg(F.count("*").alias("n")).select(F.col("p"), "n"))
+add("inhibitor_triples", lambda s, d: B.regulation(regulation_pairs(s, d), positive=False).distinct().filter(F.col("p") == R["is_realized_in"]).select("s", "o"), f"with {REG_SQL} select '{NS}' || rn || '_inhibitor_role' s, replace(process, 'upreg', 'downreg') o from reg")
+add("complex_triples", lambda s, d: B.complexes(pairs(s, d).withColumn("mechanism", F.array("place"))).distinct().filter(F.col("p") == R["has_part"]).select("s", "o"), f"with {PAIRS_SQL} select complex s, peptide o from pairs union select complex, cargo from pairs")
+EXP = f"exp as (select distinct l_orderkey id, '{NS}experiment_' || l_orderkey e, '{NS}c' || l_partkey || '_' || l_suppkey as complex, '{NS}cell_' || c_mktsegment cell, '{NS}loc' || l_suppkey % 4 loc, case when o_custkey % 2 = 0 and o_custkey <> 0 then 'http://identifiers.org/pubmed:' || o_custkey else 'US' || o_custkey end doc from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_linenumber = 1)"
+add("experiment_triples", lambda s, d: B.experiments(experimental(s, d)).distinct().filter(F.col("p").isin(R["has_participant"], R["is_described_by"])).select("s", "p", "o"), f"with {EXP} select e s, '{R['has_participant']}' p, complex o from exp union select e, '{R['has_participant']}', cell from exp union select e, '{R['is_described_by']}', doc from exp")
+add("feature_literals", lambda s, d: B.feature_literals(T(s, d, "part").selectExpr("p_partkey", "p_name as Sequence", "case when p_size % 2 = 0 then 'NA' else p_type end as Chirality"), F.concat(F.lit(NS), "p_partkey"), ["Sequence", "Chirality"]).select("s", "p", "o"), f"select '{NS}' || p_partkey s, '{V.SCHEMA_NS}sequence' p, p_name o from part union all select '{NS}' || p_partkey, '{V.SCHEMA_NS}chirality', p_type from part where p_size % 2 <> 0")
+add("class_declarations", lambda s, d: B.classes(T(s, d, "region").select(F.concat(F.lit(f"{V.OBO}GO_"), "r_regionkey").alias("iri"), F.col("r_name").alias("label")), K["mechanism"]).filter(F.col("p").endswith("seeAlso")).select("s", "o"), f"select '{V.OBO}GO_' || r_regionkey s, 'https://amigo.geneontology.org/amigo/term/GO:' || r_regionkey o from region")
+add("ontology_header", lambda s, d: B.ontology_header(s, "graph").filter("o_kind = 'lit'").select("p", "o"), f"select * from (values ('http://purl.org/dc/terms/title','graph'), ('{V.OWL}versionInfo','1.0')) t(p, o)")
+add("edges_export", lambda s, d: pairs(s, d).select(F.col("peptide").alias("subject"), F.col("place").alias("object")).distinct(), f"with {PAIRS_SQL} select distinct peptide subject, place \"object\" from pairs")
+add("namespace_histogram", lambda s, d: B.graph_stats(located(s, d).distinct()), f"{LOCATED} select 'rdf' as namespace, count(*) * 3 n from pairs union all select 'owl', count(*) * 2 from pairs union all select 'rdfs', (select count(*) from up) + (select count(*) from labels)")
+add("node_kinds", lambda s, d: B.node_kinds(located(s, d).distinct()))
+add("association_summary", lambda s, d: B.relation_summary(molecular(s, d), [("complex has part", "complex", "has_part"), ("peptide in complex", "peptide", "is_part_of"), ("peptide role", "peptide", "has_attribute")]), f"with {PAIRS_SQL} select 'complex has part' as association, (select count(*) * 2 from pairs) n union all select 'peptide in complex', count(*) from pairs union all select 'peptide role', count(*) from pairs")
+
+
+def _full(s, d):
+    """The materialized graph of molecules and experiments."""
+    g = B.union([molecular(s, d), B.experiments(experimental(s, d))])
+    return cut(reasoner.materialize(g)[0])
+
+
+add("association_catalogue", lambda s, d: Q.association_counts(_full(s, d)), f"""with {PAIRS_SQL}, {EXP} select 'Positively Regulates' as name, 0::bigint n union all select 'Negatively Regulates', 0 union all select 'Cargo Role: Is Realized In', (select count(*) from pairs) union all select 'Peptide Role: Is Realized In', (select count(*) from pairs)
+union all select 'Complex: Is Participant In', (select count(distinct complex) from exp) union all select 'Cell Line: Is Participant In', 0 union all select 'Delivery Localization', (select count(distinct complex) from exp)""")
+
+# paths and patterns
+add("path_plus", lambda s, d: Q.path_plus(hierarchy(s, d), V.SUB_CLASS_OF), f"{LOCATED} select a, b from closed")
+add("path_star", lambda s, d: Q.path_star(hierarchy(s, d), V.SUB_CLASS_OF, f"{NS}Place"), f"{LOCATED} select a, b from closed where b = '{NS}Place' union select '{NS}Place', '{NS}Place'")
+add("path_seq", lambda s, d: Q.path_seq(molecular(s, d), R["is_part_of"], R["has_part"]), f"with {PAIRS_SQL}, e as (select complex c, peptide m from pairs union select complex, cargo from pairs) select distinct x.m a, y.m b from e x join e y on x.c = y.c")
+add("bgp_join", lambda s, d: Q.bgp(molecular(s, d), ("?c", V.RDF_TYPE, K["complex"]), ("?c", R["has_part"], "?p"), ("?p", V.RDF_TYPE, K["peptide"])), f"with {PAIRS_SQL} select complex c, peptide p from pairs")
+add("optional_join", lambda s, d: Q.pattern(located(s, d), "?x", V.SUB_CLASS_OF, "?up").join(Q.labels(located(s, d)).withColumnRenamed("node", "up"), "up", "left").select("x", "up", "label"), f"{LOCATED} select a x, b up, label from up left join labels on b = node")
+add("union_patterns", lambda s, d: Q.pattern(hierarchy(s, d), "?x", V.SUB_CLASS_OF, f"{NS}region0").unionByName(Q.pattern(hierarchy(s, d), "?x", V.SUB_CLASS_OF, f"{NS}region1")).distinct(), f"{LOCATED} select a x from up where b in ('{NS}region0', '{NS}region1')")
+add("bind_replace", lambda s, d: pairs(s, d).select("place").distinct().select("place", F.concat(F.lit("http://remote/"), F.regexp_replace("place", "^.*/nation", "N_")).alias("remote")), f"with {PAIRS_SQL} select distinct place, 'http://remote/' || regexp_replace(place, '^.*/nation', 'N_') remote from pairs")
+add("federated_values", lambda s, d: Q.federated(pairs(s, d).select("complex", "place").distinct(), T(s, d, "nation").select(F.concat(F.lit(f"{NS}nation"), "n_nationkey").alias("place"), F.col("n_name").alias("name")).filter("n_nationkey < 10"), ["place"]), f"with {PAIRS_SQL} select complex, place, n_name as name from pairs join nation on place = '{NS}nation' || n_nationkey where n_nationkey < 10")
+add("federated_empty", lambda s, d: s.createDataFrame([(Q.federated(pairs(s, d).filter("false"), pairs(s, d), ["place"]) is None,)], "skipped boolean"), "select true skipped")
+
+# services
+add("graph_metrics", lambda s, d: Q.graph_metrics(hierarchy(s, d).distinct()), f"{LOCATED} select (select count(*) from up) + (select count(*) from labels) total_triples, 2::bigint total_predicates, (select count(*) from (select a from up union select b from up union select label from labels)) total_nodes")
+add("class_counts", lambda s, d: Q.class_counts(molecular(s, d).unionByName(hierarchy(s, d)), {"peptide": K["peptide"], "complex": K["complex"], "gene": K["gene"], "place": f"{NS}Place"}, [f"{NS}Place"]), f"with {PAIRS_SQL} select 'peptide' as name, '{K['peptide']}' iri, (select count(*) from part) n union all select 'complex', '{K['complex']}', (select count(*) from pairs) union all select 'gene', '{K['gene']}', 0 union all select 'place', '{NS}Place', (select count(*) from region)")
+add("instance_counts", lambda s, d: Q.instance_counts(molecular(s, d)).filter(F.col("class").isin(K["peptide"], K["cargo"])), f"select '{K['peptide']}' as class, null::varchar as label, count(*) n from part union all select '{K['cargo']}', null, count(*) from supplier")
+add("faceted_search", lambda s, d: Q.faceted_search(_full(s, d), {"sequence": "RING", "mechanism": f"{NS}mech1"}), f"with {PAIRS_SQL} select peptide, p_name as label, upper(replace(p_name, ' ', '')) as sequence from (select distinct peptide, l_partkey from pairs) join part on l_partkey = p_partkey where contains(upper(replace(p_name, ' ', '')), 'RING') and p_partkey % 3 = 1 order by peptide limit 250")
+add("facet_cargo_text", lambda s, d: Q.FACETS["cargo"](molecular(s, d), "Supplier#000000001"), f"with {PAIRS_SQL} select distinct peptide from pairs join supplier on l_suppkey = s_suppkey where contains(lower(s_name), 'supplier#000000001')")
+add("browse_page", lambda s, d: Q.browse(molecular(s, d), K["peptide"], "ring", 2, 20)[0], f"select '{NS}part' || p_partkey as node, p_name as label from part where contains(lower(p_name), 'ring') order by lower(p_name), '{NS}part' || p_partkey limit 20 offset 20")
+add("browse_counts", lambda s, d: Q.browse(molecular(s, d), K["peptide"], "ring", 2, 20)[1], "select count(*) total, greatest(1, cast(ceil(count(*) / 20.0) as bigint)) pages from part where contains(lower(p_name), 'ring')")
+add("autocomplete", lambda s, d: Q.autocomplete(molecular(s, d), K["peptide"], "red"), f"select '{NS}part' || p_partkey as node, p_name as label from part where contains(lower(p_name), 'red') order by lower(p_name), '{NS}part' || p_partkey limit 250")
+add("sitemap", lambda s, d: Q.sitemap(hierarchy(s, d).unionByName(located(s, d)), 100), f"with {PAIRS_SQL} select complex s from pairs order by complex limit 100")
+add("entity_props", lambda s, d: Q.describe(molecular(s, d), f"{NS}part1").select("p", F.size("values").cast("long").alias("n")), f"with {PAIRS_SQL}, x as (select * from pairs where l_partkey = 1) select '{V.RDF_TYPE}' p, 1::bigint n union all select '{V.RDFS_LABEL}', 1 union all select '{V.SCHEMA_NS}sequence', 1 union all select '{R['is_part_of']}', count(*) from x having count(*) > 0 union all select '{R['has_attribute']}', count(*) from x having count(*) > 0")
+add("resolve_entity", lambda s, d: Q.resolve_entity(hierarchy(s, d), "region1").unionByName(Q.resolve_entity(hierarchy(s, d), "https:/example.org/kg/dataset/nope")), f"select '{NS}region1' iri, true known union all select '{NS}nope', false")
+add("neighborhood", lambda s, d: Q.neighbourhood(hierarchy(s, d), f"{NS}region1", 60, 3), f"select * from (select '{NS}region1' s, '{V.SUB_CLASS_OF}' p, '{NS}Place' o, 'out' direction union all select * from (select '{NS}nation' || n_nationkey s, '{V.SUB_CLASS_OF}' p, '{NS}region1' o, 'in' direction from nation where n_regionkey = 1 order by 1 limit 3))")
+add("entity_turtle", lambda s, d: Q.export(hierarchy(s, d), f"{NS}region1"), f"select '<{NS}region1> <{V.SUB_CLASS_OF}> <{NS}Place> .' as value union all select '<{NS}region1> <{V.RDFS_LABEL}> \"' || r_name || '\" .' from region where r_regionkey = 1")
+add("entity_jsonld", lambda s, d: Q.export(hierarchy(s, d), f"{NS}region1", "jsonld"))
+add("query_preview", lambda s, d: s.createDataFrame([("PushedFilters" in Q.preview(T(s, d, "part").filter("p_size = 3")),)], "pushed boolean"), "select true pushed")
+
+# shapes
+add("shape_validate", lambda s, d: shapes.validate(molecular(s, d).filter(~((F.col("p") == R["has_part"]) & F.col("s").endswith("_7") & F.col("o").contains("/supp")))).select("shape", "focus"), f"with {PAIRS_SQL} select 'Complex' shape, complex focus from pairs where l_suppkey % 10 = 7 and cast(l_suppkey as varchar) = '7' union select 'Peptide', '{NS}part' || p_partkey from part where p_partkey not in (select l_partkey from pairs) union select 'Cargo', '{NS}supp' || s_suppkey from supplier where s_suppkey not in (select l_suppkey from pairs)")
+add("shape_summary", lambda s, d: shapes.summary(molecular(s, d)).filter("n > 0").select("shape", "n"), f"with {PAIRS_SQL} select 'Peptide' shape, (select count(*) from part) n union all select 'Cargo', (select count(*) from supplier) union all select 'Complex', (select count(*) from pairs) union all select 'Peptide Role', (select count(*) from pairs) union all select 'Cargo Role', (select count(*) from pairs)")
