@@ -66,7 +66,6 @@ add(
 )
 add("venn2_regions", lambda s, d: M.set_regions(T(s, d, "labels"), {"q": F.col("quality") == 1, "t": F.col("toxic") == 1}), "select quality = 1 q, toxic = 1 t, count(*) n from labels group by all")
 add("quantiles", lambda s, d: M.quantiles(T(s, d, "part"), "p_retailprice", [0.25, 0.5, 0.75, 0.99]), "select quantile_cont(p_retailprice, 0.25) q25, quantile_cont(p_retailprice, 0.5) q50, quantile_cont(p_retailprice, 0.75) q75, quantile_cont(p_retailprice, 0.99) q99 from part")
-charge = C.net_charge(F.upper("p_name"))
 charge_sql = "(length(upper(p_name)) - length(translate(upper(p_name), 'KR', ''))) - (length(upper(p_name)) - length(translate(upper(p_name), 'DE', '')))"
 add("sign_share", lambda s, d: M.sign_share(T(s, d, "part"), C.net_charge(F.upper("p_name"))), f"with t as (select {charge_sql} c from part) select avg(case when c > 0 then 100.0 else 0.0 end)::double positive, avg(case when c < 0 then 100.0 else 0.0 end)::double negative, avg(case when c = 0 then 100.0 else 0.0 end)::double zero from t")
 add("char_composition", lambda s, d: M.char_composition(T(s, d, "part"), C.clean_sequence(F.col("p_name"))), "with t as (select unnest(string_split(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), '')) letter from part) select letter, count(*) n, count(*) / (select count(*) from t where letter <> '') share from t where letter <> '' group by letter")
