@@ -19,7 +19,8 @@ at least 3/4. The result is exact; it names each document's component.
    pivots of its block; what is still apart, against its best-bounded partners;
    at last every surviving pair that still lies in two components. No link
    between different components is left unverified.
-5. Components by repeated contraction of the links to the smallest neighbour.
+5. Components: by one task up to MAX_LINKS links, else by repeated contraction
+   of all links to the smallest neighbour.
 
 A tree alone, without blocks, would compare each document with a share of all
 others, as high-dimensional points hardly separate: that grows with the square.
@@ -53,6 +54,8 @@ PIVOTS, BEST = 8, 3
 SLICE = 20_000  # members of a block; larger blocks are cut into pairs of slices
 PARTS = 64  # of the count table
 MAX_BROADCAST = 1_000_000
+MAX_LINKS = 2_000_000  # that one task joins up
+SPREAD = 500  # members of a block for each task that its tokens' blocks are spread over
 DOCS = "doc_id long, n int, h1 long, h2 long, vec binary, fine binary, part int, counts binary"
 
 
@@ -295,8 +298,10 @@ def _blocks_to_pairs(mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         held = [x[cut_at:] for x in cols]
         if cut_at:
             work([x[:cut_at] for x in cols])
-        if sum(map(len, found)) > 500_000:
-            yield flush()
+        if sum(map(len, found)) > 1_000_000:
+            found[:] = [np.unique(np.concatenate(found), axis=0)]
+            if len(found[0]) > 500_000:
+                yield flush()
     if held is not None and len(held[0]):
         work(held)
     if found:
@@ -345,7 +350,9 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that link. Only texts of documents that the fine bound leaves are shingled again."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    both = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    points = cut(reps.select("rep", "n", "fine").join(small(cut(both)), "rep", "left_semi"))
+    side = lambda x: points.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
     fitting = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "fa", "nb", "fb")
     pairs = cut(fitting.mapInArrow(_fitting, "a long, b long").distinct())
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
@@ -356,8 +363,37 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node reachable. Contracts to the smallest neighbour until no link is left."""
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the links of one task: smallest labels spread, and labels of labels are taken, until nothing changes."""
+    cols = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not cols:
+        return
+    nodes, at = np.unique(np.concatenate([x for ab in cols for x in ab]), return_inverse=True)
+    sizes = [len(a) for a, _ in cols]
+    cuts = np.cumsum([n for n in sizes for _ in (0, 1)])[:-1]
+    parts = np.split(at, cuts)
+    a, b = np.concatenate(parts[::2]), np.concatenate(parts[1::2])
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "comp"])
+
+
+def components(links: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
+    """node, comp: the smallest node reachable.
+
+    Up to max_links links one task joins them up; more are contracted to the smallest neighbour, all together, until no
+    link is left.
+    """
+    if links.count() <= max_links:
+        return cut(links.select("a", "b").coalesce(1).mapInArrow(_joined_up, "node long, comp long"))
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     total = None
     while links.count():
@@ -397,19 +433,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = by_token.filter("lo <> hi").groupBy("token", "sid").agg(F.lit(1).alias("_"))
     members = shared.join(reps.select(F.col("h1").alias("sid"), "rep", "n", "vec"), "sid").select("token", "rep", "n", "vec")
     # blocks beyond SLICE members become blocks of pairs of slices
-    sized = members.withColumn("slices", F.expr(f"cast(ceil(count(*) over (partition by token) / {SLICE}.0) as int)"))
+    sized = members.withColumn("size", F.expr("count(*) over (partition by token)")).withColumn("pivot", F.expr("min(rep) over (partition by token)"))
+    sized = sized.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
     sliced = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     key = F.when(F.col("slices") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-    blocks = cut(sliced.select(key.alias("block"), "rep", "n", "vec").repartition("block").sortWithinPartitions("block", "rep"))
+    # blocks of one group of near-copies share their first member: the same few tasks take them, and name each pair once
+    spread = F.pmod(F.xxhash64(key), F.ceil(F.col("size") / SPREAD))
+    placed = sliced.select(key.alias("block"), "rep", "n", "vec", F.xxhash64("pivot", spread).alias("place"))
+    blocks = cut(placed.repartition("place").sortWithinPartitions("block", "rep"))
 
     links, comps, tested = None, None, None
     for mode in ("pivots", "best", "rest"):
-        rows_in = blocks
+        rows_in = blocks.select("block", "rep", "n", "vec")
         if comps is not None:
             at = small(comps.select(F.col("node").alias("rep"), "comp"))
-            rows_in = blocks.join(at, "rep", "left").select("block", "rep", "n", "vec", F.coalesce("comp", "rep").alias("comp"))
-            rows_in = rows_in.repartition("block").sortWithinPartitions("block", "rep") if comps.count() > MAX_BROADCAST else rows_in
+            joined = blocks.join(at, "rep", "left")
+            if comps.count() > MAX_BROADCAST:
+                joined = joined.repartition("place").sortWithinPartitions("block", "rep")
+            rows_in = joined.select("block", "rep", "n", "vec", F.coalesce("comp", "rep").alias("comp"))
         pairs = rows_in.mapInArrow(lambda it, mode=mode: _blocks_to_pairs(mode, it), "a long, b long").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
