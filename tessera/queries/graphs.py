@@ -15,6 +15,7 @@ from ..plans import graph_query as Q
 from ..plans import reasoner
 from ..plans.runtime import cut
 from ..plans.runtime import table as T
+from ..plans.sparql import sparql
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -171,3 +172,10 @@ add("query_preview", lambda s, d: s.createDataFrame([("PushedFilters" in Q.previ
 # shapes
 add("shape_validate", lambda s, d: shapes.validate(molecular(s, d).filter(~((F.col("p") == R["has_part"]) & F.col("s").endswith("_7") & F.col("o").contains("/supp")))).select("shape", "focus"), f"with {PAIRS_SQL} select 'Complex' shape, complex focus from pairs where l_suppkey % 10 = 7 and cast(l_suppkey as varchar) = '7' union select 'Peptide', '{NS}part' || p_partkey from part where p_partkey not in (select l_partkey from pairs) union select 'Cargo', '{NS}supp' || s_suppkey from supplier where s_suppkey not in (select l_suppkey from pairs)")
 add("shape_summary", lambda s, d: shapes.summary(molecular(s, d)).filter("n > 0").select("shape", "n"), f"with {PAIRS_SQL} select 'Peptide' shape, (select count(*) from part) n union all select 'Cargo', (select count(*) from supplier) union all select 'Complex', (select count(*) from pairs) union all select 'Peptide Role', (select count(*) from pairs) union all select 'Cargo Role', (select count(*) from pairs)")
+
+# SPARQL text
+SUB = V.SUB_CLASS_OF
+LABEL = V.RDFS_LABEL
+add("sparql_path", lambda s, d: sparql(hierarchy(s, d), f"PREFIX r: <http://www.w3.org/2000/01/rdf-schema#> SELECT ?x ?n WHERE {{ ?x r:subClassOf* <{ASIA}> . OPTIONAL {{ ?x r:label ?n }} }} ORDER BY ?x"), f"{LOCATED} select x, label as n from (select a x from closed where b = '{ASIA}' union select '{ASIA}') left join labels on x = node")
+add("sparql_group", lambda s, d: sparql(hierarchy(s, d), f"SELECT ?up (COUNT(DISTINCT ?x) AS ?n) (SAMPLE(?l) AS ?first) WHERE {{ ?x <{SUB}> ?up ; <{LABEL}> ?l . FILTER(CONTAINS(LCASE(?l), 'nation') && ?up != <{NS}region0>) }} GROUP BY ?up ORDER BY DESC(?n) ?up LIMIT 3"), f"{LOCATED} select b up, count(*) n, min(label) as first from up join labels on a = node where contains(lower(label), 'nation') and b <> '{NS}region0' group by b order by n desc, b limit 3")
+add("sparql_union_values", lambda s, d: sparql(hierarchy(s, d), f"SELECT DISTINCT ?x ?r WHERE {{ VALUES ?up {{ <{NS}region1> <{NS}region2> }} {{ ?x <{SUB}> ?up }} UNION {{ ?x <{SUB}>/<{SUB}> ?top . ?x <{SUB}> ?up }} BIND(REPLACE(?x, '^.*/', '') AS ?r) }}"), f"{LOCATED} select distinct a x, regexp_replace(a, '^.*/', '') r from up where b in ('{NS}region1', '{NS}region2')")
