@@ -48,15 +48,15 @@ from .bytewords import Words, chunks, mix
 
 WIDTH = 5
 NUM, DEN = 3, 4  # the threshold
-GROUPS, FINE = 16, 512
+GROUPS, MANY, FINE = 16, 128, 512  # hash groups in small blocks, in large ones, of pairs
 LEAF = 32
-PIVOTS, BEST = 8, 3
+PIVOTS, BEST = 8, 6
 SLICE = 20_000  # members of a block; larger blocks are cut into pairs of slices
 PARTS = 64  # of the count table
 MAX_BROADCAST = 1_000_000
 MAX_LINKS = 2_000_000  # that one task joins up
 SPREAD = 500  # members of a block for each task that its tokens' blocks are spread over
-DOCS = "doc_id long, n int, h1 long, h2 long, vec binary, fine binary, part int, counts binary"
+DOCS = "doc_id long, n int, h1 long, h2 long, vec binary, many binary, fine binary, part int, counts binary"
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -65,20 +65,20 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Group counts, in steps that fit 16 bits and never round down."""
-    counts = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-    step = 1 + len(s) // 65535
-    return (-(-counts // step)).astype(np.uint16)
-
-
-def fine_point(s: np.ndarray) -> bytes:
-    """Counts of FINE groups as bytes, after the step that they are in; never rounded down."""
-    counts = np.bincount(((s >> np.uint64(20)) % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+def point(s: np.ndarray, groups: int) -> bytes:
+    """Group counts as bytes, after the step that they are in (32 bits); never rounded down."""
+    counts = np.bincount(((s >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), minlength=groups)
     step = 1 + int(counts.max()) // 255 if len(s) else 1
     return np.uint32(step).tobytes() + (-(-counts // step)).astype(np.uint8).tobytes()
 
 
+def points(column: pa.Array, groups: int) -> np.ndarray:
+    """The counts of many points of equal size, rounded up to their steps."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 + groups)
+    step = raw[:, :4].copy().view(np.uint32).astype(np.int32)
+    return raw[:, 4:] * step
+
+
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     for at, _, raw, offsets in chunks(batch.column(column)):
         for r, s in enumerate(Words(raw, offsets, "space").sets(WIDTH)):
@@ -91,13 +91,13 @@ def _profile(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
     counts = np.zeros(1 << bits, np.int32)
     names = [c.split(" ")[0] for c in DOCS.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
     for batch in batches:
         ids = batch.column(0).to_pylist()
         out, pending, held = [], [], 0
         for row, s in _sets(batch, 1):
             h1, h2 = digest(s) if len(s) else (None, None)
-            out.append((ids[row], len(s), h1, h2, point(s).tobytes(), fine_point(s), None, None))
+            out.append((ids[row], len(s), h1, h2, point(s, GROUPS), point(s, MANY), point(s, FINE), None, None))
             pending.append(s)
             held += len(s)
             if held > 1_000_000:
@@ -108,7 +108,7 @@ def _profile(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
     blobs = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(PARTS, -1)]
-    empty = [pa.nulls(PARTS, t) for t in types[:6]]
+    empty = [pa.nulls(PARTS, t) for t in types[:7]]
     yield pa.RecordBatch.from_arrays([*empty, pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
 
@@ -274,11 +274,13 @@ def _blocks_to_pairs(mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         key, rep, n, vec, comp = cols
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         lens = np.diff(np.r_[starts, len(key)])
-        keep = lens > 1
-        a, b = _candidates(mode, rep, n, vec, comp, starts[keep], lens[keep])
-        if len(a):
-            x, y = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-            found.append(np.unique(np.stack([x, y], 1)[x != y], axis=0))
+        many = vec[starts, -1] >= 0  # blocks whose points have MANY groups
+        for groups, kind in ((GROUPS, ~many), (MANY, many)):
+            keep = (lens > 1) & kind
+            a, b = _candidates(mode, rep, n, vec[:, :groups], comp, starts[keep], lens[keep])
+            if len(a):
+                x, y = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+                found.append(np.unique(np.stack([x, y], 1)[x != y], axis=0))
 
     def flush():
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -287,10 +289,13 @@ def _blocks_to_pairs(mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
     for batch in batches:
         n = batch.column(2).to_numpy().astype(np.int64)
-        raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int64)
+        few = np.array([len(x) == 4 + GROUPS for x in batch.column(3).to_pylist()], bool)
+        vec = np.full((batch.num_rows, MANY), -1, np.int32)  # -1 where a point has fewer groups
+        vec[few, :GROUPS] = points(batch.column(3).filter(pa.array(few)), GROUPS)
+        vec[~few] = points(batch.column(3).filter(pa.array(~few)), MANY)
         rep = batch.column(1).to_numpy()
         comp = batch.column(4).to_numpy() if batch.num_columns > 4 else rep
-        cols = [batch.column(0).to_numpy(), rep, n, raw * (1 + n // 65535)[:, None], comp]
+        cols = [batch.column(0).to_numpy(), rep, n, vec, comp]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         last = np.flatnonzero(cols[0] != cols[0][-1])
@@ -313,12 +318,7 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sides = []
-        for i in (2, 4):
-            raw = np.frombuffer(b"".join(batch.column(i + 1).to_pylist()), np.uint8).reshape(-1, 4 + FINE)
-            step = raw[:, :4].copy().view(np.uint32).astype(np.int64)
-            sides.append((batch.column(i).to_numpy().astype(np.int64), raw[:, 4:] * step))
-        (na, va), (nb, vb) = sides
+        (na, va), (nb, vb) = ((batch.column(i).to_numpy().astype(np.int64), points(batch.column(i + 1), FINE)) for i in (2, 4))
         bound, need = _bounds(va, na, vb, nb)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(bound >= need))
 
@@ -351,8 +351,8 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that link. Only texts of documents that the fine bound leaves are shingled again."""
     both = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    points = cut(reps.select("rep", "n", "fine").join(small(cut(both)), "rep", "left_semi"))
-    side = lambda x: points.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    paired = cut(reps.select("rep", "n", "fine").join(small(cut(both)), "rep", "left_semi"))
+    side = lambda x: paired.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
     fitting = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "fa", "nb", "fb")
     pairs = cut(fitting.mapInArrow(_fitting, "a long, b long").distinct())
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
@@ -424,14 +424,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     profiled = stored(docs.mapInArrow(lambda it: _profile(bits, it), DOCS), "profile")
     rows = profiled.filter("part is null").select("doc_id", "n", "h1", "h2")
     first = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    points = profiled.filter("part is null and n > 0").select(F.col("doc_id").alias("rep"), "h1", "h2", "n", "vec", "fine")
-    reps = stored(first.join(points, ["h1", "h2", "rep"]).dropDuplicates(["h1", "h2"]), "sets")
+    own = profiled.filter("part is null and n > 0").select(F.col("doc_id").alias("rep"), "h1", "h2", "n", "vec", "many", "fine")
+    reps = stored(first.join(own, ["h1", "h2", "rep"]).dropDuplicates(["h1", "h2"]), "sets")
     counts = spark.sparkContext.broadcast(count_table(profiled, bits))
     prefixes = docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(bits, counts.value, it), "token long, sid long")
     # tokens of at least two sets, and each set once in a block
-    by_token = prefixes.withColumn("lo", F.expr("min(sid) over (partition by token)")).withColumn("hi", F.expr("max(sid) over (partition by token)"))
-    shared = by_token.filter("lo <> hi").groupBy("token", "sid").agg(F.lit(1).alias("_"))
-    members = shared.join(reps.select(F.col("h1").alias("sid"), "rep", "n", "vec"), "sid").select("token", "rep", "n", "vec")
+    by_token = prefixes.withColumn("lo", F.expr("min(sid) over (partition by token)")).withColumn("hi", F.expr("max(sid) over (partition by token)")).withColumn("about", F.expr("count(*) over (partition by token)"))
+    shared = by_token.filter("lo <> hi").groupBy("token", "sid").agg(F.max("about").alias("about"))
+    vec = F.when(F.col("about") > LEAF, F.col("many")).otherwise(F.col("vec")).alias("vec")
+    members = shared.join(reps.select(F.col("h1").alias("sid"), "rep", "n", "vec", "many"), "sid").select("token", "rep", "n", vec)
     # blocks beyond SLICE members become blocks of pairs of slices
     sized = members.withColumn("size", F.expr("count(*) over (partition by token)")).withColumn("pivot", F.expr("min(rep) over (partition by token)"))
     sized = sized.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))

@@ -355,7 +355,7 @@ def test_codec_equals_the_library(spark):
 
 # -- 10
 
-PAGE = '<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style></head><body><nav><ul><li><a href="/{i}">n{i}</a></li></ul></nav><!-- c --><div class="ad">Buy {i}</div><{main}><h1>H{i} &amp; co</h1><p><b>one&nbsp;{i}<br>two<p>three<script>var t="</p>";</script></p><form>f</form><div class="comments">no</div></{main}><footer>&copy; {i}</footer></body></html>'
+PAGE = '<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style></head><body><nav><ul><li><a href="/{i}">n{i}</a></li></ul></nav><!-- c --><div class="ad">Buy {i}</div><{main}><h1>H{i} &amp; co</h1><p><b>one&nbsp;{i}<br>two{i}<p>three{i}<script>var t="</p>";</script></p><form>f</form><div class="comments">no</div></{main}><footer>&copy; {i}</footer></body></html>'
 
 
 def test_extraction(spark):
@@ -365,7 +365,7 @@ def test_extraction(spark):
     rows = html_extract.extract_pages(df).collect()
     got = {r.page_id: r.text for r in rows}
     assert len(rows) == len(pages) and all(r.n_chars == len(r.text) for r in rows)
-    assert all(got[i] == f"H{i} & co one {i} two three" for i in range(12)), got
+    assert all(got[i] == f"H{i} & co one {i} two{i} three{i}" for i in range(12)), got
     assert got[20] == got[21] == "" and got[23] == "m"
     assert got[22].startswith("plain text <b>")
     assert html_extract.extract_pages(df.filter("false")).count() == 0
