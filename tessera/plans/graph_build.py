@@ -82,6 +82,19 @@ def union(graphs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, graphs).distinct()
 
 
+def stored_graph(triples: DataFrame) -> DataFrame:
+    """The distinct triples as a Parquet table by predicate in the shared folder: queries read only the predicates they name.
+
+    Rebalancing gives every predicate as many files as its size needs, so a predicate with most of the triples is split.
+    """
+    from .runtime import fresh_path
+
+    path = fresh_path(triples.sparkSession, "graph")
+    triples.select(*COLUMNS).distinct().hint("rebalance", "p").write.partitionBy("p").parquet(path)
+    schema = "s string, o string, s_kind string, o_kind string, o_lang string, o_dt string, p string"
+    return triples.sparkSession.read.schema(schema).parquet(path).select(*COLUMNS)
+
+
 def classes(terms: DataFrame, parent: str, browser: str = "https://amigo.geneontology.org/amigo/term/") -> DataFrame:
     """Declares terms (iri, label) as subclasses of parent."""
     s = F.col("iri")

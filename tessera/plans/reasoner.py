@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from .graph_build import COLUMNS
+from .graph_build import COLUMNS, stored_graph
 from .runtime import cut
 
 MAX_LOCAL = 200_000  # edges of a hierarchy that is closed on the driver
@@ -96,7 +96,7 @@ def propagate_types(triples: DataFrame) -> DataFrame:
 
 def materialize(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph with what the rules add, in their order, and counts: rule, n."""
-    graph, counts = triples.select(*COLUMNS).distinct(), None
+    graph, counts = stored_graph(triples), None
     for name, rule in (("subclass_closure", subclass_closure), ("unfold_restrictions", unfold_restrictions), ("propagate_types", propagate_types)):
         new = cut(rule(graph))
         row = new.agg(F.lit(name).alias("rule"), F.count("*").alias("n"))

@@ -13,7 +13,6 @@ from ..operators import shapes
 from ..plans import graph_build as B
 from ..plans import graph_query as Q
 from ..plans import reasoner
-from ..plans.runtime import cut
 from ..plans.runtime import table as T
 from ..plans.sparql import sparql
 from .registry import Registry
@@ -135,7 +134,7 @@ add("association_summary", lambda s, d: B.relation_summary(molecular(s, d), [("c
 def _full(s, d):
     """The materialized graph of molecules and experiments."""
     g = B.union([molecular(s, d), B.experiments(experimental(s, d))])
-    return cut(reasoner.materialize(g)[0])
+    return B.stored_graph(reasoner.materialize(g)[0])
 
 
 add("association_catalogue", lambda s, d: Q.association_counts(_full(s, d)), f"""with {PAIRS_SQL}, {EXP} select 'Positively Regulates' as name, 0::bigint n union all select 'Negatively Regulates', 0 union all select 'Cargo Role: Is Realized In', (select count(*) from pairs) union all select 'Peptide Role: Is Realized In', (select count(*) from pairs)

@@ -11,6 +11,7 @@ from ..operators import annotations as A
 from ..plans.graph_build import numbered_pairs
 from ..plans.runtime import table as T
 from ..sources import readers as S
+from ..sources import writers as W
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -117,3 +118,55 @@ add("scan_rdf_xml", lambda s, d: S.read_rdf_xml(s, _file(s, XML, ".owl")).select
 BINDINGS = '{"head":{"vars":["a","b"]},"results":{"bindings":[{"a":{"value":"1"},"b":{"value":"x"}},{"a":{"value":"2"}}]}}'
 add("remote_bindings", lambda s, d: S.sparql_bindings(s, BINDINGS), "select * from (values ('1','x'), ('2',null)) t(a, b)")
 add("service_lookup", lambda s, d: S.lookup(T(s, d, "nation").select(F.col("n_name").alias("term")), lambda t: [t.lower()], cache=s.createDataFrame([("NATION_0", ["cached"])], "term string, ids array<string>")).select("term", F.array_join("ids", ",").alias("ids")), "select n_name term, case when n_name = 'NATION_0' then 'cached' else lower(n_name) end ids from nation")
+
+
+# -- sinks, read back
+
+
+def _written(s, write, kind: str) -> str:
+    from ..plans.runtime import fresh_path
+
+    path = fresh_path(s, kind)
+    write(path)
+    return path
+
+
+def _csv(s, d):
+    path = _written(s, lambda p: W.write_csv(T(s, d, "part").select("p_name", F.concat(F.lit('say "'), "p_brand", F.lit('", ok')).alias("note")), p), "csv")
+    return S.read_csv(s, path, ["p_name", "note"])
+
+
+def _edges(s, d):
+    path = _written(s, lambda p: W.write_edges(T(s, d, "nation").select(F.col("n_name").alias("subject"), F.concat(F.lit("r"), "n_regionkey").alias("object")), p), "edges")
+    return S.read_edges(s, path)
+
+
+def _json(s, d):
+    path = _written(s, lambda p: W.write_json(T(s, d, "part").groupBy("p_type").agg(F.count("*").alias("n")), p), "json")
+    return s.read.json(path, schema="p_type string, n long")
+
+
+def _graph(s, d):
+    none = F.lit(None).cast("string")
+    rows = T(s, d, "nation").select(F.concat(F.lit("http://x/"), "n_nationkey").alias("s"), F.lit("http://x/label").alias("p"), F.concat("n_name", F.lit(' "q"\n')).alias("o"), F.lit("iri").alias("s_kind"), F.lit("lit").alias("o_kind"), F.lit("en").alias("o_lang"), none.alias("o_dt"))
+    path = _written(s, lambda p: W.write_graph(rows, p), "graph")
+    return S.read_ntriples(s, path).select("s", "o", "o_lang")
+
+
+def _cached(s, d):
+    make = lambda: T(s, d, "part").select("p_name").distinct()
+    from ..plans.runtime import shared_dir
+
+    root = f"{shared_dir(s)}/pool"
+    S.cached_by_key(s, root, f"parts of {d}", make)
+    return S.cached_by_key(s, root, f"parts of {d}", make)
+
+
+add("sink_csv", _csv, "select p_name, 'say \"' || p_brand || '\", ok' note from part")
+add("sink_edges", _edges, 'select n_name subject, \'r\' || n_regionkey "object" from nation')
+add("sink_json", _json, "select p_type, count(*) n from part group by p_type")
+add("sink_graph", _graph, "select 'http://x/' || n_nationkey s, n_name || ' \"q\"' || chr(10) o, 'en' o_lang from nation")
+add("pool_cache", _cached, "select distinct p_name from part")
+add("metadata_enrichment", lambda s, d: T(s, d, "supplier").join(T(s, d, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.concat(F.lit("NATION "), "s_nationkey")).alias("label")), "select s_suppkey, coalesce(n_name, 'NATION ' || s_nationkey) as label from supplier left join (select * from nation where n_nationkey < 20) on s_nationkey = n_nationkey")
+add("idempotent_add", lambda s, d: (lambda a, b: a.unionByName(b.join(a, a.columns, "left_anti")))(T(s, d, "labels").select("doc_id").filter("doc_id % 2 = 0"), T(s, d, "labels").select("doc_id")), "select doc_id from labels")
+add("append_strata", lambda s, d: T(s, d, "part").filter("p_size <= 5").select("p_partkey", F.lit("a").alias("band")).unionByName(T(s, d, "part").filter("p_size > 5 and p_size <= 20").select("p_partkey", F.lit("b").alias("band"))), "select p_partkey, case when p_size <= 5 then 'a' else 'b' end band from part where p_size <= 20")
