@@ -24,7 +24,7 @@ def test_routes(service):
     assert (page["total"], page["pages"], len(page["rows"])) == (12, 2, 2)
     assert service.answer("/api/search", body={"filters": {"sequence": "aa"}})["rows"][0][:2] == [f"{V.DATASET_NS}p1", "Peptide 01"]
     assert "Scan" in service.answer("/api/search/preview", body={"filters": {"sequence": "aa"}})["plan"]
-    assert len(service.answer("/api/autocomplete/peptide", {"q": "1"})["rows"]) == 4
+    assert len(service.answer("/api/autocomplete/peptide", {"q": "1"})["rows"]) == 3
     assert service.answer("/api/entity/p1")["iri"] == f"{V.DATASET_NS}p1"
     assert service.answer("/dataset/p1").count("\n") == 3
     assert service.answer("/api/sparql", body={"query": f"SELECT (COUNT(?x) AS ?n) WHERE {{ ?x <{V.RDFS_LABEL}> ?l }}"})["rows"] == [[12]]
