@@ -485,4 +485,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("set_id")

@@ -37,5 +37,29 @@ def llm_queries() -> dict:
     }
 
 
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP1_SQL = rf"""
+with grams as (
+  select id, kind, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) g from (
+    select doc_id id, 'd' kind, regexp_extract_all(lower(text), '{WORDS}') w from documents
+    union all select item_id, 'i', regexp_extract_all(lower(text), '{WORDS}') from benchmark) where len(w) >= 5),
+d as (select distinct id as doc_id, g from grams where kind = 'd'),
+i as (select distinct id as item_id, g from grams where kind = 'i'),
+n as (select item_id, count(*) n_item from i group by item_id),
+c as (select doc_id, item_id, count(*) n_shared from d join i using (g) group by all)
+select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from c join n using (item_id) where n_shared >= 0.75 * n_item"""
+
+OP5_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+m as (select a, min(b) b from r group by a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) as component_id from w left join n on w.doc_id = n.doc_id left join m on w.doc_id = m.a"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": OP1_SQL, "op5_jaccard": OP5_SQL}
