@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import vocabulary as V
+from ..plans.graph_build import dense_number
 
 CONJUNCTIONS = [" and ", " or ", " And ", " Or ", " AND ", " OR "]
 
@@ -72,10 +73,10 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def first_seen_ids(df: DataFrame, value: str, order: list[str], prefix: str, name: str) -> DataFrame:
     """value -> prefix0001, ... by order of first appearance; blank values get none.
 
-    Numbers are dealt out over one sorted run of the distinct values' first places, which is far smaller than the table.
+    Numbers are dealt out by ranges of the first places, so no task sees all values.
     """
     firsts = df.filter(~F.col(value).isNull() & (F.trim(value) != "")).groupBy(value).agg(F.min(F.struct(*order)).alias("_at"))
-    return firsts.select(value, C.padded_id(prefix, F.row_number().over(Window.orderBy("_at"))).alias(name))
+    return dense_number(firsts, ["_at"], "_n").select(value, C.padded_id(prefix, F.col("_n")).alias(name))
 
 
 def add_sequence_ids(df: DataFrame, value: str, order: list[str], prefix: str, name: str) -> DataFrame:
