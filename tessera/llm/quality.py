@@ -164,7 +164,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_fit)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     return fit(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(int))
 
 
