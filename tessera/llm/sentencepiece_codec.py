@@ -33,8 +33,8 @@ SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 NONE = np.int64(1 << 62)
-BATCH_CHARS = 4_000_000
-CACHE_WORDS = 600_000
+BATCH_CHARS = 1_000_000
+CACHE_WORDS = 250_000
 
 
 class Codec:
@@ -269,7 +269,9 @@ def _rows(path: str, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterato
                 ]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             else:
-                cols, names = [pa.array([x.tolist() for x in coded], pa.list_(pa.int64())), pa.array(text)], ["ids", "decoded"]
+                ends = np.r_[0, np.cumsum([len(x) for x in coded])].astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded).astype(np.int64)))
+                cols, names = [ids, pa.array(text, pa.string())], ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), *cols], ["doc_id", *names])
             at = end
 
