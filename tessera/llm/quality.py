@@ -120,7 +120,7 @@ def _documents(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             pairs = np.where(a == b, REPEAT, _bucket(mix(a * _MUL + b)))
             ids, back = np.unique(np.r_[feats, pairs], return_inverse=True)
             w = np.bincount(back, np.r_[weight, np.ones(len(pairs))])
-            out.append((ids, w / w.sum()))
+            out.append((ids.astype(np.int32), (w / w.sum()).astype(np.float32)))
     return out
 
 
