@@ -117,7 +117,14 @@ def regulation_pairs(s, d):
 REG_SQL = f"reg as (select n_nationkey k, '{NS}gene' || n_nationkey agent, '{NS}gene' || n_nationkey || '_region' as x, n_regionkey r, n_name, '{NS}upreg_process_' || printf('%04d', n_nationkey + 1) as process, 'gene' || n_nationkey || '_region' || n_regionkey rn from nation where n_nationkey % 5 <> 4)"
 add("cq2", lambda s, d: Q.role_chain(B.regulation(regulation_pairs(s, d)).distinct(), K["gene"], K["activator_role"]), f"with {REG_SQL} select agent, '{NS}' || rn || '_activator_role' as role, process, '{NS}region' || r as value, n_name as label from reg")
 add("cq1", lambda s, d: Q.subsumption(B.union([B.complexes(pairs(s, d).withColumn("mechanism", F.array("place"))), hierarchy(s, d)]), "is_realized_in", ASIA), f"{LOCATED}, hit as (select * from pairs where place in (select a from closed where b = '{ASIA}' union select '{ASIA}')) select peptide agent, complex || '_peptide_role' as role, place as value from hit union select cargo, complex || '_cargo_role', place from hit")
-add("regulation_triples", lambda s, d: B.regulation(regulation_pairs(s, d)).distinct().groupBy("p").agg(F.count("*").alias("n")).select(F.col("p"), "n"))
+REG_COUNTS = " union all ".join(
+    f"select '{p}' p, (select {n} from c) n"
+    for p, n in [
+        (V.RDF_TYPE, "8 * k + docs"), (V.RDFS_LABEL, "k"), ("http://purl.org/dc/terms/identifier", "k"), (R["has_attribute"], "k"), (R["is_attribute_of"], "k"), (R["is_realized_in"], "k"),
+        (R["realizes"], "k"), (V.ON_PROPERTY, "k"), (V.SOME_VALUES_FROM, "k"), (R["has_evidence"], "docs"),
+    ]
+)
+add("regulation_triples", lambda s, d: B.regulation(regulation_pairs(s, d)).distinct().groupBy("p").agg(F.count("*").alias("n")), f"with c as (select count(*) k, count(*) filter (where n_nationkey > 0) docs from nation where n_nationkey % 5 <> 4) {REG_COUNTS}")
 add("inhibitor_triples", lambda s, d: B.regulation(regulation_pairs(s, d), positive=False).distinct().filter(F.col("p") == R["is_realized_in"]).select("s", "o"), f"with {REG_SQL} select '{NS}' || rn || '_inhibitor_role' s, replace(process, 'upreg', 'downreg') o from reg")
 add("complex_triples", lambda s, d: B.complexes(pairs(s, d).withColumn("mechanism", F.array("place"))).distinct().filter(F.col("p") == R["has_part"]).select("s", "o"), f"with {PAIRS_SQL} select complex s, peptide o from pairs union select complex, cargo from pairs")
 EXP = f"exp as (select distinct l_orderkey id, '{NS}experiment_' || l_orderkey e, '{NS}c' || l_partkey || '_' || l_suppkey as complex, '{NS}cell_' || c_mktsegment cell, '{NS}loc' || l_suppkey % 4 loc, case when o_custkey % 2 = 0 and o_custkey <> 0 then 'http://identifiers.org/pubmed:' || o_custkey else 'US' || o_custkey end doc from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_linenumber = 1)"
@@ -127,7 +134,8 @@ add("class_declarations", lambda s, d: B.classes(T(s, d, "region").select(F.conc
 add("ontology_header", lambda s, d: B.ontology_header(s, "graph").filter("o_kind = 'lit'").select("p", "o"), f"select * from (values ('http://purl.org/dc/terms/title','graph'), ('{V.OWL}versionInfo','1.0')) t(p, o)")
 add("edges_export", lambda s, d: pairs(s, d).select(F.col("peptide").alias("subject"), F.col("place").alias("object")).distinct(), f"with {PAIRS_SQL} select distinct peptide subject, place \"object\" from pairs")
 add("namespace_histogram", lambda s, d: B.graph_stats(located(s, d).distinct()), f"{LOCATED} select 'rdf' as namespace, count(*) * 3 n from pairs union all select 'owl', count(*) * 2 from pairs union all select 'rdfs', (select count(*) from up) + (select count(*) from labels)")
-add("node_kinds", lambda s, d: B.node_kinds(located(s, d).distinct()))
+# beside complexes and places: the class of complexes, owl:Restriction and the relation, which is an object too
+add("node_kinds", lambda s, d: B.node_kinds(located(s, d).distinct()), f"{LOCATED} select 'bnode' kind, count(*) n from pairs union all select 'lit', (select count(distinct label) from labels) union all select 'iri', (select count(*) from pairs) + 3 + (select count(*) from (select a from up union select b from up))")
 add("association_summary", lambda s, d: B.relation_summary(molecular(s, d), [("complex has part", "complex", "has_part"), ("peptide in complex", "peptide", "is_part_of"), ("peptide role", "peptide", "has_attribute")]), f"with {PAIRS_SQL} select 'complex has part' as association, (select count(*) * 2 from pairs) n union all select 'peptide in complex', count(*) from pairs union all select 'peptide role', count(*) from pairs")
 
 

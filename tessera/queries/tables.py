@@ -80,7 +80,7 @@ def _allocation(s, d):
 
 
 add("stratified_sample", _strata)
-add("strata_allocation", _allocation)
+add("strata_allocation", _allocation, "select * from (values ('a', 165::bigint), ('b', 95::bigint), ('c', 30::bigint), ('d', 10::bigint)) t(band, n)")
 
 RECORDS = "ID   A-1\nSY   A1; A 1\nDR   CLO; CLO_0000001\nDR   X; Y\n//\nID   B\nDR   X; Z\n//\nID   C-3\nDR   CLO; CLO_0000003\n//\n"
 OBO = 'format-version: 1.2\n\n[Term]\nid: T:1\nname: top\n\n[Term]\nid: T:2\nname: low thing\nsynonym: "small thing" EXACT []\nis_a: T:1 ! top\n\n[Term]\nid: U:3\nname: other\n'
