@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import cut, ship, stored
@@ -51,7 +51,7 @@ NUM, DEN = 3, 4  # the threshold
 GROUPS, MANY, FINE = 16, 128, 512  # hash groups in small blocks, in large ones, of pairs
 LEAF = 32
 PIVOTS, BEST = 8, 6
-SLICE = 20_000  # members of a block; larger blocks are cut into pairs of slices
+SLICE = 20_000  # members of a block; larger blocks are cut into slices
 PARTS = 64  # of the count table
 MAX_BROADCAST = 1_000_000
 MAX_LINKS = 2_000_000  # that one task joins up
@@ -415,7 +415,26 @@ def components(links: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
     return total
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _block(slice_col: str) -> Column:
+    """The block of a token, or of a slice of it."""
+    return F.when(F.col("slices") == 1, F.col("token")).otherwise(F.xxhash64("token", slice_col))
+
+
+def _visitors(rows: DataFrame) -> DataFrame:
+    """Members of sliced blocks that lie outside the block's largest component, as guests of its other slices.
+
+    Of any two members in different components at least one is outside, so they meet in a slice; members of the largest
+    component, however many, are not copied.
+    """
+    large = rows.filter("slices > 1")
+    counts = large.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    main = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    outside = large.join(main, "token").filter("comp <> main")
+    guests = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).filter("other <> own")
+    return guests.withColumn("block", _block("other")).select(*rows.columns)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_size: int = SLICE) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id (the smallest id with an equal set) of every row."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
@@ -433,16 +452,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = by_token.filter("lo <> hi").groupBy("token", "sid").agg(F.max("about").alias("about"))
     vec = F.when(F.col("about") > LEAF, F.col("many")).otherwise(F.col("vec")).alias("vec")
     members = shared.join(reps.select(F.col("h1").alias("sid"), "rep", "n", "vec", "many"), "sid").select("token", "rep", "n", vec)
-    # blocks beyond SLICE members become blocks of pairs of slices
+    # blocks beyond slice_size members are cut into slices
     sized = members.withColumn("size", F.expr("count(*) over (partition by token)")).withColumn("pivot", F.expr("min(rep) over (partition by token)"))
-    sized = sized.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
-    sliced = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    key = F.when(F.col("slices") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+    sized = sized.withColumn("slices", F.ceil(F.col("size") / slice_size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
     # blocks of one group of near-copies share their first member: the same few tasks take them, and name each pair once
-    spread = F.pmod(F.xxhash64(key), F.ceil(F.col("size") / SPREAD))
-    placed = sliced.select(key.alias("block"), "rep", "n", "vec", F.xxhash64("pivot", spread).alias("place"))
+    spread = F.pmod(F.xxhash64("block"), F.ceil(F.col("size") / SPREAD))
+    placed = sized.withColumn("block", _block("own")).withColumn("place", F.xxhash64("pivot", spread))
+    placed = placed.select("block", "rep", "n", "vec", "place", "token", "slices", "own")
     blocks = cut(placed.repartition("place").sortWithinPartitions("block", "rep"))
+    sliced = not blocks.filter("slices > 1").isEmpty()
 
     links, comps, tested = None, None, None
     for mode in ("pivots", "best", "rest"):
@@ -452,7 +470,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             joined = blocks.join(at, "rep", "left")
             if comps.count() > MAX_BROADCAST:
                 joined = joined.repartition("place").sortWithinPartitions("block", "rep")
-            rows_in = joined.select("block", "rep", "n", "vec", F.coalesce("comp", "rep").alias("comp"))
+            rows_in = joined.select("block", "rep", "n", "vec", F.coalesce("comp", "rep").alias("comp"), "token", "slices", "own")
+            if mode == "rest" and sliced:
+                rows_in = rows_in.unionByName(_visitors(rows_in)).repartition("block").sortWithinPartitions("block", "rep")
+            rows_in = rows_in.select("block", "rep", "n", "vec", "comp")
         pairs = rows_in.mapInArrow(lambda it, mode=mode: _blocks_to_pairs(mode, it), "a long, b long").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():

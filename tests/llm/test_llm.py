@@ -182,7 +182,8 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_near_copies_match_brute_force(spark):
+@pytest.mark.parametrize("slice_size", [7, 20_000])
+def test_near_copies_match_brute_force(spark, slice_size):
     rng = random.Random(5)
     texts = list(EDGES) + ["A B C D E F", "one", "b c"]
     base = [f"w{rng.randrange(400)}" for _ in range(60)]
@@ -195,7 +196,7 @@ def test_near_copies_match_brute_force(spark):
     texts += [" ".join(f"u{k}_{i}" for i in range(rng.choice([3, 12, 40]))) + " " + passage for k in range(40)]
     ids = [100 + (i * 7) % len(texts) for i in range(len(texts))] if len(texts) % 7 else list(range(len(texts)))
     rows = list(zip(ids, texts, strict=True))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(docs(spark, texts, ids)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(docs(spark, texts, ids), slice_size=slice_size).collect()}
     assert got == brute_components(rows)
     kept = jaccard_join.deduplicated(docs(spark, texts, ids))
     assert kept.columns == ["doc_id", "text", "source", "score", "n"]
