@@ -214,7 +214,6 @@ def _candidates(mode: str, rep: np.ndarray, n: np.ndarray, vec: np.ndarray, comp
     """Pairs of row numbers to verify, of runs of rows (blocks) that are sorted by rep."""
     if mode == "pivots":
         lead = np.repeat(starts, lens)
-        place = np.arange(len(lead)) - lead + 0
         place = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
         me = lead + place
         best, who = np.zeros(len(me)), np.full(len(me), -1)
