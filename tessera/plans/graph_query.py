@@ -284,6 +284,3 @@ def association_counts(triples: DataFrame) -> DataFrame:
         out.append(bgp(triples, *p).agg(F.lit(name).alias("name"), F.countDistinct("x").alias("n")))
     return reduce(DataFrame.unionByName, out)
 
-
-def term_filter(c: Column, lang: str) -> Column:
-    return c == lang
