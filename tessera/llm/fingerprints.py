@@ -1,16 +1,18 @@
 """Merkle fingerprints of documents (DataFrame functions only).
 
 A text is a tree: the root has sections of eight paragraphs, a section has
-paragraphs (lines), a paragraph has leaves of eight words (one word in texts of
-under SHORT code points). A leaf is the start of the MD5 of its text; a
-paragraph hashes its whole line, a section its paragraphs, the root its
-sections, so equal roots mean equal texts, and where two trees differ, the
-branches that differ locate the edit.
+paragraphs (lines), a paragraph has leaves. A word's leaf is the start of the
+MD5 of its text; texts of SHORT code points and more print folded leaves, each
+the start of the MD5 of eight words' leaves. A paragraph hashes its whole line,
+a section its paragraphs, the root its sections, so equal roots mean equal
+texts, and where two trees differ, the branches that differ locate the edit.
 
-The fingerprint is the printed tree:
+The fingerprint is the printed tree, marked where its leaves are folded:
     root|section/leaf.leaf,leaf.leaf;section/leaf.leaf
+    root|8|section/leaf.leaf,leaf.leaf;section/leaf.leaf
 Likeness of two fingerprints: 1 where they are equal, else the Dice
-coefficient of their sets of leaves.
+coefficient of their sets of leaves. Where only one of them is folded, the other
+is folded first, so texts on either side of SHORT are compared like with like.
 
 Defined results
 - null text counts as empty; an empty text has a root and no leaves; two empty
@@ -28,17 +30,21 @@ from pyspark.sql import functions as F
 
 SHORT = 256
 PARAGRAPHS = 8
-LEAF = r"(?s)\s*+(?:\S++\s*+){1,8}+|\s++"
+FOLDED = "|8|"
+EIGHT = r"(?<![0-9a-f])[0-9a-f]{8}(?:\.[0-9a-f]{8}){0,7}+(?![0-9a-f])"
 WORD = r"(?s)\s*+\S++\s*+|\s++"
 MAX_CUTS = 4096
 COARSE = 64
 
 
+def _fold(printed: Column) -> Column:
+    """The folded leaves of printed leaves of words, eight at most in each, none over two paragraphs."""
+    return F.transform(F.regexp_extract_all(printed, F.lit(EIGHT), F.lit(0)), lambda x: F.substring(F.md5(x), 1, 8))
+
+
 def _paragraph_leaves(par: Column, short: Column) -> Column:
-    leaves = F.when(short, F.regexp_extract_all(par, F.lit(WORD), F.lit(0))).otherwise(
-        F.regexp_extract_all(par, F.lit(LEAF), F.lit(0))
-    )
-    return F.array_join(F.transform(leaves, lambda x: F.substring(F.md5(x), 1, 8)), ".")
+    words = F.array_join(F.transform(F.regexp_extract_all(par, F.lit(WORD), F.lit(0)), lambda x: F.substring(F.md5(x), 1, 8)), ".")
+    return F.when(short, words).otherwise(F.array_join(_fold(words), "."))
 
 
 def fingerprint(text: Column) -> Column:
@@ -63,7 +69,7 @@ def fingerprint(text: Column) -> Column:
     def printed(secs: Column) -> Column:
         root = F.sha2(F.array_join(F.transform(secs, lambda s: s["h"]), "\n"), 256)
         body = F.transform(secs, lambda s: F.concat(F.substring(s["h"], 1, 16), F.lit("/"), s["l"]))
-        return F.concat(root, F.lit("|"), F.array_join(body, ";"))
+        return F.concat(root, F.when(short, F.lit("|")).otherwise(F.lit(FOLDED)), F.array_join(body, ";"))
 
     return F.element_at(F.transform(F.array(hashed), lambda t: F.element_at(F.transform(F.array(sections(t)), printed), 1)), 1)
 
@@ -75,7 +81,12 @@ def leaves(print_: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; uses nothing but the two fingerprints."""
-    both = F.struct(leaves(a).alias("a"), leaves(b).alias("b"))
+    fold_a, fold_b = F.contains(a, F.lit(FOLDED)), F.contains(b, F.lit(FOLDED))
+
+    def alike(x: Column, fold: Column) -> Column:
+        return F.when(fold, F.array_distinct(_fold(F.substring_index(x, "|", -1)))).otherwise(leaves(x))
+
+    both = F.struct(alike(a, fold_b & ~fold_a).alias("a"), alike(b, fold_a & ~fold_b).alias("b"))
     dice = F.transform(
         F.array(both),
         lambda x: F.coalesce(

@@ -123,6 +123,24 @@ def test_fingerprint_edges(spark):
     assert tree == f"{section[:16]}/{'.'.join(map(leaf, ['p ', 'q ', 'r']))},{'.'.join(map(leaf, ['s ', 't ', 'u']))}"
 
 
+def test_likeness_across_the_short_limit(spark):
+    words = " ".join(f"w{i:03d}" for i in range(80))
+    cut = lambda n: words[:n]
+    pairs = [(cut(303), cut(213)), (cut(257), cut(255)), (cut(213), cut(303)), ("a b c\n" + cut(260), "a b c"), (cut(300), "z " * 50), (cut(300), "")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    df = df.withColumns({"a": fingerprints.fingerprint(F.col("a")), "b": fingerprints.fingerprint(F.col("b"))})
+    got = [r.n for r in df.select("i", fingerprints.likeness(F.col("a"), F.col("b")).alias("n")).orderBy("i").collect()]
+
+    def dice(a, b):  # leaves of eight words a line on both sides
+        h = lambda x: hashlib.md5(x.encode()).hexdigest()[:8]
+        fold = lambda t: {h(".".join(map(h, w[k : k + 8]))) for w in (re.findall(r"\S+\s*", p) for p in t.split("\n")) for k in range(0, len(w), 8)}
+        x, y = fold(a), fold(b)
+        return 2 * len(x & y) / (len(x) + len(y))
+
+    assert got == pytest.approx([dice(a, b) for a, b in pairs])
+    assert got[0] > 0.6 and got[1] > 0.8 and got[0] == got[2] and got[3] > 0 and got[4] == got[5] == 0
+
+
 def test_op3_on_one_and_no_document(spark, tmp_path):
     for texts in (["a b c d"], []):
         path = f"file://{tmp_path}/{len(texts)}"
