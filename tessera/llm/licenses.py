@@ -1,8 +1,9 @@
 """License scans: ordered signature rules (DataFrame functions only).
 
-A text becomes its words, joined by single spaces. A few stems gate the scan;
-for a text that passes, every rule whose keyword occurs is matched, and all
-places of it are detections (word interval, label, priority, confidence).
+A text becomes its words, joined by single spaces. A few stems gate the scan:
+every rule's matches hold one of them. For a text that passes, every rule whose
+keyword occurs is matched (all matches hold it), and all places of it are
+detections (word interval, label, priority, confidence).
 Where intervals overlap by containment, a detection inside one of a better
 priority, or inside a longer one of the same priority, is suppressed.
 
@@ -24,7 +25,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Families: label, keyword that any of the names holds, names, versions (None: no version; the label gets "-<version>").
+# Families: label, keyword (names that lack it are their own keyword), names, versions (none: no version; the label gets "-<version>").
 FAMILIES = [
     ("mit", "mit", ["mit license", "mit licence", "expat license", "mit x11 license"], []),
     ("apache", "apache", ["apache license", "apache software license", "asl"], ["2 0", "1 1", "1 0"]),
@@ -99,14 +100,36 @@ CLAUSES = [
     ("cc0-1.0", "creative commons zero", r"creative commons zero(?: v?1 0)?", 0.9),
     ("all-rights-reserved", "rights reserved", r"all rights reserved", 0.5),
 ]
-STEMS = [" licen", "licen", " gpl", " apache", " cc ", " cc0", " spdx", "public domain", "rights reserved", "permission", "redistribution", "openrail", "unlicense"]
+
+
+def _groups() -> list[tuple[str, str, list[str], list[str]]]:
+    """The families by keyword: every name of a group holds its keyword."""
+    out = []
+    for label, keyword, names, versions in FAMILIES:
+        own = [n for n in names if keyword in n]
+        out += [(label, keyword, own, versions)] if own else []
+        out += [(label, n, [n], versions) for n in names if keyword not in n]
+    return out
+
+
+def stems() -> list[str]:
+    """Whatever a rule matches holds one of these: "licen" where it must, else its keyword."""
+    held = {"spdx", *BASE, *(keyword for _, keyword, _, _ in CLAUSES), *(f"cc {x}" for x in CC), *(f"creative commons {x}" for x in CC_LONG)}
+    held |= {"licen" if all("licen" in n for n in names) else keyword for _, keyword, names, _ in _groups()}
+    held = {"licen" if "licen" in x else x for x in held}
+    return sorted(x for x in held if not any(y != x and y in x for y in held))
 
 
 def rules() -> list[tuple[int, str, str, str, float, bool]]:
     """Ordered: (priority, label, keyword, pattern, confidence, base). Lower priorities win."""
     out = [(0, label, phrase, phrase, 1.0, True) for phrase, label in BASE.items()]
     spdx = "spdx licen[sc]e identifier "
-    for label, keyword, names, versions in FAMILIES:
+    for label, _, _, versions in FAMILIES:
+        for v in versions:
+            out.append((1, f"{label}-{v.replace(' ', '.')}", "spdx", spdx + rf"{label.replace('-', ' ')} {v}(?: only| or later)?", 1.0, False))
+        if not versions:
+            out.append((1, label, "spdx", spdx + label.replace("-", " "), 1.0, False))
+    for label, keyword, names, versions in _groups():
         name = "(?:" + "|".join(names) + ")"
         for v in versions:
             tagged = f"{label}-{v.replace(' ', '.')}"
@@ -114,11 +137,8 @@ def rules() -> list[tuple[int, str, str, str, float, bool]]:
             end = "" if " " in v else r"(?! \d)"
             out.append((2, tagged, keyword, NOTICE + name + tail + end, 0.97, False))
             out.append((3, tagged, keyword, name + tail + end, 0.85, False))
-            out.append((1, tagged, "spdx", spdx + rf"{label.replace('-', ' ')} {v}(?: only| or later)?", 1.0, False))
         out.append((4, label, keyword, NOTICE + name, 0.9, False))
         out.append((5, label, keyword, name, 0.7, False))
-        if not versions:
-            out.append((1, label, "spdx", spdx + label.replace("-", " "), 1.0, False))
     for forms, lead in ((CC, "cc "), (CC_LONG, "creative commons ")):
         for words, label in forms.items():
             for v in CC_VERSIONS:
@@ -177,7 +197,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
     norm = F.col("norm")
     gate = F.lit(False)
-    for stem in STEMS:
+    for stem in stems():
         gate = gate | F.contains(norm, F.lit(stem))
     live = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
     found = F.flatten(F.transform(live, lambda r: _places(norm, r)))

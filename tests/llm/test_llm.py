@@ -177,6 +177,45 @@ def test_rules_compile_and_are_hundreds():
         assert keyword == keyword.lower() and 0 < confidence <= 1
 
 
+def samples(parsed):
+    """Texts that a parsed pattern matches: every alternative and every option, taken and left out, is in one of them."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            one = [chr(arg)]
+        elif op == "IN":
+            one = [chr(c) for _, c in arg]
+        elif op == "BRANCH":
+            one = [t for branch in arg[1] for t in samples(branch)]
+        elif op == "SUBPATTERN":
+            one = samples(arg[3])
+        elif op == "MAX_REPEAT":
+            one = ["", *samples(arg[2])]
+        else:
+            assert op == "ASSERT_NOT"
+            continue
+        n = max(len(out), len(one))
+        out = [out[i % len(out)] + one[i % len(one)] for i in range(n)] + [out[0] + x for x in one]
+    return list(dict.fromkeys(out))
+
+
+def test_every_alternative_of_every_rule_fires_alone(spark):
+    import re._parser as parser
+
+    cases = [(p, label, t) for p, label, _, x, _, _ in licenses.rules() for t in samples(parser.parse(x))]
+    df = spark.createDataFrame([(i, p, label, t) for i, (p, label, t) in enumerate(cases)], "i int, p int, label string, text string").repartition(8)
+    lost = licenses.scan(df).filter(~F.exists("found", lambda d: (d["priority"] == F.col("p")) & (d["label"] == F.col("label"))))
+    assert len(cases) > 1000 and [(r.label, r.text) for r in lost.select("label", "text").collect()] == []
+    assert {n for _, _, names, _ in licenses.FAMILIES for n in names} <= {t for _, _, t in cases}
+
+
+def test_names_without_the_family_keyword(spark):
+    texts = ["licensed under the GNU GPL v3", "released under the GNU LGPL v2.1", "the simplified BSD license", "this software is provided 'as-is', without any express or implied warranty. In no event", "Expat License"]
+    rows = licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [{d.label for d in r.kept} for r in rows] == [{"gpl-3"}, {"lgpl-2.1"}, {"bsd-2-clause"}, {"zlib"}, {"mit"}]
+
+
 # -- 5
 
 
