@@ -1,7 +1,8 @@
 """HTML extraction by equivalence-class template deduction.
 
 Deduction. A page is a sequence of tokens: tags with their place (the path of
-elements above) and the words of short texts. The occurrence vector of a token
+elements above), the words of short texts, longer texts as a whole, and whole
+blocks, whatever their length. The occurrence vector of a token
 over the pages of a host is folded into one number - the exclusive or of a hash
 of (page, occurrences) - together with the numbers of pages and occurrences, so
 vectors of hosts of any size are compared by a plain aggregation that combines
@@ -13,8 +14,10 @@ Extraction. The template's class of tokens that occur once on every page fixes
 the page's slots. The slot of the article (or, where no template token says so,
 the deepest slot that holds most of the host's text outside navigation and the
 like) is read: its blocks, without scripts, navigation, adverts, forms,
-comments and so on, and - outside an article - without words that the template
-itself has. Hosts whose template gives no slot are read by element names alone.
+comments and so on, and - in an article too - without what the template has:
+blocks that every page of the host has in the same place or that have nothing but
+texts of the template, and its longer texts within other blocks. On hosts of fewer than three pages, or where no text varies, none counts as the template's.
+Hosts whose template gives no slot are read by element names alone.
 
 Defined results
 - null and empty pages give empty text; pages without url share a host.
@@ -140,13 +143,38 @@ def events(page: str) -> Iterator[tuple[str, str, str, str]]:
         yield "close", top, "", place
 
 
+def _whole(place: str, text: str, kind: str) -> str:
+    """The token of a whole text or block: two spaces, or three, where a word's has one."""
+    return f"{place} {kind}{xxhash.xxh64_hexdigest(' '.join(text.split()))}"
+
+
+TEXT, BLOCK = " ", "  "
+
+
 def page_tokens(page: str) -> tuple[dict[str, int], dict[str, int]]:
     """Occurrences of the page's tokens, and the characters of text outside boilerplate below each place."""
     counts: dict[str, int] = defaultdict(int)
     mass: dict[str, int] = defaultdict(int)
     skip, depth, main = None, 0, 0
+    run: list[str] = []
+    at, size = "", 0
+
+    def end():
+        nonlocal size
+        text = "".join(run)
+        if text and not text.isspace():
+            block = _whole(at, text, BLOCK)
+            counts[block] += 1
+            mass[block] += size
+        run.clear()
+        size = 0
+
     for kind, what, attrs, place in events(page):
+        if kind != "text" and what not in INLINE and what != "br":
+            end()
         if kind == "open":
+            if what == "br":
+                run.append(" ")
             if what not in INLINE:
                 counts[place] += 1
             depth += 1
@@ -163,8 +191,14 @@ def page_tokens(page: str) -> tuple[dict[str, int], dict[str, int]]:
             if 0 < len(words) <= SHORT_WORDS:
                 for w in words:
                     counts[f"{place} {w}"] += 1
+            elif words:
+                counts[_whole(place, what, TEXT)] += 1
+            run.append(what)
+            at = place
             if skip is None and words:
                 mass[place] += len(what)
+                size += len(what)
+    end()
     return counts, mass
 
 
@@ -215,7 +249,12 @@ class Template:
                 classes[vector, pages, total].append(token)
         self.classes = {k: sorted(v, key=len) for k, v in classes.items() if self._nests(v)}
         once = next((v for (_, p, t), v in self.classes.items() if p == t == self.pages), [])
-        self.words = {tuple(t.split(" ", 1)) for t in once if " " in t} if self.pages > 2 else set()
+        self.words = {tuple(t.split(" ", 1)) for t in once if " " in t}
+        # in any number: a line above and below the article is the template's too
+        fixed = {t: m for t, _, p, _, m in tokens if "   " in t and p == self.pages}
+        self.blocks = set(fixed)
+        if self.pages < 3 or sum(fixed.values()) >= sum(mass.values()):
+            self.words, self.blocks = set(), set()
         slots = [t for t in once if " " not in t]
         self.children = {k: [c for c in self.classes if c != k and self._inside(c, k)] for k in self.classes}
         self.root = None
@@ -229,6 +268,13 @@ class Template:
             if good and self.pages > 1:
                 self.root = max(good, key=lambda t: (t.count(">"), -below[t], t))
 
+    def has(self, place: str, text: str) -> bool:
+        """The text's words, or a longer text as a whole, are once on every page."""
+        words = text.split(None, SHORT_WORDS)
+        if len(words) > SHORT_WORDS:
+            return tuple(_whole(place, text, TEXT).split(" ", 1)) in self.words
+        return all((place, w) in self.words for w in words)
+
     @staticmethod
     def _nests(tokens: list[str]) -> bool:
         """Ordered and nested: all tokens share the place of the highest one's parent."""
@@ -248,15 +294,20 @@ def extract(page: str, template: Template | None = None) -> str:
     if root is not None and not any(k == "open" and p == root for k, _, _, p in found):
         root = None
     named = any(k == "open" and w in MAIN for k, w, _, _ in found)
-    words = template.words if template and not named else ()
+    fixed = template if template and (template.words or template.blocks) else None
     blocks: list[str] = []
     run: list[str] = []
+    whole: list[str] = []  # the block with what is not read of it
+    at, own = "", False  # the block's place; it has text that is not the template's
 
     def end():
+        nonlocal own
         text = " ".join(html.unescape("".join(run)).split())
-        if text:
+        if text and own and not (fixed and _whole(at, "".join(whole), BLOCK) in fixed.blocks):
             blocks.append(text)
+        own = False
         run.clear()
+        whole.clear()
 
     skip, depth, main, inside = None, 0, 0, 0
     for kind, what, attrs, place in found:
@@ -271,6 +322,7 @@ def extract(page: str, template: Template | None = None) -> str:
                 skip = depth
             if what == "br":
                 run.append(" ")
+                whole.append(" ")
                 if place.rpartition(">")[2] != "br":
                     depth -= 1  # a stray end tag: it has no close
         elif kind == "close":
@@ -282,10 +334,14 @@ def extract(page: str, template: Template | None = None) -> str:
                 inside = 0
             depth -= 1
             main -= what in MAIN
-        elif skip is None and (inside if root is not None else main if named else True):
-            if words and len(what.split(None, SHORT_WORDS)) <= SHORT_WORDS and all((place, w) in words for w in what.split()):
-                continue
-            run.append(what)
+        else:
+            whole.append(what)
+            at = place
+            if skip is None and (inside if root is not None else main if named else True):
+                there = fixed is not None and fixed.has(place, what)
+                own = own or not there
+                # short ones may be within a sentence: they go with the whole block
+                run.append(" " if there and len(what.split(None, SHORT_WORDS)) > SHORT_WORDS else what)
     end()
     return " ".join(blocks)
 

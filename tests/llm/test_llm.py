@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,6 +435,29 @@ def test_vectors_group_tokens():
     assert classes[7, 4, 4] == [">a", ">a>b", ">a>b x"] and classes[8, 4, 9] == [">a>c"]
 
 
+HOST = '<html><body><div class="top">Latest</div><{main}><h1>Title {i}</h1><p>Text <b>and</b> more of page {i}, said <i>and</i> done.</p><p>Subscribe to our <b>letter</b> today, it is free of charge</p><p>End {i}</p></{main}><div>We keep small files on your device to make this site work well</div></body></html>'
+
+
+def templates_of(pages):
+    parts = html_extract._statistics([pa.RecordBatch.from_pydict({"i": [i for i, _, _ in pages], "u": [u for _, u, _ in pages], "h": [h for _, _, h in pages]})])
+    return {host: html_extract.Template([tuple(r.values())[1:] for b in parts for r in b.to_pylist() if r["host"] == host]) for host in {html_extract.host_of(u) for _, u, _ in pages}}
+
+
+@pytest.mark.parametrize("main", ["article", "div"])
+def test_template_text_goes_inside_the_slot(main):
+    pages = [(i, f"http://a.x/{i}", HOST.format(i=i, main=main)) for i in range(4)]
+    template = templates_of(pages)["a.x"]
+    for i, _, page in pages:
+        got = html_extract.extract(page, template)
+        assert got == f"Title {i} Text and more of page {i}, said and done. End {i}"
+        template_words, template_blocks = template.words, template.blocks
+        template.words, template.blocks = set(), set()
+        assert "Subscribe to our letter today" in html_extract.extract(page, template)
+        template.words, template.blocks = template_words, template_blocks
+    copies = [(i, "http://b.x/", HOST.format(i=1, main=main)) for i in range(4)]
+    assert "Title 1" in html_extract.extract(copies[0][2], templates_of(copies)["b.x"])
+
+
 # -- pipeline
 
 
