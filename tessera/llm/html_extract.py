@@ -12,7 +12,7 @@ on one chain); valid classes nest into the template by their places.
 
 Extraction. The template's class of tokens that occur once on every page fixes
 the page's slots. The slot of the article (or, where no template token says so,
-the deepest slot that holds most of the host's text outside navigation and the
+the deepest slot that holds all of the host's text outside navigation and the
 like) is read: its blocks, without scripts, navigation, adverts, forms,
 comments and so on, and - in an article too - without what the template has:
 blocks that every page of the host has in the same place or that have nothing but
@@ -56,7 +56,6 @@ HINT = re.compile(
 )
 SHORT_WORDS, MAX_DEPTH = 6, 16
 SUPPORT = 0.5  # of a host's pages
-MOST = 0.6  # of a host's text
 MAX_BROADCAST = 200_000  # template rows
 STATS = "host string, token string, vector long, pages long, total long, mass long"
 
@@ -264,7 +263,7 @@ class Template:
         else:
             whole = sum(mass.values())
             below = {t: sum(m for p, m in mass.items() if p == t or p.startswith(t + ">")) for t in slots}
-            good = [t for t in slots if whole and below[t] >= MOST * whole and not any(_boiler(x.partition(".")[0], f'class="{x.partition(".")[2].replace(".", " ")}"', False) for x in t.split(">")[1:])]
+            good = [t for t in slots if whole and below[t] == whole and not any(_boiler(x.partition(".")[0], f'class="{x.partition(".")[2].replace(".", " ")}"', False) for x in t.split(">")[1:])]
             if good and self.pages > 1:
                 self.root = max(good, key=lambda t: (t.count(">"), -below[t], t))
 

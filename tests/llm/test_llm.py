@@ -458,6 +458,14 @@ def test_template_text_goes_inside_the_slot(main):
     assert "Title 1" in html_extract.extract(copies[0][2], templates_of(copies)["b.x"])
 
 
+def test_sibling_containers_are_all_read():
+    page = '<html><body><nav>n</nav><div class="top"><h1>Title {i}</h1><div class="lead">lead {i} of it</div><div class="text">{body}</div></div><footer>f {i}</footer></body></html>'
+    pages = [(i, f"http://a.x/{i}", page.format(i=i, body=f"body {i} " * 40)) for i in range(4)]
+    template = templates_of(pages)["a.x"]
+    assert template.root == ">html>body>div.top"
+    assert [html_extract.extract(h, template).split(" body")[0] for _, _, h in pages] == [f"Title {i} lead {i} of it" for i in range(4)]
+
+
 # -- pipeline
 
 
