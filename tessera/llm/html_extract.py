@@ -345,6 +345,13 @@ def extract(page: str, template: Template | None = None) -> str:
     return " ".join(blocks)
 
 
+def _hosted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, html and the host that templates go by."""
+    for batch in batches:
+        hosts = pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), hosts], names=["page_id", "url", "html", "host"])
+
+
 def _extracted(templates: dict[str, list] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made: dict[str, Template] = {}
     for batch in batches:
@@ -388,8 +395,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         sent = spark.sparkContext.broadcast(dict(table))
         return rows.mapInArrow(lambda it: _extracted(sent.value, it), out)
     by_host = tokens.groupBy("host").agg(F.collect_list(F.struct("token", "vector", "pages", "total", "mass")).alias("template"))
-    host = F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit(""))
-    joined = rows.withColumn("host", host).join(by_host, "host", "left").select("page_id", "url", "html", "template")
+    hosted = rows.mapInArrow(_hosted, f"page_id long, url string, html {rows.schema['html'].dataType.simpleString()}, host string")
+    joined = hosted.join(by_host, "host", "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(lambda it: _extracted(None, it), out)
 
 

@@ -466,6 +466,16 @@ def test_sibling_containers_are_all_read():
     assert [html_extract.extract(h, template).split(" body")[0] for _, _, h in pages] == [f"Title {i} lead {i} of it" for i in range(4)]
 
 
+def test_joined_templates_go_by_the_same_host(spark, monkeypatch):
+    urls = ["http://under_score.x/{i}", "http://ü.x/{i}", "http://a.x/{i}|b c", "http://A.x/{i}", "{i}"]
+    pages = [(10 * k + i, u.format(i=i), HOST.format(i=i, main="div")) for k, u in enumerate(urls) for i in range(4)]
+    df = spark.createDataFrame([*pages, (99, None, "alone")], "page_id long, url string, html string")
+    sent = html_extract.extract_pages(df).collect()
+    monkeypatch.setattr(html_extract, "MAX_BROADCAST", 0)
+    assert sorted(html_extract.extract_pages(df).collect(), key=lambda r: r.page_id) == sorted(sent, key=lambda r: r.page_id)
+    assert all("Subscribe" not in r.text for r in sent if r.page_id < 40)
+
+
 # -- pipeline
 
 
