@@ -36,7 +36,6 @@ BUCKETS, DIM, NGRAMS = 1 << 16, 16, (2, 3, 4)
 MAX_FIT, EPOCHS, RATE = 6000, 5, 0.6
 CUT = 0.3
 REPEAT = 0  # the bucket of a repeated word
-MAX_WORD = 40  # bytes of a word whose n-grams are read; longer words keep their own bucket
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -44,8 +43,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _word_features(words: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the picked words: their own and their character n-grams; and the number of each."""
-    starts, lens = words.starts[pick], np.minimum(words.ends[pick] - words.starts[pick], MAX_WORD)
+    """Buckets of the picked words: their own and all of their character n-grams; and the number of each."""
+    starts, lens = words.starts[pick], words.ends[pick] - words.starts[pick]
     padded = lens + 2
     at = np.cumsum(padded) - padded
     owner = np.repeat(np.arange(len(pick)), padded)

@@ -94,6 +94,19 @@ def test_quality_edges(spark):
     assert quality.accepted(docs(spark, EDGES), none).columns == ["doc_id", "text", "source", "score", "n"]
 
 
+def test_quality_reads_long_words_whole():
+    same = "日本語の文章" * 5
+    good, bad = [same + "良い品質" * 60 + str(i) for i in range(30)], [same + "広告宣伝" * 60 + str(i) for i in range(30)]
+    model = quality.fit(pa.array(good + bad), np.array([1] * 30 + [0] * 30))
+    a, b = model.score(pa.array([same + "良い品質" * 50, same + "広告宣伝" * 50]))
+    assert a > 0.6 and b < 0.4
+    text = same + "良い品質" * 50
+    words = quality.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), "space", lower=False)
+    _, counts = quality._word_features(words, np.arange(1))
+    n = len(text.encode()) + 2
+    assert counts.tolist() == [1 + sum(n - k + 1 for k in quality.NGRAMS)]
+
+
 # -- 3
 
 
