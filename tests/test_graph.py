@@ -114,3 +114,11 @@ def test_fuzzy_threshold(spark):
     m = spark.createDataFrame([("plate red",), ("green",), ("",)], "mention string")
     got = {r.mention: (r.curie, r.score) for r in linking.link_fuzzy(m, lex).collect()}
     assert got == {"plate red": ("T:1", 0.9474), "green": (None, 0.0), "": (None, 0.0)}
+
+
+@pytest.mark.parametrize("name", ["bfs_context", "context_block"])
+def test_every_nation_is_a_seed(name, spark, sf):
+    from tessera.queries import all_queries
+
+    found = all_queries()[name](spark, sf)
+    assert {r.query_id for r in found.select("query_id").collect()} == {r.n_nationkey for r in spark.read.parquet(f"{sf}/nation.parquet").collect()}
