@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import cleaning as C
-from ..plans.runtime import ship
+from ..plans.runtime import cut, ship
 
 RESULT = ["curie", "label", "score", "match_type", "method"]
 OVERRIDES = ["exact_pref", "exact_syn", "prefix_truncated"]
@@ -213,19 +213,28 @@ def dense_1best(queries: DataFrame, concepts: DataFrame) -> DataFrame:
 def bfs_context(seeds: DataFrame, edges: DataFrame, labels: DataFrame, cap: int = 15) -> DataFrame:
     """query_id, curie, label, relation, place: nodes met from the seeds in order - seed, its parents, children and siblings; at most cap.
 
-    seeds: query_id, rank, curie. Only the seeds' surroundings are gathered: levels are joined as they are needed, and the
-    capped walk runs per query over at most what those levels hold.
+    seeds: query_id, rank, curie. Levels around the seeds are joined one after the other, for those queries alone whose
+    last but one level still leaves the walk short of cap, until none is or nothing new is met; so a walk down a long
+    chain is whole, and a query holds a few levels of at most about cap nodes with 2 * cap neighbours each.
     """
     ship(seeds.sparkSession)
-    parents = edges.groupBy(F.col("child").alias("curie")).agg(F.array_sort(F.collect_set("parent")).alias("parents"))
-    children = edges.groupBy(F.col("parent").alias("curie")).agg(F.slice(F.array_sort(F.collect_set("child")), 1, cap + 1).alias("children"))
-    near = seeds.select("query_id", "rank", "curie", F.lit(0).alias("level"))
-    known = near
-    for level in range(1, 4):
-        up = known.filter(F.col("level") == level - 1).join(parents, "curie").select("query_id", F.explode("parents").alias("curie"))
-        down = known.filter(F.col("level") == level - 1).join(children, "curie").select("query_id", F.explode("children").alias("curie"))
-        known = known.unionByName(up.unionByName(down).distinct().select("query_id", F.lit(None).cast("int").alias("rank"), "curie", F.lit(level).alias("level")))
-    facts = known.join(parents, "curie", "left").join(children, "curie", "left").join(labels, "curie", "left")
+    first = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, cap + 1)  # noqa: E731  more can't be met
+    parents = edges.groupBy(F.col("child").alias("curie")).agg(first("parent").alias("parents"))
+    children = edges.groupBy(F.col("parent").alias("curie")).agg(first("child").alias("children"))
+    near = cut(parents.join(children, "curie", "full_outer"))
+    known = cut(seeds.groupBy("query_id", "curie").agg(F.min("rank").alias("rank")).withColumn("level", F.lit(0)))
+    level = 0
+    while True:
+        level += 1
+        short = known.groupBy("query_id").agg(F.count_if(F.col("level") <= level - 2).alias("n")).filter(F.col("n") < cap).select("query_id")
+        edge = known.filter(F.col("level") == level - 1).join(short, "query_id", "left_semi").join(near, "curie")
+        both = F.concat(F.coalesce("parents", F.array().cast("array<string>")), F.coalesce("children", F.array().cast("array<string>")))
+        met = edge.select("query_id", F.explode(both).alias("curie")).distinct().join(known.select("query_id", "curie"), ["query_id", "curie"], "left_anti")
+        met = cut(met.select("query_id", "curie", F.lit(None).cast("int").alias("rank"), F.lit(level).alias("level")))
+        if met.isEmpty():
+            break
+        known = known.unionByName(met)
+    facts = known.join(near, "curie", "left").join(labels, "curie", "left")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         up = {r.curie: list(r.parents) if r.parents is not None else [] for r in pdf.itertuples()}

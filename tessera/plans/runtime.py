@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,11 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster has none to fall back on."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(spark.sparkContext, "_tessera_shared", None)
         if where is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
             where = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
             spark.sparkContext.setCheckpointDir(where)
             spark.sparkContext._tessera_shared = where

@@ -120,8 +120,21 @@ def seeds(s, d):
     return T(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.lit(0).alias("rank"), F.col("n_name").alias("curie"))
 
 
-add("bfs_context", lambda s, d: L.bfs_context(seeds(s, d), *hierarchy(s, d)))
-add("context_block", lambda s, d: L.context_block(L.bfs_context(seeds(s, d), *hierarchy(s, d), cap=4).withColumn("score", F.when(F.col("relation") == "seed", F.lit(0.5)))))
+#: a nation, its region, the region's other nations, the top, the other regions: the walk's order from a nation
+CONTEXT_SQL = """
+met as (select n_nationkey query_id, 0 step, n_name curie, 'seed' relation from nation
+  union all select n_nationkey, 1, r_name, 'parent' from nation join region on n_regionkey = r_regionkey
+  union all select a.n_nationkey, 2, b.n_name, 'sibling' from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey
+  union all select n_nationkey, 3, 'Place', 'parent' from nation
+  union all select n_nationkey, 4, r_name, 'sibling' from nation join region on n_regionkey <> r_regionkey),
+placed as (select query_id, curie, lower(curie) as label, relation, row_number() over (partition by query_id order by step, curie) - 1 as place from met)"""
+add("bfs_context", lambda s, d: L.bfs_context(seeds(s, d), *hierarchy(s, d)), f"with {CONTEXT_SQL} select * from placed where place < 15")
+add(
+    "context_block",
+    lambda s, d: L.context_block(L.bfs_context(seeds(s, d), *hierarchy(s, d), cap=4).withColumn("score", F.when(F.col("relation") == "seed", F.lit(0.5)))),
+    f"""with {CONTEXT_SQL} select query_id, 'Candidates:' || chr(10) || string_agg('- ' || label || ' (' || curie || ') similarity=0.5000', chr(10) order by place) filter (where place = 0)
+  || chr(10) || 'Related:' || chr(10) || string_agg('- ' || label || ' (' || curie || ')', chr(10) order by place) filter (where place between 1 and 3) as block from placed where place < 4 group by query_id""",
+)
 
 ANSWERS = [("a", "X:1", True), ("b", "X:9", True), ("c", "Z:0", False), ("d", "NONE", False), ("e", None, False)]
 add(

@@ -83,7 +83,7 @@ add("stratified_sample", _strata)
 add("strata_allocation", _allocation, "select * from (values ('a', 165::bigint), ('b', 95::bigint), ('c', 30::bigint), ('d', 10::bigint)) t(band, n)")
 
 RECORDS = "ID   A-1\nSY   A1; A 1\nDR   CLO; CLO_0000001\nDR   X; Y\n//\nID   B\nDR   X; Z\n//\nID   C-3\nDR   CLO; CLO_0000003\n//\n"
-OBO = 'format-version: 1.2\n\n[Term]\nid: T:1\nname: top\n\n[Term]\nid: T:2\nname: low thing\nsynonym: "small thing" EXACT []\nis_a: T:1 ! top\n\n[Term]\nid: U:3\nname: other\n'
+OBO = 'format-version: 1.2\n\n[Term]\nid: T:1\nname: top\n\n[Term]\nid: T:2\nname: low thing\nsynonym: "small thing" EXACT []\nis_a: T:1 ! top\n\n[Term]\nid: U:3\nname: other\n\n[Term]\nid: T:4\nname: last\n\n[Typedef]\nid: part_of\nname: part of\nsynonym: "piece" EXACT []\nis_a: T:1\n'
 NT = '<http://x/a> <http://x/p> "l \\"q\\""@en .\n<http://x/a> <http://x/p> <http://x/b> .\n_:b1 <http://x/q> "5"^^<http://x/int> .\n# c\n<http://x/a> <http://x/p> <http://x/b> .\n'
 TTL = '@prefix x: <http://x/> .\nx:a a x:C ; x:p [ x:q "v"@en ] , x:b .\nx:b x:n 5 .\n'
 EDGES = "http://x/1\thttp://x/2\nhttp://x/3\t\nhttp://x/1\thttp://x/4\n"
@@ -107,7 +107,7 @@ add("scan_csv", lambda s, d: S.read_csv(s, _file(s, CSV, ".csv"), ["Term", "Id",
 add("scan_csv_pruned", lambda s, d: S.read_csv(s, _file(s, CSV, ".csv"), ["Term", "Id", "Note"], prune=["Id"]).select(F.col("Id").alias("id")), "select * from (values ('CHEBI:1'), ('NIL'), (null)) t(id)")
 add("scan_edges", lambda s, d: S.read_edges(s, _file(s, EDGES, ".tsv")), "select * from (values ('http://x/1','http://x/2'), ('http://x/1','http://x/4')) t(subject, object)")
 add("scan_records", lambda s, d: S.read_records(s, _file(s, RECORDS, ".txt")), "select * from (values ('A-1','CLO:0000001'), ('A1','CLO:0000001'), ('A 1','CLO:0000001'), ('C-3','CLO:0000003')) t(name, id)")
-add("scan_obo", lambda s, d: S.read_obo(s, _file(s, OBO, ".obo"), "T").select("curie", "label", F.array_join("synonyms", "|").alias("synonyms"), F.array_join("parents", "|").alias("parents")), "select * from (values ('T:1','top','',''), ('T:2','low thing','small thing','T:1')) t(curie, label, synonyms, parents)")
+add("scan_obo", lambda s, d: S.read_obo(s, _file(s, OBO, ".obo"), "T").select("curie", "label", F.array_join("synonyms", "|").alias("synonyms"), F.array_join("parents", "|").alias("parents")), "select * from (values ('T:1','top','',''), ('T:2','low thing','small thing','T:1'), ('T:4','last','','')) t(curie, label, synonyms, parents)")
 add("scan_ntriples", lambda s, d: S.read_ntriples(s, _file(s, NT, ".nt")).select("s", "p", "o", "s_kind", "o_kind", "o_lang", "o_dt"), "select * from (values ('http://x/a','http://x/p','l \"q\"','iri','lit','en',null), ('http://x/a','http://x/p','http://x/b','iri','iri',null,null), ('_:b1','http://x/q','5','bnode','lit',null,'http://x/int')) t(s,p,o,s_kind,o_kind,o_lang,o_dt)")
 add("scan_turtle", lambda s, d: S.load_graph(s, ["/no/such.ttl", _file(s, TTL, ".ttl")]).select("s", "p", "o", "o_kind"), "select * from (values ('http://x/a','http://www.w3.org/1999/02/22-rdf-syntax-ns#type','http://x/C','iri'), ('_:b1','http://x/q','v','lit'), ('http://x/a','http://x/p','_:b1','bnode'), ('http://x/a','http://x/p','http://x/b','iri'), ('http://x/b','http://x/n','5','lit')) t(s,p,o,o_kind)")
 add("scan_local_names", lambda s, d: S.local_names(s.read.text(_file(s, NT, ".nt")), r"http://x/([a-z]+)>"), "select * from (values ('a'), ('b'), ('p'), ('q'), ('int')) t(name)")

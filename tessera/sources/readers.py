@@ -72,9 +72,11 @@ def read_mechanisms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_obo(spark: SparkSession, path: str, prefix: str | None = None) -> DataFrame:
-    """curie, label, synonyms, parents: a stanza a row, split by the reader itself."""
-    stanza = spark.read.text(path, lineSep="\n[Term]\n").select(F.split("value", "\n").alias("lines")).select(F.filter("lines", lambda x: x.rlike("^[a-z_]+: ")).alias("lines"))
-    value = lambda tag: F.transform(F.filter("lines", lambda x: x.startswith(f"{tag}: ")), lambda x: F.substring(x, len(tag) + 3, 1 << 20))
+    """curie, label, synonyms, parents: a [Term] stanza a row, split by the reader itself; what follows the header of another kind of stanza is not the term's."""
+    parts = spark.read.text(path, lineSep="\n[Term]\n").select(F.regexp_replace("value", r"^\[Term\]\r?\n", "").alias("value"))
+    own = F.get(F.split("value", r"(?:^|\n)\[[^\]\n]*\]\r?(?:\n|$)"), F.lit(0))
+    stanza = parts.select(F.split(own, "\r?\n").alias("lines")).select(F.filter("lines", lambda x: x.rlike("^[a-z_]+: ")).alias("lines"))
+    value = lambda tag: F.transform(F.filter("lines", lambda x: x.startswith(f"{tag}: ")), lambda x: F.substr(x, F.lit(len(tag) + 3)))
     out = stanza.select(
         F.get(value("id"), F.lit(0)).alias("curie"),
         F.get(value("name"), F.lit(0)).alias("label"),
@@ -87,7 +89,7 @@ def read_obo(spark: SparkSession, path: str, prefix: str | None = None) -> DataF
 def read_records(spark: SparkSession, path: str, database: str = "CLO") -> DataFrame:
     """name, id: of tagged flat records (ID, SY, DR lines; // ends one) that have an id of the database."""
     lines = spark.read.text(path, lineSep="\n//\n").select(F.split("value", "\n").alias("lines"))
-    tag = lambda t: F.transform(F.filter("lines", lambda x: x.startswith(f"{t}   ")), lambda x: F.trim(F.substring(x, 6, 1 << 20)))
+    tag = lambda t: F.transform(F.filter("lines", lambda x: x.startswith(f"{t}   ")), lambda x: F.trim(F.substr(x, F.lit(6))))
     names = F.flatten(F.array(tag("ID"), F.flatten(F.transform(tag("SY"), lambda x: F.transform(F.split(x, ";"), lambda v: F.trim(v))))))
     ids = F.filter(F.transform(tag("DR"), lambda x: C.canon_search(F.regexp_extract(x, rf"^{database};\s*(\S+)", 1), database)), lambda x: x.isNotNull())
     return lines.select(F.explode(F.filter(names, lambda x: x != "")).alias("name"), ids.alias("ids")).select("name", F.explode("ids").alias("id")).distinct()

@@ -122,3 +122,51 @@ def test_every_nation_is_a_seed(name, spark, sf):
 
     found = all_queries()[name](spark, sf)
     assert {r.query_id for r in found.select("query_id").collect()} == {r.n_nationkey for r in spark.read.parquet(f"{sf}/nation.parquet").collect()}
+
+
+def walk(seeds, edges, cap):
+    """The capped walk over the whole graph, in one process."""
+    up, down = {}, {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+        down.setdefault(p, set()).add(c)
+    met = {s: "seed" for s in list(dict.fromkeys(seeds))[:cap]}
+    queue = list(met)
+    while queue and len(met) < cap:
+        node = queue.pop(0)
+        steps = [(p, "parent") for p in sorted(up.get(node, ()))] + [(c, "child") for c in sorted(down.get(node, ()))]
+        steps += [(s, "sibling") for p in sorted(up.get(node, ())) for s in sorted(down.get(p, ())) if s != node]
+        for other, relation in steps:
+            if len(met) < cap and other not in met:
+                met[other] = relation
+                if relation != "sibling":
+                    queue.append(other)
+    return list(met.items())
+
+
+@pytest.mark.parametrize("cap", [4, 15])
+def test_context_has_no_depth_limit(spark, cap):
+    import random
+
+    rng = random.Random(cap)
+    edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)]  # a chain
+    edges += [(f"w{i:03d}", "hub") for i in range(200)] + [("hub", "top"), ("other", "top")]  # a wide one
+    edges += list({(f"r{rng.randrange(60):02d}", f"r{rng.randrange(60):02d}") for _ in range(70)})
+    seeds = {0: ["n00"], 1: ["n14"], 2: ["w003"], 3: ["hub", "n29"], 4: ["alone"]} | {10 + i: [f"r{rng.randrange(60):02d}" for _ in range(rng.randrange(1, 4))] for i in range(12)}
+    rows = [(q, k, c) for q, cs in seeds.items() for k, c in enumerate(cs)]
+    names = {c for e in edges for c in e}
+    got = linking.bfs_context(
+        spark.createDataFrame(rows, "query_id long, rank int, curie string"), spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame([(n, n.upper()) for n in names], "curie string, label string"), cap
+    ).collect()
+    for q, cs in seeds.items():
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.place)
+        assert [(r.curie, r.relation) for r in mine] == walk(cs, edges, cap)
+        assert all(r.label == (r.curie.upper() if r.curie in names else None) for r in mine)
+
+
+def test_obo_keeps_to_terms(spark, tmp_path):
+    text = "[Typedef]\nid: rel\nis_a: X:9\n\n[Term]\nid: X:1\nname: one\n\n[Instance]\nid: i\nsynonym: \"no\" EXACT []\n\n[Term]\nid: X:2\nname: two\nis_a: X:1 ! one\n\n[Typedef]\nid: part_of\nis_a: X:7\n"
+    for name, t in (("a", text), ("b", text[text.index("[Term]") :])):
+        (tmp_path / name).write_text(t)
+        got = sorted((r.curie, r.label, r.synonyms, r.parents) for r in readers.read_obo(spark, f"file://{tmp_path}/{name}").collect())
+        assert got == [("X:1", "one", [], []), ("X:2", "two", [], ["X:1"])]
