@@ -8,8 +8,9 @@ enough of the item cannot miss all of its k minima, so no match is lost
 whatever the document's length. Survivors are verified on the words themselves.
 
 Documents are never shuffled. Items are searched in blocks of at most
-BLOCK_BYTES of text; each block is broadcast, so what is broadcast is bounded
-and a larger benchmark takes more passes.
+BLOCK_BYTES of text; one block is broadcast at a time, so what is broadcast is
+bounded and a larger benchmark takes more passes (decontaminated() makes one
+pass with all blocks, 16 MB of item text each).
 
 Defined results
 - words: runs of letters and digits (anything beyond ASCII but punctuation
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import ship
+from ..plans.runtime import ship, stored
 from .bytewords import Words, chunks
 
 WIDTH, THRESHOLD = 5, 0.75
@@ -41,12 +42,12 @@ SCHEMA = "doc_id long, item_id long, n_shared long, n_item long, containment dou
 
 
 def _plain(texts: pa.Array) -> pa.Array:
-    """Lower case; punctuation and spaces beyond ASCII become spaces."""
+    """Lower case; punctuation and spaces beyond ASCII become spaces. Each text by itself: texts of ASCII alone have none."""
     texts = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
-    data = texts.buffers()[2]
-    if data is not None and any(x in memoryview(data).tobytes() for x in (b"\xe2\x80", b"\xe3\x80", b"\xc2")):
-        texts = pc.replace_substring_regex(texts, r"[\p{P}\p{Z}]+", " ")
-    return texts
+    beyond = pc.invert(pc.string_is_ascii(texts))
+    if not pc.any(beyond).as_py():
+        return texts
+    return pc.replace_with_mask(texts, beyond, pc.replace_substring_regex(texts.filter(beyond), r"[\p{P}\p{Z}]+", " "))
 
 
 def minima_needed(size: int, threshold: float = THRESHOLD) -> int:
@@ -155,12 +156,16 @@ def _blocks(items: DataFrame, threshold: float) -> Iterator[Index]:
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and item of which it holds at least threshold: SCHEMA. items: item_id, text."""
     ship(docs.sparkSession)
-    rows, out = docs.select(F.col(id_col).cast("long"), text_col), None
+    rows, out, last = docs.select(F.col(id_col).cast("long"), text_col), None, None
     for index in _blocks(items, threshold):
+        if last is not None:  # another block follows: this one's matches are kept, its index goes before the next comes
+            found, sent = last
+            found = stored(found, "matches")
+            sent.unpersist(blocking=True)
+            out = found if out is None else out.unionByName(found)
         sent = docs.sparkSession.sparkContext.broadcast(index)
-        found = rows.mapInArrow(lambda it, sent=sent: _search(sent.value, it), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+        last = rows.mapInArrow(lambda it, sent=sent: _search(sent.value, it), SCHEMA), sent
+    return last[0] if out is None else out.unionByName(last[0])
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

@@ -38,15 +38,15 @@ def llm_queries() -> dict:
 
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-OP1_SQL = rf"""
-with grams as (
-  select id, kind, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) g from (
-    select doc_id id, 'd' kind, regexp_extract_all(lower(text), '{WORDS}') w from documents
-    union all select item_id, 'i', regexp_extract_all(lower(text), '{WORDS}') from benchmark) where len(w) >= 5),
-d as (select distinct id as doc_id, g from grams where kind = 'd'),
-i as (select distinct id as item_id, g from grams where kind = 'i'),
+PLAIN = r"regexp_extract_all(regexp_replace(lower(text), '[\p{P}\p{Z}]+', ' ', 'g'), '" + WORDS + "')"
+GRAMS = "unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))"
+OP1_SQL = f"""
+with item as (select item_id, w, least(5, len(w)) k from (select item_id, {PLAIN} w from benchmark) where len(w) > 0),
+doc as (select doc_id, k, w from (select doc_id, {PLAIN} w from documents), (select distinct k from item) where len(w) >= k),
+i as (select distinct item_id, k, {GRAMS} g from item),
+d as (select distinct doc_id, k, {GRAMS} g from doc),
 n as (select item_id, count(*) n_item from i group by item_id),
-c as (select doc_id, item_id, count(*) n_shared from d join i using (g) group by all)
+c as (select doc_id, item_id, count(*) n_shared from d join i using (k, g) group by all)
 select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from c join n using (item_id) where n_shared >= 0.75 * n_item"""
 
 OP5_SQL = r"""

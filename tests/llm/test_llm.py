@@ -64,6 +64,19 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.contained_items(docs(spark, texts), item_df.filter("false")).count() == 0
 
 
+def test_a_text_is_read_alike_in_any_batch(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta"
+    marked = ["alpha，beta，gamma、delta；epsilon：zeta", "“alpha” – beta… gamma delta — epsilon zeta", "alpha,beta,gamma,delta,epsilon,zeta", "alphaxbeta gamma delta epsilon zeta"]
+    alone = [decontamination._plain(pa.array([t])).to_pylist()[0] for t in marked]
+    assert decontamination._plain(pa.array(marked)).to_pylist() == alone and decontamination._plain(pa.array([None, *marked])).to_pylist() == ["", *alone]
+    items = spark.createDataFrame([(i, item if i < 3 else f"word{i} " * 6) for i in range(9)], "item_id long, text string")
+    whole = sorted(tuple(r) for r in decontamination.contained_items(docs(spark, marked), items).collect())
+    assert {r[0] for r in whole} == {0, 1, 2} and {r[1] for r in whole} == {0, 1, 2}
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
+    assert sorted(tuple(r) for r in decontamination.contained_items(docs(spark, marked), items).collect()) == whole
+    assert [r.doc_id for r in decontamination.decontaminated(docs(spark, marked), items).collect()] == [3]
+
+
 def test_minima_cannot_all_be_missing():
     for n in range(1, 200):
         allowed = n - int(np.ceil(0.75 * n))
