@@ -51,11 +51,11 @@ NUM, DEN = 3, 4  # the threshold
 GROUPS, MANY, FINE = 16, 128, 512  # hash groups in small blocks, in large ones, of pairs
 LEAF = 32
 PIVOTS, BEST = 8, 6
-SLICE = 20_000  # members of a block; larger blocks are cut into slices
+SLICE = 2000  # members of a block; larger blocks are cut into slices
+HOT = 16_384  # documents of a token for each part that its rows are dealt to
 PARTS = 64  # of the count table
 MAX_BROADCAST = 1_000_000
 MAX_LINKS = 2_000_000  # that one task joins up
-SPREAD = 500  # members of a block for each task that its tokens' blocks are spread over
 DOCS = "doc_id long, n int, h1 long, h2 long, vec binary, many binary, fine binary, part int, counts binary"
 
 
@@ -141,11 +141,14 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _prefixes(bits: int, counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, sid: the rarest shingles of each set; copies that one task meets come once."""
+def _prefixes(bits: int, counts: np.ndarray, hot: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, sid, part: the rarest shingles of each set; copies that one task meets come once.
+
+    part deals out the sets of a token that very many documents have (from 1); it is 0 where there is nothing to deal out.
+    """
     seen: set = set()
     for batch in batches:
-        tokens, sids = [], []
+        tokens, sids, parts = [], [], []
         for _, s in _sets(batch, 0):
             if not len(s):
                 continue
@@ -160,9 +163,11 @@ def _prefixes(bits: int, counts: np.ndarray, batches: Iterator[pa.RecordBatch])
             at = np.lexsort((s, own))[:k]
             tokens.append(s[at])
             sids.append(np.full(k, key[0]))
+            many = own[at] // hot
+            parts.append(np.where(many > 0, 1 + (key[0] & 0x7FFFFFFF) % (many + 1), 0))
         if tokens:
-            cols = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids))]
-            yield pa.RecordBatch.from_arrays(cols, names=["token", "sid"])
+            cols = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(parts).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["token", "sid", "part"])
 
 
 class CountTree:
@@ -211,7 +216,7 @@ def _small_pairs(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _candidates(mode: str, rep: np.ndarray, n: np.ndarray, vec: np.ndarray, comp: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers to verify, of runs of rows (blocks) that are sorted by rep."""
+    """Pairs of row numbers to verify, of runs of rows (blocks); in mode pivots, the first rows of a run are its pivots."""
     if mode == "pivots":
         lead = np.repeat(starts, lens)
         place = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
@@ -265,7 +270,7 @@ def _candidates(mode: str, rep: np.ndarray, n: np.ndarray, vec: np.ndarray, comp
 
 
 def _blocks_to_pairs(mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b: pairs to verify, of rows (block, rep, n, vec[, comp]) sorted by block and rep; each pair once per flush."""
+    """a, b: pairs to verify, of rows (block, rep, n, vec, comp) in which blocks lie together, their pivots first; each pair once per flush."""
     held = None
     found: list[np.ndarray] = []
 
@@ -293,7 +298,7 @@ def _blocks_to_pairs(mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         vec[few, :GROUPS] = points(batch.column(3).filter(pa.array(few)), GROUPS)
         vec[~few] = points(batch.column(3).filter(pa.array(~few)), MANY)
         rep = batch.column(1).to_numpy()
-        comp = batch.column(4).to_numpy() if batch.num_columns > 4 else rep
+        comp = batch.column(4).to_numpy()
         cols = [batch.column(0).to_numpy(), rep, n, vec, comp]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
@@ -323,10 +328,18 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, set: the sets of texts; copies that one task meets come once."""
+    seen: set = set()
     for batch in batches:
-        ids = batch.column(0)
-        sets = [s.tobytes() for _, s in _sets(batch, 1)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["id", "set"])
+        out = {}
+        for _, s in _sets(batch, 0):
+            key = digest(s)[0]
+            if len(s) and key not in seen:
+                seen.add(key)
+                out[key] = s.tobytes()
+        if len(seen) > 500_000:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["rep", "set"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,18 +360,21 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
+
+
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that link. Only texts of documents that the fine bound leaves are shingled again."""
-    both = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    paired = cut(reps.select("rep", "n", "fine").join(small(cut(both)), "rep", "left_semi"))
+    paired = cut(reps.select("rep", "doc", "n", "fine").join(small(_ends(pairs)), "rep", "left_semi"))
     side = lambda x: paired.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
     fitting = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "fa", "nb", "fb")
     pairs = cut(fitting.mapInArrow(_fitting, "a long, b long").distinct())
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(ids), "id", "left_semi")
-    sets = cut(texts.mapInArrow(_packed, "id long, set binary"))
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).hint("shuffle_hash"), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")).hint("shuffle_hash"), "b")
+    ids = cut(paired.join(small(_ends(pairs)), "rep", "left_semi").select(F.col("doc").alias("doc_id")).distinct())
+    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").select("text")
+    sets = cut(texts.mapInArrow(_packed, "rep long, set binary"))
+    one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")).hint("shuffle_hash"), "a")
+    both = one.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")).hint("shuffle_hash"), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long").distinct()
 
 
@@ -419,6 +435,18 @@ def _block(slice_col: str) -> Column:
     return F.when(F.col("slices") == 1, F.col("token")).otherwise(F.xxhash64("token", slice_col))
 
 
+def _guests(rows: DataFrame) -> DataFrame:
+    """The rows as guests of the other slices of their tokens."""
+    out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).filter("other <> own")
+    return out.withColumn("block", _block("other"))
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """The first members of the first slice of a sliced block, as guests of its other slices, which so have the same pivots."""
+    first = rows.filter("slices > 1 and own = 0").withColumn("rn", F.expr("row_number() over (partition by block order by rep)")).filter(F.col("rn") <= PIVOTS)
+    return _guests(first).withColumn("lead", F.lit(0)).select(*rows.columns)
+
+
 def _visitors(rows: DataFrame) -> DataFrame:
     """Members of sliced blocks that lie outside the block's largest component, as guests of its other slices.
 
@@ -428,51 +456,51 @@ def _visitors(rows: DataFrame) -> DataFrame:
     large = rows.filter("slices > 1")
     counts = large.groupBy("token", "comp").agg(F.count("*").alias("k"))
     main = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    outside = large.join(main, "token").filter("comp <> main")
-    guests = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).filter("other <> own")
-    return guests.withColumn("block", _block("other")).select(*rows.columns)
+    return _guests(large.join(main, "token").filter("comp <> main")).select(*rows.columns)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_size: int = SLICE) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id (the smallest id with an equal set) of every row."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Blocks in tasks of even size. Blocks of one group of near-copies share their first member: they lie side by side, so a task names their pairs once."""
+    return rows.repartitionByRange("pivot", "block").sortWithinPartitions("block", "lead", "rep")
+
+
+def _by_set(docs: DataFrame, slice_size: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, n, h1, h2: the digest of the set), and the sets that have words and an id: h1, h2, doc (the
+    smallest id that has it), comp (its component), low (the smallest id in the component).
+
+    Sets are named by their first 64 bits (rep = h1), not by ids, which several texts may share.
+    """
     spark: SparkSession = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = int(min(24, max(16, (4 * docs.count()).bit_length())))
     profiled = stored(docs.mapInArrow(lambda it: _profile(bits, it), DOCS), "profile")
     rows = profiled.filter("part is null").select("doc_id", "n", "h1", "h2")
-    first = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    own = profiled.filter("part is null and n > 0").select(F.col("doc_id").alias("rep"), "h1", "h2", "n", "vec", "many", "fine")
-    reps = stored(first.join(own, ["h1", "h2", "rep"]).dropDuplicates(["h1", "h2"]), "sets")
+    first = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"))
+    own = profiled.filter("part is null and n > 0").select(F.col("doc_id").alias("doc"), "h1", "h2", "n", "vec", "many", "fine")
+    reps = stored(first.join(own, ["h1", "h2", "doc"]).dropDuplicates(["h1", "h2"]).withColumnRenamed("h1", "rep"), "sets")
     counts = spark.sparkContext.broadcast(count_table(profiled, bits))
-    prefixes = docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(bits, counts.value, it), "token long, sid long")
-    # tokens of at least two sets, and each set once in a block
-    by_token = prefixes.withColumn("lo", F.expr("min(sid) over (partition by token)")).withColumn("hi", F.expr("max(sid) over (partition by token)")).withColumn("about", F.expr("count(*) over (partition by token)"))
-    shared = by_token.filter("lo <> hi").groupBy("token", "sid").agg(F.max("about").alias("about"))
-    vec = F.when(F.col("about") > LEAF, F.col("many")).otherwise(F.col("vec")).alias("vec")
-    members = shared.join(reps.select(F.col("h1").alias("sid"), "rep", "n", "vec", "many"), "sid").select("token", "rep", "n", vec)
+    prefixes = docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _prefixes(bits, counts.value, hot, it), "token long, sid long, part int")
+    # tokens of at least two sets, and each set once in a block; rows of a token that very many documents have are dealt out, and all of them stay
+    by_token = prefixes.withColumn("lo", F.expr("min(sid) over (partition by token, part)")).withColumn("hi", F.expr("max(sid) over (partition by token, part)"))
+    members = stored(by_token.filter("lo <> hi or part > 0").select("token", F.col("sid").alias("rep")).distinct(), "members")
+    sizes = members.groupBy("token").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
+    sized = members.join(sizes, "token").join(reps.select("rep", "n", "vec", "many"), "rep")
+    sized = sized.withColumn("vec", F.when(F.col("size") > LEAF, F.col("many")).otherwise(F.col("vec")))
     # blocks beyond slice_size members are cut into slices
-    sized = members.withColumn("size", F.expr("count(*) over (partition by token)")).withColumn("pivot", F.expr("min(rep) over (partition by token)"))
     sized = sized.withColumn("slices", F.ceil(F.col("size") / slice_size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
-    # blocks of one group of near-copies share their first member: the same few tasks take them, and name each pair once
-    spread = F.pmod(F.xxhash64("block"), F.ceil(F.col("size") / SPREAD))
-    placed = sized.withColumn("block", _block("own")).withColumn("place", F.xxhash64("pivot", spread))
-    placed = placed.select("block", "rep", "n", "vec", "place", "token", "slices", "own")
-    blocks = cut(placed.repartition("place").sortWithinPartitions("block", "rep"))
+    blocks = cut(_dealt(sized.withColumn("block", _block("own")).withColumn("lead", F.lit(1)).select("block", "rep", "n", "vec", "pivot", "token", "slices", "own", "lead")))
     sliced = not blocks.filter("slices > 1").isEmpty()
 
     links, comps, tested = None, None, None
     for mode in ("pivots", "best", "rest"):
-        rows_in = blocks.select("block", "rep", "n", "vec")
-        if comps is not None:
+        if comps is None:
+            rows_in = blocks.withColumn("comp", F.col("rep"))
+        else:
             at = small(comps.select(F.col("node").alias("rep"), "comp"))
-            joined = blocks.join(at, "rep", "left")
-            if comps.count() > MAX_BROADCAST:
-                joined = joined.repartition("place").sortWithinPartitions("block", "rep")
-            rows_in = joined.select("block", "rep", "n", "vec", F.coalesce("comp", "rep").alias("comp"), "token", "slices", "own")
-            if mode == "rest" and sliced:
-                rows_in = rows_in.unionByName(_visitors(rows_in)).repartition("block").sortWithinPartitions("block", "rep")
-            rows_in = rows_in.select("block", "rep", "n", "vec", "comp")
+            rows_in = blocks.join(at, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        moved = comps is not None and comps.count() > MAX_BROADCAST
+        if sliced and mode != "best":
+            rows_in, moved = rows_in.unionByName((_pivots if mode == "pivots" else _visitors)(rows_in)), True
+        rows_in = (_dealt(rows_in) if moved else rows_in).select("block", "rep", "n", "vec", "comp")
         pairs = rows_in.mapInArrow(lambda it, mode=mode: _blocks_to_pairs(mode, it), "a long, b long").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
@@ -481,27 +509,62 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new = verified(docs, reps, pairs)
         links = cut(new if links is None else links.unionByName(new).distinct())
         comps = components(links)
-    sets = reps.select("h1", "h2", "rep")
-    if comps is not None:
-        sets = sets.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        sets = sets.withColumn("comp", F.col("rep"))
-    sets = sets.select("h1", "h2", "rep", F.coalesce("comp", "rep").alias("comp"))
+    sets = reps.select(F.col("rep").alias("h1"), "h2", "doc")
+    if comps is None:
+        return rows, sets.withColumns({"comp": F.col("h1"), "low": F.col("doc")})
+    linked = comps.withColumnRenamed("node", "h1").join(sets, "h1")
+    low = small(cut(linked.groupBy("comp").agg(F.min("doc").alias("low"))))
+    at = cut(linked.select("h1", "comp").join(low, "comp"))
+    sets = sets.join(small(at), "h1", "left")
+    return rows, sets.select("h1", "h2", "doc", F.coalesce("comp", "h1").alias("comp"), F.coalesce("low", "doc").alias("low"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_size: int = SLICE, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id (the smallest id with an equal set) of every row."""
+    ship(docs.sparkSession)
+    rows, sets = _by_set(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), slice_size, hot)
     out = rows.join(sets, ["h1", "h2"], "left")
     none = F.col("doc_id").isNull()
     return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(none, None).otherwise(F.coalesce("comp", "doc_id")).alias("component_id"),
-        F.when(none, None).otherwise(F.coalesce("rep", "doc_id")).alias("set_id"),
+        F.when(none, None).otherwise(F.coalesce("low", "doc_id")).alias("component_id"),
+        F.when(none, None).otherwise(F.coalesce("doc", "doc_id")).alias("set_id"),
     )
 
 
+def _digested(column: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns in one, and the digest of the row's set."""
+    for batch in batches:
+        keys = [digest(s) if len(s) else (None, None) for _, s in _sets(batch, column)]
+        row = pa.StructArray.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+        yield pa.RecordBatch.from_arrays([row, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=["row", "h1", "h2"])
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest id. Rows without an id or without words stay."""
-    found = cut(near_copies(docs))
-    gone = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component stays, decided row by row.
+
+    It is one with the component's smallest id; where rows share that id, the first by their columns printed as JSON. Rows
+    without an id or without words stay.
+    """
+    ship(docs.sparkSession)
+    rows, sets = _by_set(docs.select("doc_id", "text"), SLICE, HOT)
+    found = cut(rows.filter("doc_id is not null").join(sets, ["h1", "h2"], "left"))
+    shared = cut(found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"))
+    gone = found.filter("low <> doc_id").select("doc_id")
+    if shared.isEmpty():
+        return docs.join(small(cut(gone)), "doc_id", "left_anti").select(*docs.columns)
+    # ids that several rows have say nothing of a row: those are decided by their sets
+    apart = small(shared)
+    single = docs.join(small(cut(gone.unionByName(shared).distinct())), "doc_id", "left_anti").select(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    several = plain.join(apart.withColumnRenamed("doc_id", f"c{at}"), f"c{at}", "left_semi").select(*plain.columns)
+    digests = several.mapInArrow(lambda it: _digested(text, it), f"row {plain.schema.simpleString()}, h1 long, h2 long")
+    known = digests.join(found.filter("comp is not null").select("h1", "h2", "comp", "low").distinct(), ["h1", "h2"], "left")
+    blank = known.filter("comp is null").select("row")
+    first = known.filter(F.col("low") == F.col(f"row.c{at}")).groupBy("comp").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(blank.unionByName(first).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

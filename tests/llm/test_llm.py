@@ -266,8 +266,8 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("slice_size", [7, 20_000])
-def test_near_copies_match_brute_force(spark, slice_size):
+@pytest.mark.parametrize(("slice_size", "hot"), [(7, 3), (7, 10_000), (2000, 10_000)])
+def test_near_copies_match_brute_force(spark, slice_size, hot):
     rng = random.Random(5)
     texts = list(EDGES) + ["A B C D E F", "one", "b c"]
     base = [f"w{rng.randrange(400)}" for _ in range(60)]
@@ -280,7 +280,7 @@ def test_near_copies_match_brute_force(spark, slice_size):
     texts += [" ".join(f"u{k}_{i}" for i in range(rng.choice([3, 12, 40]))) + " " + passage for k in range(40)]
     ids = [100 + (i * 7) % len(texts) for i in range(len(texts))] if len(texts) % 7 else list(range(len(texts)))
     rows = list(zip(ids, texts, strict=True))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(docs(spark, texts, ids), slice_size=slice_size).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(docs(spark, texts, ids), slice_size=slice_size, hot=hot).collect()}
     assert got == brute_components(rows)
     kept = jaccard_join.deduplicated(docs(spark, texts, ids))
     assert kept.columns == ["doc_id", "text", "source", "score", "n"]
@@ -294,6 +294,18 @@ def test_near_copies_edges(spark):
     assert jaccard_join.near_copies(df.filter("false")).count() == 0
 
 
+def test_deduplication_goes_row_by_row(spark):
+    a, b, c = "one two three four five six", "a text of its own that nothing else here is like", "seven eight nine ten eleven twelve"
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (4, ""), (4, ""), (4, None), (None, a), (None, a), (11, c), (3, b + " x"), (5, "w"), (5, "w v")]
+    df = spark.createDataFrame([(i, t, "k", i) for i, t in rows], "doc_id long, text string, h1 string, row long")
+    kept = jaccard_join.deduplicated(df)
+    assert kept.schema == df.schema
+    # b + " x" links to b: 3 is the smaller id
+    expected = [(3, a), (9, c), (4, ""), (4, ""), (4, None), (None, a), (None, a), (3, b + " x"), (5, "w"), (5, "w v")]
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(expected)
+    assert jaccard_join.deduplicated(df.filter("false")).count() == 0
+
+
 def test_tree_finds_all_that_the_bound_leaves():
     r = np.random.default_rng(1)
     for size in (5, 33, 1100, 3000):
