@@ -469,8 +469,11 @@ def test_extraction(spark):
 
 
 def test_vectors_group_tokens():
-    classes = html_extract.Template([("", 1, 4, 4, 0), (">a", 7, 4, 4, 0), (">a>b", 7, 4, 4, 9), (">a>c", 8, 4, 9, 5), (">a>b x", 7, 4, 4, 0)]).classes
-    assert classes[7, 4, 4] == [">a", ">a>b", ">a>b x"] and classes[8, 4, 9] == [">a>c"]
+    one, list_ = (7, 1, 4, 4), (8, 1, 4, 9)
+    rows = [("", one), (">a", one), (">a>b", one), (">a>b x", one), (">a>c", list_), (">a>c>d", list_), (">a>b>e", list_), (">a>f", (9, 1, 1, 1))]
+    template = html_extract.Template([(t, *v, 0, 0) for t, v in rows])
+    assert template.classes == {(one, ""): [">a", ">a>b", ">a>b x"], (list_, ">a"): [">a>c", ">a>b>e", ">a>c>d"]}
+    assert template.parent == {">a": "", ">a>b": ">a"}
 
 
 HOST = '<html><body><div class="top">Latest</div><{main}><h1>Title {i}</h1><p>Text <b>and</b> more of page {i}, said <i>and</i> done.</p><p>Subscribe to our <b>letter</b> today, it is free of charge</p><p>End {i}</p></{main}><div>We keep small files on your device to make this site work well</div></body></html>'
@@ -486,14 +489,14 @@ def test_template_text_goes_inside_the_slot(main):
     pages = [(i, f"http://a.x/{i}", HOST.format(i=i, main=main)) for i in range(4)]
     template = templates_of(pages)["a.x"]
     for i, _, page in pages:
-        got = html_extract.extract(page, template)
-        assert got == f"Title {i} Text and more of page {i}, said and done. End {i}"
+        got, decided = html_extract.extract(page, template)
+        assert decided == "slot" and got == f"Title {i} Text and more of page {i}, said and done. End {i}"
         template_words, template_blocks = template.words, template.blocks
         template.words, template.blocks = set(), set()
-        assert "Subscribe to our letter today" in html_extract.extract(page, template)
+        assert "Subscribe to our letter today" in html_extract.extract(page, template)[0]
         template.words, template.blocks = template_words, template_blocks
     copies = [(i, "http://b.x/", HOST.format(i=1, main=main)) for i in range(4)]
-    assert "Title 1" in html_extract.extract(copies[0][2], templates_of(copies)["b.x"])
+    assert "Title 1" in html_extract.extract(copies[0][2], templates_of(copies)["b.x"])[0]
 
 
 def test_sibling_containers_are_all_read():
@@ -501,7 +504,33 @@ def test_sibling_containers_are_all_read():
     pages = [(i, f"http://a.x/{i}", page.format(i=i, body=f"body {i} " * 40)) for i in range(4)]
     template = templates_of(pages)["a.x"]
     assert template.root == ">html>body>div.top"
-    assert [html_extract.extract(h, template).split(" body")[0] for _, _, h in pages] == [f"Title {i} lead {i} of it" for i in range(4)]
+    assert [html_extract.extract(h, template)[0].split(" body")[0] for _, _, h in pages] == [f"Title {i} lead {i} of it" for i in range(4)]
+
+
+NAMELESS = '<html><body><div class="a1"><a href="/x{i}">first {i}</a> <a href="/y{i}">second link {i}</a></div><div class="a2">{ad}</div><div class="a3"><div class="b0">Set in lead {i}, and what this page is about is said in so many words</div><div class="b1">{text}</div><div class="b2">Ask us for more</div></div><div class="a4">{i} (c) a company</div></body></html>'
+
+
+def test_slots_choose_where_names_say_nothing(spark):
+    text = lambda i: "".join(f"<div>Part {k} of the text of page {i}, which goes on for a while.</div>" for k in range(40 + i))
+    pages = [(i, f"http://a.x/{i}", NAMELESS.format(i=i, ad=f"Buy {i}", text=text(i))) for i in range(5)]
+    want = {i: " ".join([f"Set in lead {i}, and what this page is about is said in so many words", *(f"Part {k} of the text of page {i}, which goes on for a while." for k in range(40 + i))]) for i in range(5)}
+    df = spark.createDataFrame(pages + pages[:2], "page_id long, url string, html string")
+    rows = html_extract.extract_pages(df).collect()
+    assert len(rows) == 7 and all(r.text == want[r.page_id] and r.decided == "slot" for r in rows)
+    for i, _, page in pages:  # names alone would read all of the page
+        got, decided = html_extract.extract(page)
+        assert decided == "names" and got != want[i] and f"Buy {i}" in got and "second link" in got
+    template = templates_of(pages)["a.x"]
+    assert template.root == ">html>body>div.a3" and template.left_out == {">html>body>div.a3>div.b2"}
+
+
+def test_deep_pages_and_stray_tags():
+    deep = "<div>" * 3000 + "the text</p> within" + "</div>" * 2990 + " after" + "</div>" * 10
+    counts, mass = html_extract.page_tokens(deep)
+    assert max(map(len, counts)) < 200 and mass[""] == [len("the text within after"), 0]
+    assert html_extract.extract(deep)[0] == "the text within after"
+    stray = '<div class="ad">buy</p></div><div>kept</div>'
+    assert html_extract.page_tokens(stray)[1][""][0] == 4 and html_extract.extract(stray)[0] == "kept"
 
 
 def test_joined_templates_go_by_the_same_host(spark, monkeypatch):
