@@ -1,46 +1,56 @@
 """PII: detection and keyed surrogates.
 
 Detected: secrets (assigned tokens, keys, passwords), e-mail addresses, IBANs,
-payment cards, phone numbers, US social security numbers, IPv4 addresses and
-titled personal names. Each is replaced by a surrogate of its own type:
-
-- strings keep their format. A keyed Feistel network adds to every letter or
-  digit within its own alphabet (digits, Latin, Greek, Cyrillic, hexadecimal),
-  which is a permutation of the strings of one format: two entities never get
-  one surrogate, one entity gets the same everywhere, in whatever task.
-  Values that must stay in a set (valid octets, another value than before)
-  walk along the permutation's cycle until they are in it.
+payment cards, phone numbers, US social security numbers, IPv4 addresses,
+titled personal names, and a known given name with a capitalised word after it.
+Each is replaced by a surrogate of its own type:
+
+- strings keep their format. A keyed Feistel network maps every letter or digit
+  within its own alphabet (digits, Latin, Greek, Cyrillic, hexadecimal), the
+  string of the next number is taken there, and mapped back: a permutation of
+  the strings of one format in a single cycle. So two entities never get one
+  surrogate, one entity gets the same everywhere, in whatever task, and none
+  gets itself. Values that must stay in a set (valid octets) walk along the
+  cycle until they are in it.
 - card and IBAN check digits are made anew, so surrogates stay valid.
 - phone numbers keep country code and punctuation; the digits alone decide, so
   one number in two notations stays one number.
-- names keep gender and script: a given name from the table of its gender and
-  script, a surname spelled from keyed syllables. A name that would collide
-  with another one of the document takes the next draw. Later mentions of a
-  titled name's parts follow it.
+- names keep gender and script: known given names are permuted within the table
+  of their gender and script; other names are numbered, permuted, and spelled in
+  syllables (given names with an ending of their gender), so that different
+  names have different surrogates and one name the same in all documents. Later
+  mentions of a name's parts follow it, but for words that open a sentence or
+  that the text has in lower case too.
 
 Only entities are touched; a text without any comes out as it came in.
 
+Surrogates can be turned back by whoever has the key, so there is none in the
+source: the key is a parameter. The registered query and the pipeline take it
+from the session's spark.tessera.pii.key, and where that is unset draw one for
+the application, so that their surrogates are the same in all its tasks only.
+
 Defined results: null texts stay null with no entities; empty and very long
-texts are whole; the surrogates depend on key and entity alone (names: on the
-document's names too), so repeated rows and retries agree; extra columns are
-ignored by surrogates(), kept by cleaned().
+texts are whole, in time linear in the text but for sorting; the surrogates
+depend on key and entity alone, so repeated rows and retries agree; extra columns
+are ignored by surrogates(), kept by cleaned().
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import ship
 
-KEY = "tessera-surrogates-1"  # production passes a secret of its own
+KEY_CONF = "spark.tessera.pii.key"
 SCHEMA = "doc_id long, text string, n_entities long, kinds array<string>"
 
 # Given names by script and gender.
@@ -65,6 +75,14 @@ SYLLABLES = {
     "cyrillic": ("бвгдзклмнпрстф", "аеиоу"),
     "greek": ("βγδζθκλμνπρστφ", "αειου"),
 }
+# Endings of given names that are spelled in syllables, and of names with letters beyond their script's base alphabet.
+ENDINGS = {
+    "latin": {"f": "na", "m": "ro", "n": "ri"},
+    "cyrillic": {"f": "на", "m": "рий", "n": "ки"},
+    "greek": {"f": "να", "m": "ρος", "n": "ρι"},
+}
+BEYOND = {"latin": "th", "cyrillic": "х", "greek": "ξ"}
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "greek": "αβγδεζηθικλμνξοπρσςτυφχψω"}
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 CLASS = {c: a for a in ALPHABETS for c in a}
 HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
@@ -82,6 +100,7 @@ PATTERNS = [
     ("ip", re.compile(r"(?<![\w.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)")),
 ]
 MARK = re.compile(r"[0-9@]|(?i:secret|token|passw|bearer|api.?key|access.?key)")
+HINTS = re.compile("|".join(sorted({*TITLES, *(n for names in GIVEN.values() for n in names)}, key=lambda n: (-len(n), n))))
 NAMED = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.?[  ]({WORD})(?:[  ]({WORD}))?")
 
 
@@ -90,10 +109,12 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10
 
 
+# issuers' prefixes (first to last) and the lengths of their numbers.
+ISSUERS = [("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("36", "36", (14,)), ("38", "39", (14,)), ("6011", "6011", (16, 19)), ("644", "649", (16, 19)), ("65", "65", (16, 19))]
+
+
 def is_card(digits: str) -> bool:
-    two, four = int(digits[:2]), int(digits[:4])
-    issuer = digits[0] == "4" or 51 <= two <= 55 or 2221 <= four <= 2720 or two in (34, 37, 36, 38, 65) or four == 6011
-    return 13 <= len(digits) <= 19 and issuer and luhn(digits) == 0
+    return any(a <= digits[: len(a)] <= b and len(digits) in sizes for a, b, sizes in ISSUERS) and luhn(digits) == 0
 
 
 def iban_number(text: str) -> int:
@@ -136,27 +157,33 @@ class Keyed:
             block += 1
         return out[:n]
 
-    def permute(self, domain: str, values: list[int], radix: list[int]) -> list[int]:
-        """A Feistel network over digits of mixed radix; one digit alone is shifted."""
+    def _mixed(self, domain: str, values: list[int], radix: list[int], sign: int) -> list[int]:
+        """A Feistel network over digits of mixed radix, there (1) and back (-1)."""
         shape = ",".join(map(str, radix))
-        if len(values) < 2:
-            return [(v + 1 + s % max(r - 1, 1)) % r for v, r, s in zip(values, radix, self._stream(len(values), domain, shape), strict=True)]
         half = len(values) // 2
         left, right = values[:half], values[half:]
-        for turn in range(8):
+        for turn in range(8)[::sign]:
             given, moved, at = (right, left, 0) if turn % 2 == 0 else (left, right, half)
             add = self._stream(len(moved), domain, shape, str(turn), ",".join(map(str, given)))
-            moved = [(v + a) % r for v, a, r in zip(moved, add, radix[at : at + len(moved)], strict=True)]
+            moved = [(v + sign * a) % r for v, a, r in zip(moved, add, radix[at : at + len(moved)], strict=True)]
             left, right = (moved, right) if turn % 2 == 0 else (left, moved)
         return left + right
 
+    def permute(self, domain: str, values: list[int], radix: list[int]) -> list[int]:
+        """One step in a single cycle through all strings of these radixes: the next number, in the order that the network makes."""
+        now = self._mixed(domain, values, radix, 1)
+        for i in range(len(now) - 1, -1, -1):
+            now[i] = (now[i] + 1) % radix[i]
+            if now[i]:
+                break
+        return self._mixed(domain, now, radix, -1)
+
     def walk(self, domain: str, values: list[int], radix: list[int], allowed) -> list[int]:
-        """Steps along the cycle of the permutation to the next value that is allowed; a cycle without another one ends where it began."""
-        now = values
-        while True:
+        """Steps to the next value that is allowed; another one, unless no other is."""
+        now = self.permute(domain, values, radix)
+        while not allowed(now) and now != values:
             now = self.permute(domain, now, radix)
-            if allowed(now) or now == values:
-                return now
+        return now
 
     def text(self, domain: str, text: str, classes: dict[str, str] | None = None) -> str:
         """Letters and digits change within their alphabets; all else stays."""
@@ -165,7 +192,7 @@ class Keyed:
         if not at:
             return text
         sets = [classes[text[i]] for i in at]
-        moved = self.walk(domain, [s.index(text[i]) for s, i in zip(sets, at, strict=True)], [len(s) for s in sets], lambda x: True)
+        moved = self.permute(domain, [s.index(text[i]) for s, i in zip(sets, at, strict=True)], [len(s) for s in sets])
         out = list(text)
         for i, s, v in zip(at, sets, moved, strict=True):
             out[i] = s[v]
@@ -224,66 +251,99 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
-def _surname(keyed: Keyed, name: str, turn: int) -> str:
-    onset, vowel = SYLLABLES[_script(name)]
-    raw = keyed.draw("surname", name, str(turn))
-    return "".join(onset[raw[2 * i] % len(onset)] + vowel[raw[2 * i + 1] % len(vowel)] for i in range(5)).capitalize()
+def _spelled(keyed: Keyed, part: str, word: str, script: str) -> str:
+    """A word in syllables: its number among all words that take as many syllables, permuted. Different words, different spellings."""
+    low = word.lower()
+    base = LETTERS[script]
+    plain = all(c in base for c in low)
+    size = len(base) if plain else 0x110000
+    onset, vowel = SYLLABLES[script]
+    per = len(onset) * len(vowel)
+    needed = lambda n: next(m for m in range(1, 10 * n + 2) if per**m * (size - 1) >= size ** (n + 1))
+    m = needed(len(low))
+    number = 0
+    for c in low:
+        number = number * size + (base.index(c) if plain else ord(c))
+    shorter = len(low) - 1
+    while shorter and needed(shorter) == m:  # shorter words with as many syllables come first
+        number += size**shorter
+        shorter -= 1
+    radix = [len(onset), len(vowel)] * m
+    digits = []
+    for r in reversed(radix):
+        number, d = divmod(number, r)
+        digits.append(d)
+    moved = keyed.permute(f"{part}|{script}|{plain}", digits[::-1], radix)
+    out = "".join((onset, vowel)[i % 2][d] for i, d in enumerate(moved))
+    return out if plain else out + BEYOND[script]
+
+
+def surname(keyed: Keyed, word: str) -> str:
+    return _spelled(keyed, "surname", word, _script(word)).capitalize()
+
+
+def given_name(keyed: Keyed, word: str, gender: str) -> str:
+    script = _script(word)
+    names = GIVEN[script, gender]
+    if word in names:
+        return names[keyed.permute(f"given|{script}|{gender}", [names.index(word)], [len(names)])[0]]
+    return (_spelled(keyed, f"given|{gender}", word, script) + ENDINGS[script][gender]).capitalize()
+
+
+KNOWN = {n: g for g in ("f", "m", "n") for (_, of), names in GIVEN.items() if of == g for n in names}
+UNTITLED = re.compile(r"(?<![\w'’-])(" + "|".join(sorted(KNOWN, key=lambda n: (-len(n), n))) + rf")[  ]({WORD})(?![\w'’])")
+WORDS = re.compile(r"\w+(?:['’-]\w+)*")
+OPENS = re.compile(r"(?:^|[.!?:;\n]|[.!?][\"'»”)]+)\s*$")
 
 
 def _names(keyed: Keyed, text: str) -> list[tuple[int, int, str, str]]:
-    """Titled names, and later mentions of their parts."""
-    made: dict[tuple[str, str], str] = {}
-    taken: set[str] = set()
-
-    def fresh(part: str, word: str, gender: str) -> str:
-        if (part, word) not in made:
-            turn = 0
-            while True:
-                if part == "given":
-                    names = GIVEN[_script(word), gender]
-                    new = names[int.from_bytes(keyed.draw("given", word, gender)[:4], "big") % len(names)] if turn == 0 else names[(names.index(new) + 1) % len(names)]  # noqa: F821
-                    if turn > len(names):
-                        new = _surname(keyed, word, turn)
-                else:
-                    new = _surname(keyed, word, turn)
-                if new not in taken and new != word:
-                    break
-                turn += 1
-            taken.add(new)
-            made[part, word] = new
-        return made[part, word]
-
-    out, spans = [], []
+    """Titled names, known given names with a surname, and later mentions of their parts."""
+    parts: dict[str, str] = {}  # word -> surrogate
+    spans: dict[int, tuple[int, str]] = {}  # start -> end, surrogate
+
+    def take(m: re.Match, i: int, new: str) -> None:
+        spans.setdefault(m.start(i), (m.end(i), new))
+        parts.setdefault(m[i], new)
+
     for m in NAMED.finditer(text):
-        gender = TITLES[m[1]]
         if m[3]:
-            out.append((m.start(2), m.end(2), "name", fresh("given", m[2], gender)))
-            out.append((m.start(3), m.end(3), "name", fresh("surname", m[3], gender)))
-        else:
-            out.append((m.start(2), m.end(2), "name", fresh("surname", m[2], gender)))
-        spans.append(m.span())
-    if made:
-        for part, word in sorted(made):
-            for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", text):
-                if not any(a <= m.start() < b for a, b in spans):
-                    out.append((m.start(), m.end(), "name", made[part, word]))
+            take(m, 2, given_name(keyed, m[2], TITLES[m[1]]))
+        take(m, 3 if m[3] else 2, surname(keyed, m[3] or m[2]))
+    for m in UNTITLED.finditer(text):
+        if m.start(1) not in spans:
+            take(m, 1, given_name(keyed, m[1], KNOWN[m[1]]))
+            take(m, 2, surname(keyed, m[2]))
+    out = [(a, b, "name", new) for a, (b, new) in spans.items()]
+    if parts:
+        words = list(WORDS.finditer(text))
+        said = {m[0] for m in words}
+        common = {w for w in parts if w.lower() in said}
+        for k, m in enumerate(words):
+            if m[0] in parts and m.start() not in spans and m[0] not in common:
+                after = words[k + 1][0] if k + 1 < len(words) else ""
+                if after in parts or not OPENS.search(text, max(0, m.start() - 8), m.start()):
+                    out.append((m.start(), m.end(), "name", parts[m[0]]))
     return out
 
 
 def entities(keyed: Keyed, text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and surrogate of the entities of a text, none overlapping."""
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # by start
+
+    def add(a: int, b: int, kind: str, make) -> None:
+        at = bisect.bisect_left(found, (a,))
+        if (at == 0 or found[at - 1][1] <= a) and (at == len(found) or b <= found[at][0]):
+            found.insert(at, (a, b, kind, make()))
+
     if MARK.search(text):
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
-                a, b = m.span(1)
-                if valid(kind, m[1]) and not any(x < b and a < y for x, y, *_ in found):
-                    found.append((a, b, kind, surrogate(keyed, kind, m[1])))
-    if any(t in text for t in TITLES):
+                if valid(kind, m[1]):
+                    add(*m.span(1), kind, lambda kind=kind, m=m: surrogate(keyed, kind, m[1]))
+    if HINTS.search(text):
         for a, b, kind, new in _names(keyed, text):
-            if not any(x < b and a < y for x, y, *_ in found):
-                found.append((a, b, kind, new))
-    return sorted(found)
+            add(a, b, kind, lambda new=new: new)
+    return found
 
 
 def replaced(keyed: Keyed, text: str) -> tuple[str, list[str]]:
@@ -315,13 +375,22 @@ def _texts(key: str, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 
 
-def surrogates(df: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The session's key, or one drawn for this application."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        sc = spark.sparkContext
+        key = sc._tessera_pii_key = getattr(sc, "_tessera_pii_key", None) or secrets.token_hex(32)
+    return key
+
+
+def surrogates(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities, kinds. No shuffle."""
     ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(lambda it: _rows(key, it), SCHEMA)
 
 
-def cleaned(df: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def cleaned(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with surrogates in the text."""
     ship(df.sparkSession)
     at = df.columns.index(text_col)
@@ -329,4 +398,4 @@ def cleaned(df: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
-    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))

@@ -3,8 +3,10 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -379,20 +381,65 @@ def test_surrogates():
     card = re.sub(r"\D", "", re.search(r"card ([\d ]+)", new)[1])
     assert pii.is_card(card) and pii.iban_number(re.search(r"IBAN ([A-Z\d ]+),", new)[1].replace(" ", "")) == 1
     assert len(re.findall(r"\b" + re.search(r"Mr \w+ (\w+)", new)[1] + r"\b", new)) == 3
-    given = re.search(r"Mrs (\w+)", new)[1]
-    assert given in pii.GIVEN["latin", "f"] and re.search(r"господин (\w+)", new)[1] in pii.GIVEN["cyrillic", "m"]
+    assert re.search(r"Mrs (\w+)", new)[1].endswith("na") and re.search(r"господин (\w+)", new)[1] in pii.GIVEN["cyrillic", "m"]
     assert pii.replaced(k, text) == (new, kinds) and pii.replaced(pii.Keyed("other"), text)[0] != new
 
 
 def test_surrogates_are_distinct_and_clean_texts_stay(spark):
     k = pii.Keyed("x")
     assert len({k.text("d", f"{i:04d}") for i in range(10_000)}) == 10_000
+    for domain in ([f"{i:03d}" for i in range(1000)], [a + b for a in pii.ALPHABETS[1] for b in pii.ALPHABETS[1]], list("0123456789")):
+        made = [k.text("e", x) for x in domain]
+        assert sorted(made) == sorted(domain) and all(x != y for x, y in zip(domain, made, strict=True))  # a permutation without fixed points
     assert len({tuple(k.walk("ip", [1, 2, i // 256, i % 256], [256] * 4, lambda v: 1 <= v[0] <= 223)) for i in range(3000)}) == 3000
     clean = ["Order 1234567890123456 of 2024-01-05, v1.2.3.4.5 at 12:30; mit 3.5%", "", "Ms"]
     assert [pii.replaced(k, t) for t in clean] == [(t, []) for t in clean]
-    got = pii.surrogates(docs(spark, [*EDGES, "a@b.co " * 3])).orderBy("doc_id").collect()
+    got = pii.surrogates(docs(spark, [*EDGES, "a@b.co " * 3]), "x").orderBy("doc_id").collect()
     assert [r.text for r in got[:7]] == EDGES and got[7].n_entities == 3 and got[7].kinds == ["email"]
-    assert pii.cleaned(docs(spark, EDGES)).columns == ["doc_id", "text", "source", "score", "n"]
+    assert pii.cleaned(docs(spark, EDGES), "x").columns == ["doc_id", "text", "source", "score", "n"]
+
+
+def test_names_are_distinct_and_one_in_all_documents():
+    k = pii.Keyed("x")
+    words = ["".join(w) for n in (2, 3) for w in itertools.product("abcdefgh", repeat=n)] + ["Müller", "Muller", "O'Neil", "Oneil", "Jean-Luc", "Иванов", "Петров", "Παππας"]
+    made = [pii.surname(k, w.capitalize()) for w in words]
+    assert len(set(made)) == len(words) and not set(made) & {w.capitalize() for w in words}
+    assert all(pii._script(a) == pii._script(b) for a, b in zip(words, made, strict=True))
+    for gender in "fmn":
+        names = [*pii.GIVEN["latin", gender], "Jane", "Bob", "Kim-Lee", "Zoë"]
+        given = [pii.given_name(k, n, gender) for n in names]
+        assert len(set(given)) == len(names) and not any(a == b for a, b in zip(names, given, strict=True))
+    one, two = (pii.replaced(k, t)[0] for t in ("Mrs Jane Smith is here.", "We met Dr Bob Smith and Ms Jane Miller"))
+    assert re.search(r"Mrs (\w+) (\w+)", one).groups() == (re.search(r"Ms (\w+)", two)[1], re.search(r"Dr \w+ (\w+)", two)[1])
+
+
+def test_mentions_of_names():
+    k = pii.Keyed("x")
+    rose, tall = pii.given_name(k, "Rose", "m"), pii.surname(k, "Tall")
+    cases = {
+        "Mr Rose Tall came. Rose will bloom; so Rose said, and Tall too.": f"Mr {rose} {tall} came. Rose will bloom; so {rose} said, and {tall} too.",
+        "Mr Rose Tall and a rose. The Rose is red.": f"Mr {rose} {tall} and a rose. The Rose is red.",
+        "Mr Tall came. Rose Tall went.": f"Mr {tall} came. Rose {tall} went.",
+        "contact Alice Doe in Paris, or Doe": f"contact {pii.given_name(k, 'Alice', 'f')} {pii.surname(k, 'Doe')} in Paris, or {pii.surname(k, 'Doe')}",
+        "Paris and Alice in a text": "Paris and Alice in a text",
+    }
+    assert {t: pii.replaced(k, t)[0] for t in cases} == cases
+
+
+def test_surrogates_of_long_texts_take_linear_time():
+    k = pii.Keyed("x")
+    text = " ".join(f"Mr Ab{chr(97 + i % 26)} Cd said a{i}@b.co to Cd or 10.1.{i % 250}.9" for i in range(6000))
+    began = time.time()
+    new, kinds = pii.replaced(k, text)
+    assert time.time() - began < 60 and len(new.split()) == len(text.split()) and "Cd" not in new.split()
+
+
+def test_the_session_names_the_key(spark):
+    one = pii.session_key(spark)
+    assert len(one) == 64 and pii.session_key(spark) == one
+    spark.conf.set(pii.KEY_CONF, "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.unset(pii.KEY_CONF)
 
 
 # -- 8
@@ -564,7 +611,7 @@ def test_pipeline_against_its_parts(spark, sf):
         own = {tuple(own[j : j + 5]) for j in range(len(own) - 4)}
         return any(len(s & own) >= 0.75 * len(s) for s in ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in items) if s)
 
-    keyed = pii.Keyed(pii.KEY)
+    keyed = pii.Keyed(pii.session_key(spark))
     expected = {i: pii.replaced(keyed, t)[0] for i, t in left if not holds(t)}
     got = {r.doc_id: r.decoded for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == expected
