@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontamination import decontaminated
 from tessera.llm.jaccard_join import deduplicated
-from tessera.llm.pii import cleaned
+from tessera.llm.pii import cleaned, session_key
 from tessera.llm.quality import accepted, fit_on
 from tessera.llm.sentencepiece_codec import default_model, encode
 from tessera.plans.runtime import fresh_path
@@ -34,8 +34,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets get surrogates."""
-    return cleaned(docs)
+    """Personal data and secrets get surrogates, by the session's key."""
+    return cleaned(docs, session_key(spark))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
