@@ -13,6 +13,7 @@ signature forms; the form sets priority and confidence.
 Defined results
 - null text counts as empty: no words, empty label strings, score 0.
 - all places count, in texts of any length; base phrases are never suppressed.
+  Detections of a long text are compared within stretches of LONGEST words.
 - repeated rows give repeated rows; extra columns are ignored.
 """
 
@@ -99,7 +100,55 @@ CLAUSES = [
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 0.85),
     ("cc0-1.0", "creative commons zero", r"creative commons zero(?: v?1 0)?", 0.9),
     ("all-rights-reserved", "rights reserved", r"all rights reserved", 0.5),
+    ("mit", "this permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.95),
+    ("x11", "except as contained in this notice", r"except as contained in this notice the name of the", 0.9),
+    ("bsd-3-clause", "nor the names of its contributors", r"nor the names of its contributors may be used to endorse or promote products derived from this software", 0.95),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 0.95),
+    ("bsd", "reproduce the above copyright", r"redistributions in binary form must reproduce the above copyright notice", 0.85),
+    ("boost-1.0", "accompanying documentation covered", r"any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 0.97),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 0.95),
+    ("postgresql", "without a written agreement", r"for any purpose without fee and without a written agreement is hereby granted", 0.95),
+    ("apache-2.0", "apache org licenses", r"(?:www )?apache org licenses license 2 0(?: (?:txt|html))?", 0.97),
+    ("apache", "apache software foundation", r"licensed to the apache software foundation asf under one or more contributor license agreements", 0.9),
+    ("gpl-3", "gnu org licenses", r"(?:www )?gnu org licenses gpl 3 0(?: (?:txt|html|en html))?", 0.95),
+    ("gpl-2", "gnu org licenses", r"(?:www )?gnu org licenses (?:old licenses )?gpl 2 0(?: (?:txt|html|en html))?", 0.95),
+    ("lgpl-3", "gnu org licenses", r"(?:www )?gnu org licenses lgpl 3 0(?: (?:txt|html|en html))?", 0.95),
+    ("lgpl-2.1", "gnu org licenses", r"(?:www )?gnu org licenses (?:old licenses )?lgpl 2 1(?: (?:txt|html|en html))?", 0.95),
+    ("agpl-3", "gnu org licenses", r"(?:www )?gnu org licenses agpl 3 0(?: (?:txt|html|en html))?", 0.95),
+    ("gpl", "hope that it will be useful", r"in the hope that it will be useful but without any warranty without even the implied warranty of", 0.7),
+    ("agpl", "remote network interaction", r"remote network interaction use with the gnu general public license", 0.95),
+    ("gfdl", "invariant sections", r"with no invariant sections no front cover texts and no back cover texts", 0.95),
+    ("mpl-1.1", "mozilla org mpl", r"(?:www )?mozilla org mpl mpl 1 1(?: (?:txt|html))?", 0.95),
+    ("mpl-2.0", "mozilla org", r"(?:www )?mozilla org (?:en us )?mpl 2 0", 0.95),
+    ("epl-1.0", "eclipse org legal", r"(?:www )?eclipse org legal epl v10(?: html)?", 0.95),
+    ("epl-2.0", "eclipse org legal", r"(?:www )?eclipse org legal epl (?:2 0|v20)(?: html)?", 0.95),
+    ("cddl-1.0", "opensource org licenses", r"(?:www )?opensource org licenses cddl 1(?: 0)?", 0.95),
+    ("mit", "opensource org licenses", r"(?:www )?opensource org licenses mit(?: license(?: php)?)?", 0.95),
+    ("bsd-3-clause", "opensource org licenses", r"(?:www )?opensource org licenses bsd 3 clause", 0.95),
+    ("bsd-2-clause", "opensource org licenses", r"(?:www )?opensource org licenses bsd 2 clause", 0.95),
+    ("isc", "opensource org licenses", r"(?:www )?opensource org licenses isc", 0.95),
+    ("cc0-1.0", "creativecommons org publicdomain", r"creativecommons org publicdomain zero 1 0", 0.97),
+    ("public-domain", "creativecommons org publicdomain", r"creativecommons org publicdomain mark 1 0", 0.95),
+    ("unlicense", "unlicense org", r"(?:please refer to (?:http|https) )?unlicense org", 0.95),
+    ("wtfpl", "you just do what", r"you just do what the fuck you want to", 0.95),
+    ("ofl-1.1", "scripts sil org", r"scripts sil org ofl", 0.95),
+    ("ofl", "reserved font name", r"with reserved font name", 0.8),
+    ("odbl-1.0", "opendatacommons org", r"opendatacommons org licenses odbl 1 0", 0.95),
+    ("odc-by-1.0", "opendatacommons org", r"opendatacommons org licenses by 1 0", 0.95),
+    ("pddl-1.0", "opendatacommons org", r"opendatacommons org licenses pddl 1 0", 0.95),
+    ("beerware", "beer", r"(?:the )?beer ?ware license(?: revision 42)?", 0.95),
+    ("json", "good not evil", r"the software shall be used for good not evil", 0.97),
+    ("openssl", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit", 0.95),
+    ("php-3.01", "php net license", r"(?:www )?php net license 3 01(?: txt)?", 0.95),
+    ("artistic-2.0", "perlfoundation", r"(?:www )?perlfoundation org artistic license 2 0", 0.95),
+    ("us-government-work", "government", r"(?:a )?work of the (?:u s|us|united states) government", 0.8),
+    ("proprietary", "confidential and proprietary", r"(?:this (?:document|file|software) is )?confidential and proprietary", 0.7),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this (?:file|software|document) via any medium is strictly prohibited", 0.9),
+    ("non-commercial", "commercial use", r"(?:for )?non commercial use only", 0.7),
+    ("no-derivatives", "derivative works", r"no derivative works (?:are )?(?:allowed|permitted)", 0.7),
 ]
+LONGEST = 64  # words of a detection, at most
+FEW = 200  # detections that are compared each with each
 
 
 def _groups() -> list[tuple[str, str, list[str], list[str]]]:
@@ -144,6 +193,8 @@ def rules() -> list[tuple[int, str, str, str, float, bool]]:
             for v in CC_VERSIONS:
                 tail = f" {v}" if forms is CC else f"(?: license)? {v}"
                 out.append((2, f"{label}-{v.replace(' ', '.')}", lead + words, lead + words + tail, 0.97, False))
+                if forms is CC:
+                    out.append((2, f"{label}-{v.replace(' ', '.')}", "creativecommons org licenses", f"creativecommons org licenses {words} {v}", 0.98, False))
             out.append((5, label, lead + words, lead + words, 0.75, False))
     out += [(2, label, keyword, pattern, conf, False) for label, keyword, pattern, conf in CLAUSES]
     return out
@@ -160,25 +211,20 @@ def _spaces(x: Column) -> Column:
 
 
 def _places(norm: Column, rule: Column) -> Column:
-    """All detections of a rule: word intervals [start, end)."""
-    pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    both = F.struct(F.split(norm, pattern, -1).alias("gaps"), F.regexp_extract_all(norm, pattern, F.lit(0)).alias("hits"))
-
-    def placed(x: Column) -> Column:
-        steps = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), x["hits"], lambda g, h: F.struct(_spaces(g).alias("g"), _spaces(h).alias("h")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-        folded = F.aggregate(
-            steps,
-            zero,
-            lambda acc, s: F.struct(
-                (acc["at"] + s["g"] + s["h"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + s["g"] - 1).alias("start"), (acc["at"] + s["g"] + s["h"]).alias("end")))).alias("out"),
-            ),
-        )
-        return folded["out"]
+    """All detections of a rule: word intervals [start, end). The matches are marked in the text, which is then cut into words; no word holds a mark."""
+    marked = F.regexp_replace(norm, F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )")), F.lit("\x01$0\x02"))
+
+    def at(words: Column, is_end: bool) -> Column:
+        hit = (lambda w: F.endswith(w, F.lit("\x02"))) if is_end else (lambda w: F.startswith(w, F.lit("\x01")))
+        return F.filter(F.transform(words, lambda w, i: F.when(hit(w), i if is_end else i - 1)), lambda x: x.isNotNull())
+
+    def placed(text: Column) -> Column:
+        both = F.transform(F.array(F.split(text, " ", -1)), lambda words: F.arrays_zip(at(words, False).alias("start"), at(words, True).alias("end")))
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        return F.when(F.contains(text, F.lit("\x01")), F.element_at(both, 1)).otherwise(none)
 
     return F.transform(
-        F.element_at(F.transform(F.array(both), placed), 1),
+        F.element_at(F.transform(F.array(marked), placed), 1),
         lambda p: F.struct(
             rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base"), p["start"].alias("start"), p["end"].alias("end"),
         ),
@@ -210,8 +256,16 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
         return inside & ~e["base"] & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & longer))
 
-    kept = F.filter("found", lambda d: d["base"] | ~F.exists(F.col("found"), lambda e: beaten(d, e)))
-    return rows.withColumn("kept", F.when(F.size("found") < 2, F.col("found")).otherwise(kept))
+    def left(some: Column, others: Column) -> Column:
+        return F.filter(some, lambda d: d["base"] | ~F.exists(others, lambda e: beaten(d, e)))
+
+    # what holds a detection starts at most LONGEST words before it: many detections meet those of their own stretch and the one before alone
+    stretches = F.sequence(F.lit(0), F.floor(F.array_max(F.transform("found", lambda d: d["start"])) / LONGEST).cast("int"))
+    by_stretch = F.transform(stretches, lambda i: F.filter("found", lambda d: F.floor(d["start"] / LONGEST) == i))
+    near = lambda s, i: F.when(i == 0, F.get(s, i)).otherwise(F.concat(F.get(s, i - 1), F.get(s, i)))
+    many = F.flatten(F.element_at(F.transform(F.array(by_stretch), lambda s: F.transform(s, lambda own, i: F.element_at(F.transform(F.array(near(s, i)), lambda others: left(own, others)), 1))), 1))
+    kept = F.when(F.size("found") < 2, F.col("found")).when(F.size("found") < FEW, left(F.col("found"), F.col("found"))).otherwise(many)
+    return rows.withColumn("kept", kept)
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:

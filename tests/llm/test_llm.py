@@ -235,10 +235,26 @@ def test_every_alternative_of_every_rule_fires_alone(spark):
     cases = [(p, label, t) for p, label, _, x, _, _ in licenses.rules() for t in samples(parser.parse(x))]
     df = spark.createDataFrame([(i, p, label, t) for i, (p, label, t) in enumerate(cases)], "i int, p int, label string, text string").repartition(8)
     lost = licenses.scan(df).filter(~F.exists("found", lambda d: (d["priority"] == F.col("p")) & (d["label"] == F.col("label"))))
+    assert all(len(t.split()) <= licenses.LONGEST for _, _, t in cases)
     assert len(cases) > 1000 and [(r.label, r.text) for r in lost.select("label", "text").collect()] == []
     assert {n for _, _, names, _ in licenses.FAMILIES for n in names} <= {t for _, _, t in cases}
 
 
+def test_many_detections_match_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    bits = ["under the MIT license", "licensed under the terms of the gnu general public license version 3", "gnu general public license", "mit license", "apache license version 2.0", "cc by nc sa 4.0", "word", "all rights reserved", "bsd 3 clause license"]
+    texts = [" ".join(rng.choice(bits) for _ in range(n)) for n in (300, 900)]
+    rows = licenses.scan(docs(spark, texts)).select("doc_id", "norm", "found", "kept").orderBy("doc_id").collect()
+    for r in rows:
+        found = sorted((m.start(), p, label, base, len(r.norm[: m.start()].split()), len(r.norm[: m.end()].split())) for p, label, _, x, _, base in licenses.rules() for m in re.finditer(f"(?<= )(?:{x})(?= )", r.norm))
+        assert sorted((f[2], f[4], f[5]) for f in found) == sorted((d.label, d.start, d.end) for d in r.found) and len(found) > licenses.FEW
+        keep = [f for f in found if f[3] or not any(e[4] <= f[4] and e[5] >= f[5] and not e[3] and (e[1] < f[1] or e[1] == f[1] and e[5] - e[4] > f[5] - f[4]) for e in found)]
+        assert sorted((f[2], f[4], f[5]) for f in keep) == sorted((d.label, d.start, d.end) for d in r.kept)
+    monkeypatch.setattr(licenses, "FEW", 10**9)
+    again = licenses.scan(docs(spark, texts)).select("kept").collect()
+    assert [sorted(map(tuple, r.kept)) for r in again] == [sorted(map(tuple, r.kept)) for r in rows]
+
+
 def test_names_without_the_family_keyword(spark):
     texts = ["licensed under the GNU GPL v3", "released under the GNU LGPL v2.1", "the simplified BSD license", "this software is provided 'as-is', without any express or implied warranty. In no event", "Expat License"]
     rows = licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()
