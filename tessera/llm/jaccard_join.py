@@ -16,15 +16,20 @@ at least 3/4. The result is exact; it names each document's component.
    survivors are verified on the sets, each pair once.
 4. Links are found in three rounds, so a large group of near-copies costs rows
    in proportion to its members, not their pairs: every member against a few
-   pivots of its block; what is still apart, against its best-bounded partners;
-   at last every surviving pair that still lies in two components. No link
-   between different components is left unverified.
+   pivots, once for all blocks that share their first member; what is still
+   apart, against its best-bounded partners; at last every surviving pair that
+   still lies in two components. No link between different components is left
+   unverified. Blocks of many members are cut into slices: all have the same
+   pivots, and in the last round members outside a block's largest component
+   visit all of its slices.
 5. Components: by one task up to MAX_LINKS links, else by repeated contraction
    of all links to the smallest neighbour.
 
 A tree alone, without blocks, would compare each document with a share of all
 others, as high-dimensional points hardly separate: that grows with the square.
 
+Shingles and sets go by 64-bit hashes: exact as long as no two of them collide.
+
 Defined results
 - words are split at ASCII white space, A-Z lower-cased; fewer than five words
   are one shingle; no words: an empty set, linked with nothing.
@@ -435,6 +440,12 @@ def _block(slice_col: str) -> Column:
     return F.when(F.col("slices") == 1, F.col("token")).otherwise(F.xxhash64("token", slice_col))
 
 
+def _sliced(rows: DataFrame, size: str, slice_size: int) -> DataFrame:
+    """The rows of tokens with the blocks that they go to: one, or slices by the hash of the member."""
+    rows = rows.withColumn("slices", F.ceil(F.col(size) / slice_size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
+    return rows.withColumns({"block": _block("own"), "lead": F.lit(1)})
+
+
 def _guests(rows: DataFrame) -> DataFrame:
     """The rows as guests of the other slices of their tokens."""
     out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).filter("other <> own")
@@ -483,21 +494,27 @@ def _by_set(docs: DataFrame, slice_size: int, hot: int) -> tuple[DataFrame, Data
     by_token = prefixes.withColumn("lo", F.expr("min(sid) over (partition by token, part)")).withColumn("hi", F.expr("max(sid) over (partition by token, part)"))
     members = stored(by_token.filter("lo <> hi or part > 0").select("token", F.col("sid").alias("rep")).distinct(), "members")
     sizes = members.groupBy("token").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
+    sizes = stored(sizes, "sizes")
+    # blocks with the same first member (pivot): most likely of one group of near-copies
+    sizes = sizes.join(sizes.groupBy("pivot").agg(F.max("size").alias("most")), "pivot")
     sized = members.join(sizes, "token").join(reps.select("rep", "n", "vec", "many"), "rep")
-    sized = sized.withColumn("vec", F.when(F.col("size") > LEAF, F.col("many")).otherwise(F.col("vec")))
+    sized = sized.withColumn("solo", F.expr("row_number() over (partition by rep, pivot order by token) = 1"))
+    sized = sized.withColumn("vec", F.when(F.col("most") > LEAF, F.col("many")).otherwise(F.col("vec")))
     # blocks beyond slice_size members are cut into slices
-    sized = sized.withColumn("slices", F.ceil(F.col("size") / slice_size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
-    blocks = cut(_dealt(sized.withColumn("block", _block("own")).withColumn("lead", F.lit(1)).select("block", "rep", "n", "vec", "pivot", "token", "slices", "own", "lead")))
-    sliced = not blocks.filter("slices > 1").isEmpty()
+    sized = _sliced(sized, "size", slice_size).select("block", "rep", "n", "vec", "pivot", "token", "slices", "own", "lead", "solo", "most")
+    blocks = cut(_dealt(sized))
+    sliced = not blocks.filter(F.col("most") > slice_size).isEmpty()
 
     links, comps, tested = None, None, None
     for mode in ("pivots", "best", "rest"):
-        if comps is None:
-            rows_in = blocks.withColumn("comp", F.col("rep"))
+        if mode == "pivots":
+            # a member meets the first ones of all blocks with one pivot once, not in every block: rows and pairs follow members, not members times tokens
+            rows_in = _sliced(blocks.filter("solo").withColumn("token", F.col("pivot")), "most", slice_size).withColumn("comp", F.col("rep"))
+            moved = True
         else:
-            at = small(comps.select(F.col("node").alias("rep"), "comp"))
-            rows_in = blocks.join(at, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        moved = comps is not None and comps.count() > MAX_BROADCAST
+            at = small(comps.select(F.col("node").alias("rep"), "comp")) if comps is not None else None
+            rows_in = (blocks if at is None else blocks.join(at, "rep", "left")).withColumn("comp", F.coalesce("comp", "rep") if at is not None else F.col("rep"))
+            moved = comps is not None and comps.count() > MAX_BROADCAST
         if sliced and mode != "best":
             rows_in, moved = rows_in.unionByName((_pivots if mode == "pivots" else _visitors)(rows_in)), True
         rows_in = (_dealt(rows_in) if moved else rows_in).select("block", "rep", "n", "vec", "comp")
