@@ -125,8 +125,9 @@ def test_quality_reads_long_words_whole():
 # -- 3
 
 
-@pytest.mark.parametrize("per_bucket", [2, 1000])
-def test_next_document_and_edit(spark, per_bucket):
+@pytest.mark.parametrize("per_bucket", [1, 2, 1000])
+def test_next_document_and_edit(spark, per_bucket, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MAX_CUTS", 1 if per_bucket == 1 else 4096)
     texts = [f"text number {i} " * (i % 7) for i in range(40)]
     ids = [(i * 37) % 101 - 20 for i in range(38)] + [None, 5_000_000_000]
     df = docs(spark, texts, ids).select("doc_id", "text")
@@ -148,26 +149,71 @@ def test_fingerprint_edges(spark):
     h = lambda x: hashlib.sha256(x.encode()).hexdigest()
     section = h(h("p q r") + "\n" + h("s t u"))
     assert root == h(section)
-    leaf = lambda x: hashlib.md5(x.encode()).hexdigest()[:8]
-    assert tree == f"{section[:16]}/{'.'.join(map(leaf, ['p ', 'q ', 'r']))},{'.'.join(map(leaf, ['s ', 't ', 'u']))}"
+    assert tree == f"{section[:16]}/{h('p q r')[:12]}:{'.'.join(map(leaf, ['p ', 'q ', 'r']))},{h('s t u')[:12]}:{'.'.join(map(leaf, ['s ', 't ', 'u']))}"
+
+
+def leaf(x):
+    return hashlib.md5(x.encode()).hexdigest()[:8]
+
+
+def word_leaves(par):
+    return [leaf(w) for w in re.findall(r"\s*\S+\s*|\s+", par, re.ASCII)]
+
+
+def folded(leaves):
+    """Runs that end with a leaf that starts with 0 or 1, of at most 32."""
+    out, run = [], []
+    for i, x in enumerate(leaves):
+        run.append(x)
+        if x[0] in "01" or len(run) == 32 or i == len(leaves) - 1:
+            out.append(leaf(".".join(run)))
+            run = []
+    return out
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    sets = [{x for p in t.split("\n") for x in (folded(word_leaves(p)) if max(len(a), len(b)) >= fingerprints.SHORT else word_leaves(p))} for t in (a, b)]
+    return 2 * len(sets[0] & sets[1]) / n if (n := len(sets[0]) + len(sets[1])) else 0.0
 
 
 def test_likeness_across_the_short_limit(spark):
-    words = " ".join(f"w{i:03d}" for i in range(80))
-    cut = lambda n: words[:n]
-    pairs = [(cut(303), cut(213)), (cut(257), cut(255)), (cut(213), cut(303)), ("a b c\n" + cut(260), "a b c"), (cut(300), "z " * 50), (cut(300), "")]
+    words = " ".join(f"w{i:03d}" for i in range(400))
+    pairs = [(words[:1230], words[:870]), (words[:1025], words[:1023]), (words[:870], words[:1230]), ("a b c\n" + words[:1100], "a b c"), (words[:1200], "z " * 50), (words[:1200], ""), (words[:1900], "new " + words[:1900])]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     df = df.withColumns({"a": fingerprints.fingerprint(F.col("a")), "b": fingerprints.fingerprint(F.col("b"))})
     got = [r.n for r in df.select("i", fingerprints.likeness(F.col("a"), F.col("b")).alias("n")).orderBy("i").collect()]
-
-    def dice(a, b):  # leaves of eight words a line on both sides
-        h = lambda x: hashlib.md5(x.encode()).hexdigest()[:8]
-        fold = lambda t: {h(".".join(map(h, w[k : k + 8]))) for w in (re.findall(r"\S+\s*", p) for p in t.split("\n")) for k in range(0, len(w), 8)}
-        x, y = fold(a), fold(b)
-        return 2 * len(x & y) / (len(x) + len(y))
-
-    assert got == pytest.approx([dice(a, b) for a, b in pairs])
-    assert got[0] > 0.6 and got[1] > 0.8 and got[0] == got[2] and got[3] > 0 and got[4] == got[5] == 0
+    assert got == pytest.approx([alike(a, b) for a, b in pairs])
+    assert got[0] > 0.6 and got[1] > 0.9 and got[0] == got[2] and got[3] > 0 and got[4] == got[5] == 0 and got[6] > 0.9
+
+
+def test_differences_descend_the_tree(spark):
+    lines = [f"line {i} of the text with some words" for i in range(20)]
+    other = list(lines)
+    other[3], other[17] = "line 3 of another text with some words", "line 17"
+    long = [x + " and more of it" * 12 for x in lines]
+    cases = [("\n".join(a), "\n".join(b)) for a, b in ((lines, lines), (lines, other), (lines, lines[:19]), (lines, [*lines, ""]), (long, long[:5] + ["x"] + long[6:]), (lines, long))] + [("", ""), ("", "a"), ("a  b", "a  b "), (None, "")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a string, b string")
+    got = df.select("i", fingerprints.differences(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("d")).orderBy("i").collect()
+    found = [[tuple(x) for x in r.d] for r in got]
+    assert found[:5] == [[], [(3, 3), (17, 1)], [(19, None)], [(20, None)], [(5, 0)]]
+    assert [p for p, _ in found[5]] == list(range(20)) and found[6] == [] and found[7] == [(0, 0)] and found[8] == [(0, 1)] and found[9] == []
+
+
+def test_op3_matches_brute_force(spark, sf):
+    rows = fingerprints.op3_fingerprints(spark, sf).collect()
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    order = sorted(text, reverse=True)
+    assert len(rows) == len(text)
+    for r in rows:
+        mine, following = text[r.doc_id], text[order[(order.index(r.doc_id) + 1) % len(order)]]
+        k = len(mine) // 3
+        edited = mine[: len(mine) - k] + following[:k]
+        assert (r.n_chars, r.edited_sha256) == (len(mine), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == pytest.approx((alike(mine, edited), alike(mine, following)))
+        lines = list(itertools.zip_longest(mine.split("\n"), edited.split("\n")))
+        assert r.edited_from == next((i for i, (x, y) in enumerate(lines) if x != y), None)
 
 
 def test_op3_on_one_and_no_document(spark, tmp_path):
