@@ -10,8 +10,9 @@ is spread over as many tasks as it has cells.
 
 Defined results
 - null text: size 1, crc32 of the empty string; null stratum: a stratum of its
-  own; null ids take part with the hash of a fixed string.
-- ties (equal hash): broken by id, size and crc32; wholly equal rows are
+  own; null ids take part with the hash of their text.
+- the draw is of id and text, so rows that share an id, or have none, lie apart.
+  Ties (equal hash): broken by id, size and crc32; rows with equal id and text are
   interchangeable, so the set of results is fixed.
 - empty table: no rows. Extra columns are ignored and cannot clash.
 """
@@ -44,7 +45,7 @@ def proportional_shards(
     """One row per input row: id, size, text_crc32, stratum, rank, fraction, position, shard, slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.when(F.col(stratum).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(stratum).cast("string")))
-    draw = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    draw = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("|"), text))
     rows = df.select(
         F.col(id_col).alias("doc_id"),
         key.alias("stratum"),

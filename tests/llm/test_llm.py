@@ -524,7 +524,7 @@ def test_shards_keep_mixture_and_counts(spark, cell):
     text = {i: t or "" for i, t, *_ in rows}
     assert all(r.size == len(text[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
     # brute force of the order
-    draw = lambda i: int(hashlib.md5(f"tessera-shards-1|{i}".encode()).hexdigest()[:15], 16)
+    draw = lambda i: int(hashlib.md5(f"tessera-shards-1|{i}|{text[i]}".encode()).hexdigest()[:15], 16)
     strata = collections.defaultdict(list)
     for i, _, s, _ in rows:
         strata["n" if s is None else "s" + s].append(i)
@@ -532,6 +532,14 @@ def test_shards_keep_mixture_and_counts(spark, cell):
     assert [x[3] for x in sorted(place)] == [r.doc_id for r in sorted(got, key=lambda r: r.position)]
 
 
+def test_shards_of_rows_without_ids_lie_apart(spark):
+    rows = [(None if i % 2 else 7, f"text {i}", "one") for i in range(400)] + [(1, "same", "one")] * 30
+    got = sharding.proportional_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 8, rows_per_cell=5).collect()
+    assert sorted(r.position for r in got) == list(range(430))
+    by = collections.Counter(r.shard for r in got if r.doc_id == 7)
+    assert len(by) == 8 and max(by.values()) < 45
+
+
 def test_shards_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert sharding.proportional_shards(df).count() == 0
