@@ -82,15 +82,16 @@ def union(graphs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, graphs).distinct()
 
 
-def stored_graph(triples: DataFrame) -> DataFrame:
-    """The distinct triples as a Parquet table by predicate in the shared folder: queries read only the predicates they name.
+def stored_graph(triples: DataFrame, distinct: bool = True) -> DataFrame:
+    """The distinct triples as a Parquet table by predicate in the shared folder: queries read only the predicates they name. distinct: they are not so yet.
 
     Rebalancing gives every predicate as many files as its size needs, so a predicate with most of the triples is split.
     """
     from .runtime import fresh_path
 
     path = fresh_path(triples.sparkSession, "graph")
-    triples.select(*COLUMNS).distinct().hint("rebalance", "p").write.partitionBy("p").parquet(path)
+    rows = triples.select(*COLUMNS)
+    (rows.distinct() if distinct else rows).hint("rebalance", "p").write.partitionBy("p").parquet(path)
     schema = "s string, o string, s_kind string, o_kind string, o_lang string, o_dt string, p string"
     return triples.sparkSession.read.schema(schema).parquet(path).select(*COLUMNS)
 
@@ -111,7 +112,7 @@ def regulation(pairs: DataFrame, positive: bool = True) -> DataFrame:
     """
     kind = "activator" if positive else "inhibitor"
     cls, role_cls, process_cls = ("gene", "activator_role", "up_regulation") if positive else ("inhibitor", "inhibitor_role", "down_regulation")
-    numbered = pairs.withColumn("_n", F.row_number().over(Window.orderBy("ord", "agent", "mechanism"))).filter("known")
+    numbered = dense_number(pairs, ["ord", "agent", "mechanism"], "_n").filter("known")
     process = C.padded_id(f"{V.DATASET_NS}{'up' if positive else 'down'}reg_process_", F.col("_n"))
     role = F.concat(F.lit(V.DATASET_NS), C.local_name(F.col("agent")), F.lit("_"), C.local_name(F.col("mechanism")), F.lit(f"_{kind}_role"))
     a, r, p = F.col("agent"), F.col("_role"), F.col("_process")
@@ -177,19 +178,23 @@ def complexes(rows: DataFrame) -> DataFrame:
 
 
 def experiments(rows: DataFrame) -> DataFrame:
-    """Triples of experiments. rows: id, complex, cell_line, mechanism (array), location (array), pubmed, patent; rows of one id merge."""
-    e, x = F.concat(F.lit(f"{V.DATASET_NS}experiment_"), F.col("id").cast("string")), F.col("complex")
-    doc = C.publication_iri(F.col("pubmed"), F.col("patent"))
-    base = triples_of(
-        rows.withColumn("_doc", doc),
-        [
-            *individual(e, V.CLASSES["experiment"]), *both_ways(e, "has_participant", x), *both_ways(e, "has_participant", F.col("cell_line")),
-            *both_ways(e, "is_described_by", F.col("_doc")), iri(F.col("_doc"), V.RDF_TYPE, V.CLASSES["document"]),
-        ],
-    )
-    about = triples_of(rows.withColumn("m", F.explode("mechanism")), some_values(e, "is_about", F.col("m")))
-    placed = triples_of(rows.withColumn("l", F.explode("location")), some_values(x, "is_located_in", F.col("l")))
-    return base.unionByName(about).unionByName(placed)
+    """Triples of experiments. rows: id, complex, cell_line, mechanism (array), location (array), pubmed, patent; rows of one id merge.
+
+    A set: what several rows say alike is made one before it becomes triples, where rows are narrow.
+    """
+    e, x, doc, line = F.col("_e"), F.col("complex"), F.col("_doc"), F.col("cell_line")
+    rows = rows.withColumn("_e", F.concat(F.lit(f"{V.DATASET_NS}experiment_"), F.col("id").cast("string"))).withColumn("_doc", C.publication_iri(F.col("pubmed"), F.col("patent")))
+    m, l = F.explode("mechanism").alias("m"), F.explode("location").alias("l")  # noqa: E741
+    parts = [
+        ([e], individual(e, V.CLASSES["experiment"])),
+        ([e, x], both_ways(e, "has_participant", x)),
+        ([e, line], both_ways(e, "has_participant", line)),
+        ([e, doc], both_ways(e, "is_described_by", doc)),
+        ([doc], [iri(doc, V.RDF_TYPE, V.CLASSES["document"])]),
+        ([e, m], some_values(e, "is_about", F.col("m"))),
+        ([x, l], some_values(x, "is_located_in", F.col("l"))),
+    ]
+    return reduce(DataFrame.unionByName, [triples_of(rows.select(*of).distinct(), items) for of, items in parts])
 
 
 def ontology_header(spark, title: str, version: str = "1.0") -> DataFrame:

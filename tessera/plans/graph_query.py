@@ -125,23 +125,47 @@ def _sequence(t: DataFrame, term: str) -> DataFrame:
     return t.filter((F.col("p") == f"{V.SCHEMA_NS}sequence") & C.contains_text(F.col("o"), term)).select(F.col("s").alias("peptide")).distinct()
 
 
-def _through(name: str, relation: str):
-    """Peptides of complexes that take part in something, by the other end of a relation."""
+def _peptides(t: DataFrame, complexes: DataFrame) -> DataFrame:
+    """Peptides of the complexes. The type test keeps cargo out, which is part of the complexes too."""
+    parts = of(t, R["is_part_of"]).select(F.col("s").alias("peptide"), F.col("o").alias("complex"))
+    peptides = of(t, V.RDF_TYPE).filter(F.col("o") == V.CLASSES["peptide"]).select(F.col("s").alias("peptide"))
+    return parts.join(complexes, "complex", "left_semi").join(peptides, "peptide", "left_semi").select("peptide").distinct()
+
+
+def _pairs(t: DataFrame, relation: str, a: str, b: str) -> DataFrame:
+    return of(t, R[relation]).select(F.col("s").alias(a), F.col("o").alias(b))
+
 
-    def run(t: DataFrame, term: str) -> DataFrame:
-        parts = of(t, R["has_part"]).select(F.col("s").alias("complex"), F.col("o").alias("peptide"))
-        peptides = of(t, V.RDF_TYPE).filter(F.col("o") == V.CLASSES["peptide"]).select(F.col("s").alias("peptide"))
-        ends = of(t, R[relation]).select(F.col("s").alias("complex"), F.col("o").alias("node"))
-        hit = matches(t, ends.select("node").distinct(), term)
-        # the type test keeps cargo out, which shares the complexes
-        return ends.join(hit, "node", "left_semi").join(parts, "complex").join(peptides, "peptide", "left_semi").select("peptide").distinct()
+@facet("subcell")
+def _subcell(t: DataFrame, term: str) -> DataFrame:
+    """Complexes located in the place (an IRI), or in one with the text in a label. On a materialized graph."""
+    ends = _pairs(t, "is_located_in", "complex", "node")
+    return _peptides(t, ends.join(matches(t, ends.select("node").distinct(), term), "node", "left_semi"))
 
-    FACETS[name] = run
+
+@facet("cell_line")
+def _cell_line(t: DataFrame, term: str) -> DataFrame:
+    """Complexes of experiments with the cell line (an IRI), or one with the text in a label. Peptides alone, for text too."""
+    ends = _pairs(t, "has_participant", "experiment", "node")
+    held = ends.join(matches(t, ends.select("node").distinct(), term), "node", "left_semi")
+    return _peptides(t, _pairs(t, "is_participant_in", "complex", "experiment").join(held, "experiment", "left_semi"))
+
+
+@facet("cargo")
+def _cargo(t: DataFrame, term: str) -> DataFrame:
+    """Complexes with the cargo (an IRI), or with cargo of a type that has the text."""
+    ends = _pairs(t, "is_part_of", "node", "complex")
+    if "://" in term:
+        return _peptides(t, ends.filter(F.col("node") == term))
+    hit = of(t, f"{V.SCHEMA_NS}cargoType").filter(C.contains_text(F.col("o"), term)).select(F.col("s").alias("node"))
+    return _peptides(t, ends.join(hit, "node", "left_semi"))
 
 
-_through("location", "is_located_in")
-_through("experiment", "is_participant_in")
-_through("cargo", "has_part")
+@facet("doc_id")
+def _doc_id(t: DataFrame, term: str) -> DataFrame:
+    """Complexes of experiments that a document with the text in its IRI describes."""
+    held = _pairs(t, "is_described_by", "experiment", "node").filter(C.contains_text(F.col("node"), term))
+    return _peptides(t, _pairs(t, "is_participant_in", "complex", "experiment").join(held, "experiment", "left_semi"))
 
 
 @facet("mechanism")

@@ -10,17 +10,22 @@ from .graph_build import COLUMNS, stored_graph
 from .runtime import cut
 
 MAX_LOCAL = 200_000  # edges of a hierarchy that is closed on the driver
+MAX_CLOSED = 2_000_000  # edges of its closure
+MAX_NAMES = 1000  # predicates that are named in a filter
 
 
 def closure(edges: DataFrame, a: str = "child", b: str = "parent", max_local: int = MAX_LOCAL) -> DataFrame:
     """The transitive closure of edges; cycles give self-loops. Null ends are ignored.
 
-    Class hierarchies are small beside their instances: up to max_local edges are closed at once on the driver, beyond
-    that by rounds of joins that double the length of the paths, each cut to the shared folder.
+    Class hierarchies are small beside their instances: up to max_local edges are closed at once on the driver, as long as
+    the closure has at most MAX_CLOSED; beyond that by rounds of joins that double the length of the paths, each cut to
+    the shared folder.
     """
     edges = edges.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     if edges.limit(max_local + 1).count() <= max_local:
-        return _local_closure(edges, a, b)
+        closed = _local_closure(edges)
+        if closed is not None:
+            return edges.sparkSession.createDataFrame(closed, edges.schema)
     known = cut(edges)
     while True:
         left, right = known.select(a, F.col(b).alias("_m")), known.select(F.col(a).alias("_m"), b)
@@ -30,7 +35,8 @@ def closure(edges: DataFrame, a: str = "child", b: str = "parent", max_local: in
         known = grown
 
 
-def _local_closure(edges: DataFrame, a: str, b: str) -> DataFrame:
+def _local_closure(edges: DataFrame) -> list[tuple] | None:
+    """The rows of the closure; None where they are too many for the driver."""
     up: dict = {}
     for x, y in edges.toLocalIterator():
         up.setdefault(x, set()).add(y)
@@ -42,8 +48,10 @@ def _local_closure(edges: DataFrame, a: str, b: str) -> DataFrame:
             if y not in seen:
                 seen.add(y)
                 todo.extend(up.get(y, ()))
+            if len(rows) + len(seen) > MAX_CLOSED:
+                return None
         rows += [(x, y) for y in seen]
-    return edges.sparkSession.createDataFrame(rows, edges.schema)
+    return rows
 
 
 def closure_sql_plan(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -61,8 +69,10 @@ def _as_triples(df: DataFrame, p: str, s_kind: str = "iri") -> DataFrame:
     return df.select("s", F.lit(p).alias("p") if p else F.col("p"), "o", F.when(F.col("s").startswith("_:"), "bnode").otherwise(s_kind).alias("s_kind"), kind.alias("o_kind"), none.alias("o_lang"), none.alias("o_dt"))
 
 
-def missing(new: DataFrame, triples: DataFrame) -> DataFrame:
-    """Those of new that the graph lacks."""
+def missing(new: DataFrame, triples: DataFrame, predicates: list[str] | None = None) -> DataFrame:
+    """Those of new that the graph lacks. predicates: those that new can have; of a stored graph no others are read."""
+    if predicates is not None:
+        triples = triples.filter(F.col("p").isin(predicates))
     return new.distinct().join(triples.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select(*COLUMNS)
 
 
@@ -70,7 +80,7 @@ def subclass_closure(triples: DataFrame) -> DataFrame:
     """New subClassOf triples; blank superclasses take part."""
     edges = of(triples, V.SUB_CLASS_OF).select(F.col("s").alias("child"), F.col("o").alias("parent"))
     closed = closure(edges).select(F.col("child").alias("s"), F.col("parent").alias("o"))
-    return missing(_as_triples(closed, V.SUB_CLASS_OF), triples)
+    return missing(_as_triples(closed, V.SUB_CLASS_OF), triples, [V.SUB_CLASS_OF])
 
 
 def restrictions(triples: DataFrame) -> DataFrame:
@@ -84,21 +94,22 @@ def unfold_restrictions(triples: DataFrame) -> DataFrame:
     """x of type (some p C) gives x p C."""
     types = of(triples, V.RDF_TYPE).filter("o_kind = 'bnode'").select("s", F.col("o").alias("bnode"))
     rows = types.join(restrictions(triples), "bnode").select("s", F.col("on_property").alias("p"), F.col("some_values").alias("o"))
-    return missing(_as_triples(rows, ""), triples)
+    named = [r[0] for r in of(triples, V.ON_PROPERTY).select("o").distinct().limit(MAX_NAMES + 1).collect()]
+    return missing(_as_triples(rows, ""), triples, named if len(named) <= MAX_NAMES else None)
 
 
 def propagate_types(triples: DataFrame) -> DataFrame:
     """x of type C, C below D gives x of type D; one pass, as the hierarchy is closed already."""
     types = of(triples, V.RDF_TYPE).filter("s_kind = 'iri'").select("s", F.col("o").alias("c"))
     up = of(triples, V.SUB_CLASS_OF).select(F.col("s").alias("c"), "o")
-    return missing(_as_triples(types.join(up, "c").select("s", "o"), V.RDF_TYPE), triples)
+    return missing(_as_triples(types.join(up, "c").select("s", "o"), V.RDF_TYPE), triples, [V.RDF_TYPE])
 
 
-def materialize(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The graph with what the rules add, in their order, and counts: rule, n."""
-    graph, counts = stored_graph(triples), None
+def materialize(triples: DataFrame, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The graph with what the rules add, in their order, stored by predicate; and counts: rule, n. stored: the graph is so already."""
+    graph, counts = triples if stored else stored_graph(triples), None
     for name, rule in (("subclass_closure", subclass_closure), ("unfold_restrictions", unfold_restrictions), ("propagate_types", propagate_types)):
-        new = cut(rule(graph))
+        new = stored_graph(rule(graph), distinct=False)
         row = new.agg(F.lit(name).alias("rule"), F.count("*").alias("n"))
         counts = row if counts is None else counts.unionByName(row)
         graph = graph.unionByName(new)

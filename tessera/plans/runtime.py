@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,20 @@ def stored(df: DataFrame, kind: str = "part") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remembered(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s table, made once a session for these sources as they are (paths, times, sizes); make it a stored one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    key = [name]
+    for source in sources:
+        path = jvm.org.apache.hadoop.fs.Path(source)
+        fs = path.getFileSystem(conf)
+        key += [source, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()]
+    known = spark.sparkContext.__dict__.setdefault("_tessera_tables", {})
+    if tuple(key) not in known:
+        known[tuple(key)] = make()
+    return known[tuple(key)]
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -1,7 +1,10 @@
 """Graph construction, reasoning and graph queries over a graph of the driver tables.
 
 peptide = part, cargo = supplier, complex = distinct (part, supplier) of lineitem,
-place = nation below region below Place, mechanism = order priority.
+experiment = row of lineitem, cell line = market segment of the order's customer,
+place = nation below region below Place, gene and inhibitor = nation.
+
+Graphs are stored by predicate once a session; the queries read the predicates they name.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from ..operators import shapes
 from ..plans import graph_build as B
 from ..plans import graph_query as Q
 from ..plans import reasoner
+from ..plans.runtime import remembered
 from ..plans.runtime import table as T
 from ..plans.sparql import sparql
 from .registry import Registry
@@ -27,6 +31,15 @@ pairs as (select distinct l_partkey, l_suppkey, '{NS}c' || l_partkey || '_' || l
   from lineitem join supplier on l_suppkey = s_suppkey)"""
 
 
+def kept(name, *tables):
+    """The graph that a function builds, without repeated triples, stored once for these tables."""
+
+    def wrap(make):
+        return lambda s, d: remembered(s, name, [f"{d}/{t}.parquet" for t in tables], lambda: B.stored_graph(make(s, d), distinct=False))
+
+    return wrap
+
+
 def pairs(s, d):
     rows = T(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(F.broadcast(T(s, d, "supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
     iri = lambda kind, *c: F.concat(F.lit(NS + kind), *c)
@@ -45,6 +58,7 @@ def hierarchy(s, d):
     return up.unionByName(top)
 
 
+@kept("located", "lineitem", "supplier", "nation", "region")
 def located(s, d):
     """Complexes, each located in its supplier's nation, and the hierarchy."""
     p = pairs(s, d)
@@ -52,24 +66,31 @@ def located(s, d):
     return B.triples_of(p, [B.iri(x, V.RDF_TYPE, K["complex"]), *B.some_values(x, "is_located_in", F.col("place"))]).unionByName(hierarchy(s, d))
 
 
+@kept("placed", "lineitem", "supplier", "nation", "region")
+def placed(s, d):
+    """Complexes whose roles are realized in their suppliers' nations, and the hierarchy."""
+    return B.complexes(pairs(s, d).withColumn("mechanism", F.array("place"))).unionByName(hierarchy(s, d))
+
+
+@kept("molecular", "lineitem", "supplier", "part")
 def molecular(s, d):
-    """Peptides, cargo and complexes with their roles, labels and sequences, all but the places."""
+    """Peptides, cargo and complexes with their roles, labels, sequences and types, all but the places."""
     p = pairs(s, d).withColumn("mechanism", F.array(F.concat(F.lit(f"{NS}mech"), (F.col("l_partkey") % 3).cast("string"))))
     part, supp = T(s, d, "part"), T(s, d, "supplier")
     me = F.concat(F.lit(f"{NS}part"), "p_partkey")
     peptides = B.triples_of(part, [*B.individual(me, K["peptide"], F.col("p_name")), B.literal(me, f"{V.SCHEMA_NS}sequence", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))))])
     you = F.concat(F.lit(f"{NS}supp"), "s_suppkey")
-    cargo = B.triples_of(supp, B.individual(you, K["cargo"], F.col("s_name")))
-    return B.union([B.complexes(p), peptides, cargo])
+    cargo = B.triples_of(supp, [*B.individual(you, K["cargo"], F.col("s_name")), B.literal(you, f"{V.SCHEMA_NS}cargoType", F.concat(F.lit("type "), F.col("s_nationkey").cast("string")))])
+    return B.complexes(p).unionByName(peptides).unionByName(cargo)
 
 
 def experimental(s, d):
-    """Experiments: an order line's complex in a cell line (the order's customer segment), with publications."""
+    """Experiments: every order line's complex in a cell line (the order's customer segment), with publications."""
     l, o = T(s, d, "lineitem"), T(s, d, "orders")  # noqa: E741
     c = T(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, "o_custkey").filter("l_linenumber = 1")
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, "o_custkey")
     rows = rows.select(
-        F.col("l_orderkey").alias("id"), F.concat(F.lit(f"{NS}c"), "l_partkey", F.lit("_"), "l_suppkey").alias("complex"), F.concat(F.lit(f"{NS}cell_"), "c_mktsegment").alias("cell_line"),
+        F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit(f"{NS}c"), "l_partkey", F.lit("_"), "l_suppkey").alias("complex"), F.concat(F.lit(f"{NS}cell_"), "c_mktsegment").alias("cell_line"),
         F.array(F.concat(F.lit(f"{NS}mech"), (F.col("l_partkey") % 3).cast("string"))).alias("mechanism"), F.array(F.concat(F.lit(f"{NS}loc"), (F.col("l_suppkey") % 4).cast("string"))).alias("location"),
         F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey").cast("string")).alias("pubmed"), F.concat(F.lit("US "), F.col("o_custkey").cast("string")).alias("patent"),
     )
@@ -98,10 +119,10 @@ def _types(s, d):
 add("propagate_types", _types, f"{LOCATED} select p.place || '/i' s, c.b o from (select distinct place from pairs) p join closed c on p.place = c.a")
 add(
     "materialize_stats",
-    lambda s, d: reasoner.materialize(located(s, d))[1],
+    lambda s, d: reasoner.materialize(located(s, d), stored=True)[1],
     f"{LOCATED} select 'subclass_closure' as rule, count(*) n from (select a, b from closed except select a, b from up) union all select 'unfold_restrictions', count(*) from pairs union all select 'propagate_types', 0",
 )
-add("materialized_size", lambda s, d: reasoner.materialize(located(s, d))[0].agg(F.count("*").alias("n")), f"{LOCATED} select cast((select count(*) from pairs) * 6 + (select count(*) from closed) + (select count(*) from labels) as bigint) n")
+add("materialized_size", lambda s, d: reasoner.materialize(located(s, d), stored=True)[0].agg(F.count("*").alias("n")), f"{LOCATED} select cast((select count(*) from pairs) * 6 + (select count(*) from closed) + (select count(*) from labels) as bigint) n")
 
 # competency queries
 ASIA = f"{NS}region2"
@@ -116,7 +137,7 @@ def regulation_pairs(s, d):
 
 REG_SQL = f"reg as (select n_nationkey k, '{NS}gene' || n_nationkey agent, '{NS}gene' || n_nationkey || '_region' as x, n_regionkey r, n_name, '{NS}upreg_process_' || printf('%04d', n_nationkey + 1) as process, 'gene' || n_nationkey || '_region' || n_regionkey rn from nation where n_nationkey % 5 <> 4)"
 add("cq2", lambda s, d: Q.role_chain(B.regulation(regulation_pairs(s, d)).distinct(), K["gene"], K["activator_role"]), f"with {REG_SQL} select agent, '{NS}' || rn || '_activator_role' as role, process, '{NS}region' || r as value, n_name as label from reg")
-add("cq1", lambda s, d: Q.subsumption(B.union([B.complexes(pairs(s, d).withColumn("mechanism", F.array("place"))), hierarchy(s, d)]), "is_realized_in", ASIA), f"{LOCATED}, hit as (select * from pairs where place in (select a from closed where b = '{ASIA}' union select '{ASIA}')) select peptide agent, complex || '_peptide_role' as role, place as value from hit union select cargo, complex || '_cargo_role', place from hit")
+add("cq1", lambda s, d: Q.subsumption(placed(s, d), "is_realized_in", ASIA), f"{LOCATED}, hit as (select * from pairs where place in (select a from closed where b = '{ASIA}' union select '{ASIA}')) select peptide agent, complex || '_peptide_role' as role, place as value from hit union select cargo, complex || '_cargo_role', place from hit")
 REG_COUNTS = " union all ".join(
     f"select '{p}' p, (select {n} from c) n"
     for p, n in [
@@ -127,7 +148,7 @@ REG_COUNTS = " union all ".join(
 add("regulation_triples", lambda s, d: B.regulation(regulation_pairs(s, d)).distinct().groupBy("p").agg(F.count("*").alias("n")), f"with c as (select count(*) k, count(*) filter (where n_nationkey > 0) docs from nation where n_nationkey % 5 <> 4) {REG_COUNTS}")
 add("inhibitor_triples", lambda s, d: B.regulation(regulation_pairs(s, d), positive=False).distinct().filter(F.col("p") == R["is_realized_in"]).select("s", "o"), f"with {REG_SQL} select '{NS}' || rn || '_inhibitor_role' s, replace(process, 'upreg', 'downreg') o from reg")
 add("complex_triples", lambda s, d: B.complexes(pairs(s, d).withColumn("mechanism", F.array("place"))).distinct().filter(F.col("p") == R["has_part"]).select("s", "o"), f"with {PAIRS_SQL} select complex s, peptide o from pairs union select complex, cargo from pairs")
-EXP = f"exp as (select distinct l_orderkey id, '{NS}experiment_' || l_orderkey e, '{NS}c' || l_partkey || '_' || l_suppkey as complex, '{NS}cell_' || c_mktsegment cell, '{NS}loc' || l_suppkey % 4 loc, case when o_custkey % 2 = 0 and o_custkey <> 0 then 'http://identifiers.org/pubmed:' || o_custkey else 'US' || o_custkey end doc from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_linenumber = 1)"
+EXP = f"exp as (select distinct l_orderkey || '_' || l_linenumber id, l_partkey, l_suppkey, c_mktsegment, '{NS}part' || l_partkey as peptide, '{NS}experiment_' || l_orderkey || '_' || l_linenumber e, '{NS}c' || l_partkey || '_' || l_suppkey as complex, '{NS}cell_' || c_mktsegment cell, '{NS}loc' || l_suppkey % 4 loc, case when o_custkey % 2 = 0 and o_custkey <> 0 then 'http://identifiers.org/pubmed:' || o_custkey else 'US' || o_custkey end doc from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)"
 add("experiment_triples", lambda s, d: B.experiments(experimental(s, d)).distinct().filter(F.col("p").isin(R["has_participant"], R["is_described_by"])).select("s", "p", "o"), f"with {EXP} select e s, '{R['has_participant']}' p, complex o from exp union select e, '{R['has_participant']}', cell from exp union select e, '{R['is_described_by']}', doc from exp")
 add("feature_literals", lambda s, d: B.feature_literals(T(s, d, "part").selectExpr("p_partkey", "p_name as Sequence", "case when p_size % 2 = 0 then 'NA' else p_type end as Chirality"), F.concat(F.lit(NS), "p_partkey"), ["Sequence", "Chirality"]).select("s", "p", "o"), f"select '{NS}' || p_partkey s, '{V.SCHEMA_NS}sequence' p, p_name o from part union all select '{NS}' || p_partkey, '{V.SCHEMA_NS}chirality', p_type from part where p_size % 2 <> 0")
 add("class_declarations", lambda s, d: B.classes(T(s, d, "region").select(F.concat(F.lit(f"{V.OBO}GO_"), "r_regionkey").alias("iri"), F.col("r_name").alias("label")), K["mechanism"]).filter(F.col("p").endswith("seeAlso")).select("s", "o"), f"select '{V.OBO}GO_' || r_regionkey s, 'https://amigo.geneontology.org/amigo/term/GO:' || r_regionkey o from region")
@@ -139,14 +160,26 @@ add("node_kinds", lambda s, d: B.node_kinds(located(s, d).distinct()), f"{LOCATE
 add("association_summary", lambda s, d: B.relation_summary(molecular(s, d), [("complex has part", "complex", "has_part"), ("peptide in complex", "peptide", "is_part_of"), ("peptide role", "peptide", "has_attribute")]), f"with {PAIRS_SQL} select 'complex has part' as association, (select count(*) * 2 from pairs) n union all select 'peptide in complex', count(*) from pairs union all select 'peptide role', count(*) from pairs")
 
 
+def _around(s, d):
+    """Experiments, and what they name: cell lines and places with labels, and the regulation of mechanisms."""
+    line = F.concat(F.lit(f"{NS}cell_"), "c_mktsegment")
+    lines = B.triples_of(T(s, d, "customer").select("c_mktsegment").distinct(), B.individual(line, K["cell_line"], F.col("c_mktsegment")))
+    loc = F.concat(F.lit(f"{NS}loc"), "k")
+    locs = B.triples_of(T(s, d, "supplier").select((F.col("s_suppkey") % 4).cast("string").alias("k")).distinct(), [B.literal(loc, V.RDFS_LABEL, F.concat(F.lit("Compartment "), "k"))])
+    agents = regulation_pairs(s, d).withColumn("pubmed", (F.col("ord") + 10**9).cast("string"))  # no publication of an experiment
+    regulated = B.regulation(agents).unionByName(B.regulation(agents, positive=False)).distinct()
+    return B.experiments(experimental(s, d)).unionByName(lines).unionByName(locs).unionByName(regulated)
+
+
 def _full(s, d):
-    """The materialized graph of molecules and experiments."""
-    g = B.union([molecular(s, d), B.experiments(experimental(s, d))])
-    return B.stored_graph(reasoner.materialize(g)[0])
+    """The materialized graph of molecules, experiments and regulation."""
+    tables = ["lineitem", "supplier", "part", "orders", "customer", "nation"]
+    return remembered(s, "full", [f"{d}/{t}.parquet" for t in tables], lambda: reasoner.materialize(molecular(s, d).unionByName(B.stored_graph(_around(s, d), distinct=False)), stored=True)[0])
 
 
-add("association_catalogue", lambda s, d: Q.association_counts(_full(s, d)), f"""with {PAIRS_SQL}, {EXP} select 'Positively Regulates' as name, 0::bigint n union all select 'Negatively Regulates', 0 union all select 'Cargo Role: Is Realized In', (select count(*) from pairs) union all select 'Peptide Role: Is Realized In', (select count(*) from pairs)
-union all select 'Complex: Is Participant In', (select count(distinct complex) from exp) union all select 'Cell Line: Is Participant In', 0 union all select 'Delivery Localization', (select count(distinct complex) from exp)""")
+add("association_catalogue", lambda s, d: Q.association_counts(_full(s, d)), f"""with {PAIRS_SQL}, {EXP}, known as (select count(*) n from nation where n_nationkey % 5 <> 4)
+select 'Positively Regulates' as name, n from known union all select 'Negatively Regulates', n from known union all select 'Cargo Role: Is Realized In', (select count(*) from pairs) union all select 'Peptide Role: Is Realized In', (select count(*) from pairs)
+union all select 'Complex: Is Participant In', (select count(distinct complex) from exp) union all select 'Cell Line: Is Participant In', (select count(distinct cell) from exp) union all select 'Delivery Localization', (select count(distinct complex) from exp)""")
 
 # paths and patterns
 add("path_plus", lambda s, d: Q.path_plus(hierarchy(s, d), V.SUB_CLASS_OF), f"{LOCATED} select a, b from closed")
@@ -156,7 +189,7 @@ add("bgp_join", lambda s, d: Q.bgp(molecular(s, d), ("?c", V.RDF_TYPE, K["comple
 add("optional_join", lambda s, d: Q.pattern(located(s, d), "?x", V.SUB_CLASS_OF, "?up").join(Q.labels(located(s, d)).withColumnRenamed("node", "up"), "up", "left").select("x", "up", "label"), f"{LOCATED} select a x, b up, label from up left join labels on b = node")
 add("union_patterns", lambda s, d: Q.pattern(hierarchy(s, d), "?x", V.SUB_CLASS_OF, f"{NS}region0").unionByName(Q.pattern(hierarchy(s, d), "?x", V.SUB_CLASS_OF, f"{NS}region1")).distinct(), f"{LOCATED} select a x from up where b in ('{NS}region0', '{NS}region1')")
 add("bind_replace", lambda s, d: pairs(s, d).select("place").distinct().select("place", F.concat(F.lit("http://remote/"), F.regexp_replace("place", "^.*/nation", "N_")).alias("remote")), f"with {PAIRS_SQL} select distinct place, 'http://remote/' || regexp_replace(place, '^.*/nation', 'N_') remote from pairs")
-add("federated_values", lambda s, d: Q.federated(pairs(s, d).select("complex", "place").distinct(), T(s, d, "nation").select(F.concat(F.lit(f"{NS}nation"), "n_nationkey").alias("place"), F.col("n_name").alias("name")).filter("n_nationkey < 10"), ["place"]), f"with {PAIRS_SQL} select complex, place, n_name as name from pairs join nation on place = '{NS}nation' || n_nationkey where n_nationkey < 10")
+add("federated_values", lambda s, d: Q.federated(pairs(s, d).select("complex", "place").distinct(), T(s, d, "nation").select(F.concat(F.lit(f"{NS}nation"), "n_nationkey").alias("place"), F.col("n_name").alias("name")), ["place"]), f"with {PAIRS_SQL} select complex, place, n_name as name from pairs join nation on place = '{NS}nation' || n_nationkey")
 add("federated_empty", lambda s, d: s.createDataFrame([(Q.federated(pairs(s, d).filter("false"), pairs(s, d), ["place"]) is None,)], "skipped boolean"), "select true skipped")
 
 # services
@@ -164,7 +197,25 @@ add("graph_metrics", lambda s, d: Q.graph_metrics(hierarchy(s, d).distinct()), f
 add("class_counts", lambda s, d: Q.class_counts(molecular(s, d).unionByName(hierarchy(s, d)), {"peptide": K["peptide"], "complex": K["complex"], "gene": K["gene"], "place": f"{NS}Place"}, [f"{NS}Place"]), f"with {PAIRS_SQL} select 'peptide' as name, '{K['peptide']}' iri, (select count(*) from part) n union all select 'complex', '{K['complex']}', (select count(*) from pairs) union all select 'gene', '{K['gene']}', 0 union all select 'place', '{NS}Place', (select count(*) from region)")
 add("instance_counts", lambda s, d: Q.instance_counts(molecular(s, d)).filter(F.col("class").isin(K["peptide"], K["cargo"])), f"select '{K['peptide']}' as class, null::varchar as label, count(*) n from part union all select '{K['cargo']}', null, count(*) from supplier")
 add("faceted_search", lambda s, d: Q.faceted_search(_full(s, d), {"sequence": "RING", "mechanism": f"{NS}mech1"}), f"with {PAIRS_SQL} select peptide, p_name as label, upper(replace(p_name, ' ', '')) as sequence from (select distinct peptide, l_partkey from pairs) join part on l_partkey = p_partkey where contains(upper(replace(p_name, ' ', '')), 'RING') and p_partkey % 3 = 1 order by peptide limit 250")
-add("facet_cargo_text", lambda s, d: Q.FACETS["cargo"](molecular(s, d), "Supplier#000000001"), f"with {PAIRS_SQL} select distinct peptide from pairs join supplier on l_suppkey = s_suppkey where contains(lower(s_name), 'supplier#000000001')")
+FACET_SQL = {
+    "sequence": "select '{ns}part' || p_partkey as peptide from part where contains(upper(replace(p_name, ' ', '')), 'RING')",
+    "mechanism": "select peptide from pairs where l_partkey % 3 = 1",
+    "subcell": "select peptide from pairs where contains(lower('Compartment ' || l_suppkey % 4), 'ment 2')",
+    "cell_line": "select peptide from exp where contains(lower(c_mktsegment), 'build')",
+    "cargo": "select peptide from pairs join supplier on l_suppkey = s_suppkey where contains('type ' || s_nationkey, 'type 1')",
+    "doc_id": "select peptide from exp where contains(lower(doc), 'pubmed:1')",
+}
+FACET_TERMS = {"sequence": "RING", "mechanism": f"{NS}mech1", "subcell": "MENT 2", "cell_line": "build", "cargo": "Type 1", "doc_id": "PubMed:1"}
+for _name, _sql in FACET_SQL.items():
+    add(f"facet_{_name}", lambda s, d, name=_name: Q.FACETS[name](_full(s, d), FACET_TERMS[name]), f"with {PAIRS_SQL}, {EXP} select distinct peptide from ({_sql.format(ns=NS)})")
+add("facet_cell_line_iri", lambda s, d: Q.FACETS["cell_line"](_full(s, d), f"{NS}cell_BUILDING"), f"with {EXP} select distinct peptide from exp where c_mktsegment = 'BUILDING'")
+add("facet_cargo_iri", lambda s, d: Q.FACETS["cargo"](_full(s, d), f"{NS}supp3"), f"with {PAIRS_SQL} select distinct peptide from pairs where l_suppkey = 3")
+add("facet_cargo_text", lambda s, d: Q.FACETS["cargo"](molecular(s, d), "type 1"), f"with {PAIRS_SQL} select distinct peptide from pairs join supplier on l_suppkey = s_suppkey where contains('type ' || s_nationkey, 'type 1')")
+add(
+    "faceted_all",
+    lambda s, d: Q.faceted_search(_full(s, d), FACET_TERMS),
+    f"with {PAIRS_SQL}, {EXP}, hit as ({' intersect '.join(x.format(ns=NS) for x in FACET_SQL.values())}) select peptide, p_name as label, upper(replace(p_name, ' ', '')) as sequence from hit join part on peptide = '{NS}part' || p_partkey order by peptide limit 250",
+)
 add("browse_page", lambda s, d: Q.browse(molecular(s, d), K["peptide"], "ring", 2, 20)[0], f"select '{NS}part' || p_partkey as node, p_name as label from part where contains(lower(p_name), 'ring') order by lower(p_name), '{NS}part' || p_partkey limit 20 offset 20")
 add("browse_counts", lambda s, d: Q.browse(molecular(s, d), K["peptide"], "ring", 2, 20)[1], "select count(*) total, greatest(1, cast(ceil(count(*) / 20.0) as bigint)) pages from part where contains(lower(p_name), 'ring')")
 add("autocomplete", lambda s, d: Q.autocomplete(molecular(s, d), K["peptide"], "red"), f"select '{NS}part' || p_partkey as node, p_name as label from part where contains(lower(p_name), 'red') order by lower(p_name), '{NS}part' || p_partkey limit 250")
@@ -178,7 +229,17 @@ add("query_preview", lambda s, d: s.createDataFrame([("PushedFilters" in Q.previ
 
 # shapes
 add("shape_validate", lambda s, d: shapes.validate(molecular(s, d).filter(~((F.col("p") == R["has_part"]) & F.col("s").endswith("_7") & F.col("o").contains("/supp")))).select("shape", "focus"), f"with {PAIRS_SQL} select 'Complex' shape, complex focus from pairs where l_suppkey % 10 = 7 and cast(l_suppkey as varchar) = '7' union select 'Peptide', '{NS}part' || p_partkey from part where p_partkey not in (select l_partkey from pairs) union select 'Cargo', '{NS}supp' || s_suppkey from supplier where s_suppkey not in (select l_suppkey from pairs)")
-add("shape_summary", lambda s, d: shapes.summary(molecular(s, d)).filter("n > 0").select("shape", "n"), f"with {PAIRS_SQL} select 'Peptide' shape, (select count(*) from part) n union all select 'Cargo', (select count(*) from supplier) union all select 'Complex', (select count(*) from pairs) union all select 'Peptide Role', (select count(*) from pairs) union all select 'Cargo Role', (select count(*) from pairs)")
+add("shape_summary_counts", lambda s, d: shapes.summary(molecular(s, d)).filter("n > 0").select("shape", "n"), f"with {PAIRS_SQL} select 'Peptide' shape, (select count(*) from part) n union all select 'Cargo', (select count(*) from supplier) union all select 'Complex', (select count(*) from pairs) union all select 'Peptide Role', (select count(*) from pairs) union all select 'Cargo Role', (select count(*) from pairs)")
+
+SKIPPED = "Gene, Inhibitor, Activator Role, Inhibitor Role, Cell Line, Subcellular Entity, Uptake Mechanism, Experiment, Document"
+add(
+    "shape_summary",
+    lambda s, d: shapes.summary(molecular(s, d)),
+    f"""with {PAIRS_SQL}, k as (select 'Peptide' shape, (select count(*) from part) n, (select count(*) from part where p_partkey not in (select l_partkey from pairs)) failed
+  union all select 'Cargo', (select count(*) from supplier), (select count(*) from supplier where s_suppkey not in (select l_suppkey from pairs))
+  union all select unnest(['Complex', 'Peptide Role', 'Cargo Role']), (select count(*) from pairs), 0 union all select unnest(string_split('{SKIPPED}', ', ')), 0, 0)
+select shape, n, failed, n - failed as passed, case when n = 0 then 'skipped' when failed = 0 then 'passed' else 'failed' end as status from k""",
+)
 
 # SPARQL text
 SUB = V.SUB_CLASS_OF

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..operators import linking as L
 from ..operators import metrics as M
+from ..plans.graph_build import dense_number
 from ..plans.runtime import table as T
 from .registry import Registry
 
@@ -39,11 +40,8 @@ exact as (select m.mention, case when trim(m.mention) = '' then null else curie
 
 
 def lex_parts(s, d):
-    """terms and synonyms: numbered by name, one small sorted run of distinct names."""
-    names = T(s, d, "part").select("p_name").distinct()
-    from pyspark.sql import Window
-
-    terms = names.withColumn("ord", F.row_number().over(Window.orderBy("p_name")).cast("long"))
+    """terms and synonyms: the distinct names, numbered in order."""
+    terms = dense_number(T(s, d, "part").select("p_name").distinct(), ["p_name"], "ord").withColumn("ord", F.col("ord").cast("long"))
     base = terms.select("ord", F.concat(F.lit("T:"), "ord").alias("curie"), F.when(F.col("ord") % 3 == 0, F.concat("p_name", F.lit(" cell"))).otherwise(F.col("p_name")).alias("label"), "p_name")
     return base.select("ord", "curie", "label"), base.select("ord", "curie", "label", F.concat(F.lit("the "), "p_name").alias("synonym"))
 
