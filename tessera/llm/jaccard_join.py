@@ -507,17 +507,19 @@ def _by_set(docs: DataFrame, slice_size: int, hot: int) -> tuple[DataFrame, Data
 
     links, comps, tested = None, None, None
     for mode in ("pivots", "best", "rest"):
-        if mode == "pivots":
-            # a member meets the first ones of all blocks with one pivot once, not in every block: rows and pairs follow members, not members times tokens
-            rows_in = _sliced(blocks.filter("solo").withColumn("token", F.col("pivot")), "most", slice_size).withColumn("comp", F.col("rep"))
-            moved = True
+        # in the first two rounds a member meets the others of all blocks with one pivot once, not in every block: rows and pairs follow members, not members times tokens
+        once = mode != "rest"
+        rows_in = _sliced(blocks.filter("solo").withColumn("token", F.col("pivot")), "most", slice_size) if once else blocks
+        if comps is None:
+            rows_in = rows_in.withColumn("comp", F.col("rep"))
         else:
-            at = small(comps.select(F.col("node").alias("rep"), "comp")) if comps is not None else None
-            rows_in = (blocks if at is None else blocks.join(at, "rep", "left")).withColumn("comp", F.coalesce("comp", "rep") if at is not None else F.col("rep"))
-            moved = comps is not None and comps.count() > MAX_BROADCAST
+            at = small(comps.select(F.col("node").alias("rep"), "comp"))
+            rows_in = rows_in.join(at, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         if sliced and mode != "best":
-            rows_in, moved = rows_in.unionByName((_pivots if mode == "pivots" else _visitors)(rows_in)), True
-        rows_in = (_dealt(rows_in) if moved else rows_in).select("block", "rep", "n", "vec", "comp")
+            rows_in = rows_in.unionByName((_pivots if mode == "pivots" else _visitors)(rows_in))
+        if once or sliced or comps is not None and comps.count() > MAX_BROADCAST:  # the blocks lie together as they were dealt otherwise
+            rows_in = _dealt(rows_in)
+        rows_in = rows_in.select("block", "rep", "n", "vec", "comp")
         pairs = rows_in.mapInArrow(lambda it, mode=mode: _blocks_to_pairs(mode, it), "a long, b long").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
