@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import os
+
+
+def named(path: str):
+    """The object that module:name names."""
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -21,7 +29,12 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--column", required=True)
     c.add_argument("--ontology", required=True, help="CURIE prefix")
     c.add_argument("--obo", required=True)
-    c.add_argument("--methods", default="exact")
+    c.add_argument("--methods", default="exact", help="comma-separated: exact, biosyn, rag")
+    c.add_argument("--fuzzy-threshold", type=float, default=0.92)
+    c.add_argument("--encoder", help="module:function that returns a pandas UDF of text vectors; by default hashed character runs")
+    c.add_argument("--rag-client", help="module:function(list of (mention, context)) -> list of ids")
+    c.add_argument("--rag-url", help="address of a chat completions service, in place of a client")
+    c.add_argument("--rag-model", default="")
     c = sub.add_parser("materialize", help="apply the rules to a graph")
     c.add_argument("input")
     c.add_argument("output")
@@ -51,14 +64,18 @@ def main(argv: list[str] | None = None) -> None:
         writers.write_csv(steps.df, args.output)
         print(steps.stats(df))
     elif args.command == "link":
-        if linking.plan_methods(args.methods.split(",")) != ["exact"]:
-            raise SystemExit("dense and reranked linking need an encoder and a client; call tessera.operators.linking from Python")
         terms = readers.read_obo(spark, args.obo, args.ontology).withColumn("ord", F.monotonically_increasing_id())
-        lex = linking.lexicon(terms, terms.select("ord", "curie", "label", F.explode("synonyms").alias("synonym")))
+        synonyms = terms.select("ord", "curie", "label", F.explode("synonyms").alias("synonym"))
+        edges = terms.select(F.col("curie").alias("child"), F.explode("parents").alias("parent"))
+        client = named(args.rag_client) if args.rag_client else linking.http_client(args.rag_url, args.rag_model, os.environ.get("RAG_API_KEY")) if args.rag_url else None
         df = readers.read_csv(spark, args.input, args.columns.split(","))
-        found = linking.link_exact(df.select(F.coalesce(args.column, F.lit("")).alias("mention")), lex)
-        named = found.select(F.col("mention").alias("_m"), *[F.col(c).alias(f"exact_{c}") for c in ("curie", "label", "score", "match_type")])
-        writers.write_csv(df.join(named, F.coalesce(args.column, F.lit("")) == F.col("_m"), "left").drop("_m"), args.output)
+        asked = df.select(F.coalesce(args.column, F.lit("")).alias("mention"))
+        try:
+            found = linking.link_all(asked, terms, synonyms, edges, args.methods.split(","), args.fuzzy_threshold, named(args.encoder)() if args.encoder else None, client)
+        except ValueError as e:
+            raise SystemExit(str(e)) from e
+        found = found.withColumnRenamed("mention", "_m")
+        writers.write_csv(df.join(found, F.coalesce(args.column, F.lit("")) == F.col("_m"), "left").drop("_m"), args.output)
     elif args.command == "materialize":
         asserted = readers.load_graph(spark, [args.input])
         full, counts = reasoner.materialize(asserted)

@@ -13,7 +13,6 @@ from ..plans.runtime import cut, ship
 
 RESULT = ["curie", "label", "score", "match_type", "method"]
 OVERRIDES = ["exact_pref", "exact_syn", "prefix_truncated"]
-MAX_LEXICON = 2_000_000  # rows that are broadcast to fuzzy matching
 
 
 def lexicon(terms: DataFrame, synonyms: DataFrame, suffixes: tuple[str, ...] = (" cell", " cells")) -> DataFrame:
@@ -85,20 +84,29 @@ def indel_ratio(a: str, b: str) -> float:
 def fuzzy_blocks(keys: DataFrame, lex: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Candidate pairs: sorted tokens of similar length that share a signature, within the Levenshtein distance that the ratio allows.
 
-    Within k edits, one of k + 1 pieces of a text is whole in the other one; here every text up to the distance bound
-    for its length sends its character pairs that are rarest by hash, as many as k edits can spoil plus one.
+    An edit spoils at most three runs of three characters (numbered where they repeat). So of its rarest 3k + 1 runs a text
+    within k edits has one, among its own rarest ones. Rarity is counted over both sides; runs that most texts share are
+    thus no blocks. Thresholds below 0.87 allow more edits than a short text has runs for.
     """
-
-    def signed(df: DataFrame, key: str) -> DataFrame:
-        t = token_sorted(F.col(key))
-        # an edit spoils two neighbouring pairs of characters
-        allow = F.floor((1 - F.lit(threshold)) * 2.2 * F.length("sorted")).cast("int")
-        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("sorted") - 1, F.lit(1))), lambda i: F.substring("sorted", i, F.lit(2))))
-        ranked = F.slice(F.transform(F.array_sort(F.transform("pairs", lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p")))), lambda x: x["p"]), F.lit(1), 2 * F.col("allow") + 1)
-        return df.withColumn("sorted", t).withColumn("allow", allow).withColumn("pairs", pairs).withColumn("sig", F.explode(ranked))
-
-    a = signed(keys.select("key").distinct(), "key").select("key", F.col("sorted").alias("a"), "sig")
-    b = signed(lex.select(F.col("key").alias("lex_key")).distinct(), "lex_key").select("lex_key", F.col("sorted").alias("b"), "sig")
+    if threshold < 0.87:
+        raise ValueError("fuzzy blocks need a threshold of at least 0.87")
+
+    def runs(df: DataFrame, key: str, side: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("key")).distinct().withColumn("sorted", token_sorted(F.col("key")))
+        n = F.length("sorted")
+        # positions of runs; a text of under three characters is its own run
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("sorted", i, F.lit(3)))
+        each = rows.select("key", "sorted", F.posexplode(grams).alias("at", "gram"))
+        numbered = F.row_number().over(Window.partitionBy("key", "gram").orderBy("at"))
+        return each.select("key", "sorted", F.concat_ws("#", "gram", numbered.cast("string")).alias("run"), F.lit(side).alias("side"))
+
+    both = runs(keys, "key", "a").unionByName(runs(lex, "key", "b"))
+    counts = both.groupBy("run").agg(F.count("*").alias("n"))
+    allow = F.floor((1 - F.lit(threshold)) * 2.2 * F.length("sorted")).cast("int")
+    ranked = both.join(counts, "run").groupBy("side", "key", "sorted").agg(F.array_sort(F.collect_list(F.struct("n", "run"))).alias("runs"))
+    signed = ranked.select("side", "key", "sorted", F.explode(F.slice(F.transform("runs", lambda x: x["run"]), F.lit(1), 3 * allow + 1)).alias("sig"))
+    a = signed.filter("side = 'a'").select("key", F.col("sorted").alias("a"), "sig")
+    b = signed.filter("side = 'b'").select(F.col("key").alias("lex_key"), F.col("sorted").alias("b"), "sig")
     total = F.length("a") + F.length("b")
     most = F.floor((1 - F.lit(threshold)) * total + 1e-9).cast("int")
     near = (F.abs(F.length("a") - F.length("b")) <= most) & (F.levenshtein("a", "b") <= most)
@@ -122,6 +130,16 @@ def link_fuzzy(mentions: DataFrame, lex: DataFrame, threshold: float = 0.92, tex
     return with_nil(out, "fuzzy")
 
 
+def link_staged(mentions: DataFrame, lex: DataFrame, threshold: float = 0.92, text: str = "mention") -> DataFrame:
+    """All stages of the exact method: the key, word prefixes, and for mentions that these miss the nearest key. RESULT by mention."""
+    exact = cut(link_exact(mentions, lex, text))
+    missed = exact.filter((F.col("match_type") == "NIL") & (F.trim(F.coalesce("mention", F.lit(""))) != "")).select("mention")
+    near = link_fuzzy(missed, lex, threshold).filter("curie is not null").select("mention", F.struct(*RESULT).alias("near"))
+    own = F.struct(*RESULT)
+    both = exact.join(near, "mention", "left").withColumn("r", F.when(F.col("match_type") == "NIL", F.coalesce("near", own)).otherwise(own))
+    return both.select("mention", *[F.lit("exact").alias(c) if c == "method" else F.col(f"r.{c}").alias(c) for c in RESULT])
+
+
 # -- vectors
 
 
@@ -134,18 +152,19 @@ def hashed_encoder(dim: int = 64):
 
     @F.pandas_udf(ArrayType(FloatType()))
     def encode(s: pd.Series) -> pd.Series:
-        import zlib
-
-        def one(t):
-            v = np.zeros(dim, np.float32)
-            t = f"  {t or ''} "
-            for i in range(len(t) - 2):
-                h = zlib.crc32(t[i : i + 3].encode())
-                v[h % dim] += 1 if h >> 31 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).tolist()
-
-        return s.map(one)
+        # the runs of three characters of the whole batch at once
+        texts = [f"  {t or ''} " for t in s]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        whole = np.flatnonzero(row[:-2] == row[2:])
+        h = np.zeros(len(whole), np.uint64)
+        for k in range(3):
+            h = (h ^ points[whole + k]) * np.uint64(0x100000001B3)
+            h ^= h >> np.uint64(29)
+        at = row[whole] * dim + (h % np.uint64(dim)).astype(np.int64)
+        v = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(texts) * dim).reshape(-1, dim)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.Series(list((v / np.where(n == 0, 1, n)).astype(np.float32)))
 
     return encode
 
@@ -159,8 +178,13 @@ def dense_topk(queries: DataFrame, concepts: DataFrame, k: int = 5, rows: int |
     rows = rows or 3 * k
     ship(queries.sparkSession)
     spark = queries.sparkSession
-    best = None
+    best, last = None, None
     for block in query_blocks(queries):
+        if last is not None:  # another block follows: this one's rows are kept, its vectors go before the next come
+            found, old = last
+            found = cut(found)
+            old.unpersist(blocking=True)
+            best = found if best is None else best.unionByName(found)
         sent = spark.sparkContext.broadcast(block)
 
         def search(batches, sent=sent):
@@ -186,7 +210,8 @@ def dense_topk(queries: DataFrame, concepts: DataFrame, k: int = 5, rows: int |
                 yield held
 
         part = concepts.select("row_id", "concept", "vec").mapInPandas(search, "query_id long, row_id long, concept string, score double")
-        best = part if best is None else best.unionByName(part)
+        last = part, sent
+    best = last[0] if best is None else best.unionByName(last[0])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     near = best.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= rows)
     per = near.groupBy("query_id", "concept").agg(F.max("score").alias("score"), F.min("rn").alias("rn"))
@@ -196,6 +221,7 @@ def dense_topk(queries: DataFrame, concepts: DataFrame, k: int = 5, rows: int |
 
 def query_blocks(queries: DataFrame, size: int = 20_000):
     """Blocks of query vectors of bounded size (20,000 x 64 doubles: 10 MB)."""
+    queries = cut(queries)
     n = max(1, -(-queries.count() // size))
     for i in range(n):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", "qvec").orderBy("query_id").toPandas()
@@ -317,6 +343,79 @@ def plan_methods(methods: list[str]) -> list[str]:
     return [m for m in ("exact", "biosyn", "rag") if m in wanted]
 
 
+def link_dense(mentions: DataFrame, names: DataFrame, encoder, k: int = 5) -> DataFrame:
+    """mention, curie, label, score, rank: the k best concepts by their best name. names: curie, label, name; encoder: a pandas UDF of text."""
+    asked = cut(mentions.select("mention").distinct().filter(F.trim(F.coalesce("mention", F.lit(""))) != "").withColumn("query_id", F.xxhash64("mention")))
+    rows = names.select("curie", "label", "name").distinct()
+    queries = asked.select("query_id", encoder("mention").alias("qvec"))
+    concepts = rows.select(F.xxhash64("curie", "name").alias("row_id"), F.col("curie").alias("concept"), encoder("name").alias("vec"))
+    labels = rows.groupBy("curie").agg(F.min("label").alias("label"))
+    best = dense_topk(queries, concepts, k)
+    return asked.join(best, "query_id").join(labels, F.col("concept") == F.col("curie")).select("mention", "curie", "label", "score", "rank")
+
+
+def link_reranked(top: DataFrame, client, edges: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """RESULT by mention: what client(list of (mention, context)) answers, from the candidates of link_dense and their surroundings."""
+    ids = top.select("mention").distinct().withColumn("query_id", F.xxhash64("mention"))
+    seeds = top.join(ids, "mention").select("query_id", F.col("rank").cast("int").alias("rank"), "curie")
+    met = bfs_context(seeds, edges, names).join(top.join(ids, "mention").select("query_id", "curie", "score"), ["query_id", "curie"], "left")
+    answers = ask(context_block(met).join(ids, "query_id").select("mention", "block"), client)
+    listed = top.groupBy("mention").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "curie", "label", "score"))), lambda x: F.struct(x["curie"].alias("curie"), x["label"].alias("label"), x["score"].alias("score"))).alias("candidates"))
+    there = known.select(F.col("curie").alias("answer")).distinct().withColumn("in_graph", F.lit(True))
+    rows = listed.join(answers.withColumnRenamed("reply", "answer"), "mention", "left").join(there, "answer", "left")
+    rows = rows.select("mention", "answer", "candidates", F.coalesce("in_graph", F.lit(False)).alias("in_graph"), F.expr("cast(null as struct<curie:string,score:double>)").alias("fallback"))
+    out = resolve(cut(rows)).join(names.groupBy("curie").agg(F.min("label").alias("label")), "curie", "left")
+    return out.select("mention", "curie", "label", "score", "match_type", F.lit("rag").alias("method"))
+
+
+def link_all(mentions: DataFrame, terms: DataFrame, synonyms: DataFrame, edges: DataFrame, methods: list[str], threshold: float = 0.92, encoder=None, client=None) -> DataFrame:
+    """mention, and <method>_curie, _label, _score, _match_type of each method. What the exact method finds by key or prefix overrides the others.
+
+    terms: ord, curie, label; synonyms: ord, curie, label, synonym; edges: child, parent.
+    """
+    plan = plan_methods(methods)
+    if "rag" in plan and client is None:
+        raise ValueError("rag needs a client")
+    asked = cut(mentions.select("mention").distinct())
+    exact = cut(link_staged(asked, lexicon(terms, synonyms), threshold))
+    found = {"exact": exact} if "exact" in plan else {}
+    if "biosyn" in plan:
+        names = terms.select("curie", "label", F.col("label").alias("name")).unionByName(synonyms.select("curie", "label", F.col("synonym").alias("name"))).filter("name is not null")
+        top = cut(link_dense(asked, names, encoder or hashed_encoder()))
+        first = top.filter("rank = 1").select("mention", "curie", "label", "score", F.lit("dense_nn").alias("match_type"), F.lit("biosyn").alias("method"))
+        found["biosyn"] = cascade(with_nil(asked.join(first, "mention", "left"), "biosyn"), exact)
+        if "rag" in plan:
+            picked = link_reranked(top, client, edges, terms.select("curie", "label"), terms.select("curie"))
+            found["rag"] = cascade(with_nil(asked.join(picked, "mention", "left"), "rag"), exact)
+    out = asked
+    for name, rows in found.items():
+        named = rows.select(F.col("mention").alias("_m"), *[F.col(c).alias(f"{name}_{c}") for c in RESULT if c != "method"])
+        out = out.join(named, F.col("mention").eqNullSafe(F.col("_m")), "left").drop("_m")
+    return out
+
+
+def http_client(url: str, model: str, key: str | None = None, timeout: int = 60):
+    """A client for ask(): one chat request a mention to a service with the common completions interface; the answer is the first CURIE or NONE in its reply."""
+
+    def client(rows: list[tuple[str, str]]) -> list[str | None]:
+        import json
+        import re
+        from urllib.request import Request, urlopen
+
+        out = []
+        for mention, block in rows:
+            text = f"Which concept does {mention!r} mean? Answer with one id of the list, or NONE.\n{block}"
+            body = {"model": model, "temperature": 0, "messages": [{"role": "user", "content": text}]}
+            head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+            with urlopen(Request(url, json.dumps(body).encode(), head), timeout=timeout) as reply:
+                said = json.load(reply)["choices"][0]["message"]["content"]
+            hit = re.search(r"\b[A-Za-z]+:\d+\b|\bNONE\b", said or "")
+            out.append(hit[0] if hit else None)
+        return out
+
+    return client
+
+
 def hit_rates(df: DataFrame, prefixes: list[str]) -> DataFrame:
     """method, rate, mean score of hits."""
     rows = [F.struct(F.lit(p).alias("method"), F.col(f"{p}_curie").alias("curie"), F.col(f"{p}_score").alias("score")) for p in prefixes]

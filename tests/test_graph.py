@@ -170,3 +170,48 @@ def test_obo_keeps_to_terms(spark, tmp_path):
         (tmp_path / name).write_text(t)
         got = sorted((r.curie, r.label, r.synonyms, r.parents) for r in readers.read_obo(spark, f"file://{tmp_path}/{name}").collect())
         assert got == [("X:1", "one", [], []), ("X:2", "two", [], ["X:1"])]
+
+
+def test_fuzzy_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+    keys = sorted({" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(120)} | {"aaaaaaaaaaaaaaaaaaaaaaaa", "a"})
+
+    def typo(t):
+        k = rng.randrange(len(t))
+        return rng.choice([t[:k] + rng.choice("abc") + t[k:], t[:k] + t[k + 1 :], " ".join(reversed(t.split(" "))), t])
+
+    asked = sorted({m for t in keys for m in (typo(t), typo(typo(t) or "x") if t else "x")} - {""})
+    lex = spark.createDataFrame([(t, f"T:{i}", t) for i, t in enumerate(keys)], "key string, curie string, label string")
+    got = {r.mention: (r.score, r.label) for r in linking.link_fuzzy(spark.createDataFrame([(m,) for m in asked], "mention string"), lex).collect()}
+    sort = lambda t: " ".join(sorted(t.split()))
+    for m in asked:
+        scores = [(linking.indel_ratio(sort(" ".join(m.split())), sort(t)), t) for t in keys]
+        best = max(x for x, _ in scores)
+        if m.strip() and best >= 0.92:
+            assert got[m] == (pytest.approx(best, abs=1e-4), min(t for x, t in scores if x == best))
+        else:
+            assert got[m] == (0.0, None)
+
+
+def test_all_methods_of_linking(spark):
+    terms = spark.createDataFrame([(1, "T:1", "red cell"), (2, "T:2", "blue plate"), (3, "T:3", "green thing")], "ord long, curie string, label string")
+    syn = spark.createDataFrame([(1, "T:1", "red cell", "erythrocyte")], "ord long, curie string, label string, synonym string")
+    edges = spark.createDataFrame([("T:2", "T:3")], "child string, parent string")
+    m = spark.createDataFrame([(x,) for x in ("RED", "blue plates", "red_5nM", "a blue plat thing", "", "erythrocyte", "no idea")], "mention string")
+    said = {"a blue plat thing": "T:2", "no idea": "NONE"}
+
+    def client(rows):
+        assert all("Candidates:" in block for _, block in rows)
+        return [{"a blue plat thing": "T:2", "no idea": "NONE"}.get(x, "X:9") for x, _ in rows]
+
+    rows = {r.mention: r for r in linking.link_all(m, terms, syn, edges, ["exact", "rag"], client=client).collect()}
+    assert len(rows) == 7 and said
+    assert [(rows[x].exact_curie, rows[x].exact_match_type) for x in ("RED", "blue plates", "red_5nM", "erythrocyte", "", "no idea")] == [("T:1", "exact_pref"), ("T:2", "fuzzy"), ("T:1", "prefix_truncated"), ("T:1", "exact_syn"), (None, "NIL"), (None, "NIL")]
+    assert rows["RED"].biosyn_match_type == rows["RED"].rag_match_type == "exact_pref" and rows[""].biosyn_curie is None
+    assert rows["a blue plat thing"].biosyn_match_type == "dense_nn" and (rows["a blue plat thing"].rag_curie, rows["a blue plat thing"].rag_match_type) == ("T:2", "rag_selected")
+    assert rows["no idea"].rag_match_type == "rag_abstained" and rows["blue plates"].rag_match_type == "rag_hallucinated"
+    with pytest.raises(ValueError):
+        linking.link_all(m, terms, syn, edges, ["rag"])
