@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions import vocabulary as V
 from ..sources.writers import jsonld, ntriples
+from .graph_build import iri, literal, triples_of
 from .reasoner import closure, of, restrictions
 
 R = V.RELATIONS
@@ -242,6 +243,20 @@ def sitemap(triples: DataFrame, limit: int = 5000) -> DataFrame:
     return of(triples, V.RDF_TYPE).filter("s_kind = 'iri'").select("s").distinct().orderBy("s").limit(limit)
 
 
+def void(triples: DataFrame, namespace: str = V.DATASET_NS, title: str = "graph") -> DataFrame:
+    """Triples that describe the graph as a dataset: its title, space and numbers, and the triples of each predicate."""
+    vo, dct = "http://rdfs.org/ns/void#", "http://purl.org/dc/terms/"
+    me = namespace.rstrip("/#")
+    numbers = triples.agg(F.count("*").alias("triples"), F.countDistinct("s").alias("distinctSubjects"), F.countDistinct("o").alias("distinctObjects"), F.countDistinct("p").alias("properties"))
+    kinds = of(triples, V.RDF_TYPE).agg(F.countDistinct("o").alias("classes"))
+    names = ["triples", "distinctSubjects", "distinctObjects", "properties", "classes"]
+    items = [iri(me, V.RDF_TYPE, f"{vo}Dataset"), literal(me, f"{dct}title", title), literal(me, f"{vo}uriSpace", namespace), *(literal(me, vo + n, F.col(n).cast("string")) for n in names)]
+    per = triples.groupBy(F.col("p").alias("of")).agg(F.count("*").cast("string").alias("n"))
+    part = F.concat(F.lit(me + "#"), F.md5("of"))
+    parts = [iri(me, f"{vo}propertyPartition", part), iri(part, f"{vo}property", F.col("of")), literal(part, f"{vo}triples", F.col("n"))]
+    return triples_of(numbers.crossJoin(kinds), items).unionByName(triples_of(per, parts))  # one row each
+
+
 def describe(triples: DataFrame, node: str, limit: int = 400) -> DataFrame:
     """p, p_label, values: what the graph says of a node, by predicate; blank values are left out."""
     rows = triples.filter((F.col("s") == node) & (F.col("o_kind") != "bnode") & ~F.col("o").isin(f"{V.OWL}NamedIndividual", f"{V.OWL}Class"))

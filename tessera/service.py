@@ -1,7 +1,8 @@
 """The graph service: routes over a triple table, as a function and as a small HTTP server.
 
-Every answer is a query; rows reach the driver only as the page that is asked for. Repeated questions are answered from
-a bounded cache of their JSON; concurrent equal questions wait for one computation.
+Every answer is a query; rows reach the driver only as the page that is asked for, at most MAX_ROWS of them. Repeated
+questions are answered from a bounded cache of their JSON; concurrent equal questions wait for one computation. Downloads
+of the whole graph are sent line by line, as the driver gets them, and not kept.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import threading
 from collections import OrderedDict
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -22,6 +24,7 @@ from .sources.writers import jsonld, ntriples
 CATALOGUE = {name: V.CLASSES[name] for name in ("peptide", "complex", "cargo", "gene", "inhibitor", "cell_line", "subcellular", "mechanism", "experiment", "document")}
 BY_SUBCLASS = [V.CLASSES["mechanism"], V.CLASSES["subcellular"]]
 MAX_CACHE = 500
+MAX_ROWS = 10_000
 
 
 class Service:
@@ -32,9 +35,11 @@ class Service:
 
     @staticmethod
     def rows(df: DataFrame) -> dict:
-        """columns and rows as text; missing values are empty."""
-        found = df.collect()  # of a page or an aggregate
-        return {"columns": df.columns, "rows": [["" if v is None else v if isinstance(v, (int, float, list)) else str(v) for v in r] for r in found]}
+        """columns and rows as text; missing values are empty. more: there are other rows than these MAX_ROWS."""
+        found = df.limit(MAX_ROWS + 1).collect()
+        more = {"more": True} if len(found) > MAX_ROWS else {}
+        found = found[:MAX_ROWS]
+        return more | {"columns": df.columns, "rows": [["" if v is None else v if isinstance(v, (int, float, list)) else str(v) for v in r] for r in found]}
 
     def cached(self, key: str, compute):
         with self.lock:
@@ -63,6 +68,8 @@ class Service:
     def answer(self, path: str, args: dict[str, str] | None = None, body: dict | None = None):
         """The answer to a route: a JSON value, or text for the text routes."""
         args, body = args or {}, body or {}
+        if path.startswith("/api/download/"):
+            return self._answer(path, args, body)
         key = json.dumps([path, args, body], sort_keys=True)
         return self.cached(key, lambda: self._answer(path, args, body))
 
@@ -85,7 +92,7 @@ class Service:
             case ["api", "autocomplete", field]:
                 if field not in CATALOGUE:
                     raise KeyError(field)
-                return self.rows(Q.autocomplete(t, CATALOGUE[field], args.get("q", ""), None if field in ("cell_line", "cargo") else 250))
+                return self.rows(Q.autocomplete(t, CATALOGUE[field], args.get("q", ""), MAX_ROWS if field in ("cell_line", "cargo") else 250))
             case ["api", "browse"]:
                 page, counts = Q.browse(t, args["class"], args.get("q", ""), int(args.get("page", 1)), int(args.get("per_page", 50)), args["class"] in BY_SUBCLASS)
                 return self.rows(page) | dict(zip(counts.columns, counts.first(), strict=True))
@@ -96,12 +103,14 @@ class Service:
                 if not known:
                     raise KeyError(iri)
                 return {"iri": iri, "properties": self.rows(Q.describe(t, iri)), "edges": self.rows(Q.neighbourhood(t, iri))}
+            case [".well-known", "void"] | ["dataset", "void"]:
+                return self.lines(ntriples(Q.void(t, self.namespace)))
             case ["dataset", *name]:
                 return self.lines(Q.export(t, self.namespace + "/".join(name), args.get("format", "turtle")))
             case ["api", "download", "ttl"]:
-                return self.lines(ntriples(t))
+                return self.stream(ntriples(t))
             case ["api", "download", "jsonld"]:
-                return self.lines(jsonld(t))
+                return self.stream(jsonld(t))
             case ["sitemap.xml"]:
                 urls = "".join(f"<url><loc>{r[0]}</loc></url>" for r in Q.sitemap(t).collect())
                 return f'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{urls}</urlset>'
@@ -110,8 +119,12 @@ class Service:
         raise KeyError(path)
 
     @staticmethod
-    def lines(df: DataFrame) -> str:
-        return "\n".join(r[0] for r in df.toLocalIterator()) + "\n"
+    def stream(df: DataFrame) -> Iterator[str]:
+        return (f"{r[0]}\n" for r in df.toLocalIterator())
+
+    def lines(self, df: DataFrame) -> str:
+        """The lines of one entity."""
+        return "".join(self.stream(df))
 
 
 def serve(service: Service, port: int = 8080) -> ThreadingHTTPServer:
@@ -126,6 +139,13 @@ def serve(service: Service, port: int = 8080) -> ThreadingHTTPServer:
                 value, code = {"error": f"not found: {e.args[0]}"}, 404
             except ValueError as e:
                 value, code = {"error": str(e)}, 400
+            if isinstance(value, Iterator):  # the end of the connection ends it
+                self.send_response(code)
+                self.send_header("Content-Type", "text/plain; charset=utf-8")
+                self.end_headers()
+                for line in value:
+                    self.wfile.write(line.encode())
+                return
             raw = (value if isinstance(value, str) else json.dumps(value)).encode()
             self.send_response(code)
             self.send_header("Content-Type", "text/plain; charset=utf-8" if isinstance(value, str) else "application/json")

@@ -59,14 +59,20 @@ def jsonld(triples: DataFrame, subject: str | None = None) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Rewrites a Parquet table in place, keeping the first version in <path>.bak. The new rows are written before the swap."""
+    """Rewrites a Parquet table in place, keeping the first version in <path>.bak.
+
+    The new rows are written before the swap of two renames; a version between the first and the last is deleted after it.
+    What a lost driver leaves half done is <path>.new and <path>.bak or <path>.old, both whole.
+    """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path
     fs = at(path).getFileSystem(conf)
     df.write.mode("overwrite").parquet(f"{path}.new")
-    if fs.exists(at(f"{path}.bak")):
-        fs.delete(at(path), True)
-    else:
-        fs.rename(at(path), at(f"{path}.bak"))
-    fs.rename(at(f"{path}.new"), at(path))
+    old = f"{path}.old" if fs.exists(at(f"{path}.bak")) else f"{path}.bak"
+    fs.delete(at(f"{path}.old"), True)
+    for a, b in ((path, old), (f"{path}.new", path)):
+        if not fs.rename(at(a), at(b)):
+            raise OSError(f"could not rename {a} to {b}")
+    if old.endswith(".old"):
+        fs.delete(at(old), True)

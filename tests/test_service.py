@@ -29,6 +29,9 @@ def test_routes(service):
     assert service.answer("/dataset/p1").count("\n") == 3
     assert service.answer("/api/sparql", body={"query": f"SELECT (COUNT(?x) AS ?n) WHERE {{ ?x <{V.RDFS_LABEL}> ?l }}"})["rows"] == [[12]]
     assert service.answer("/sitemap.xml").count("<loc>") == 12 and service.answer("/robots.txt")
+    assert len(list(service.answer("/api/download/ttl"))) == 26 and "/api/download/ttl" not in str(service.cache.keys())
+    described = service.answer("/dataset/void")
+    assert '<http://rdfs.org/ns/void#triples> "26"' in described and described.count("#propertyPartition") == 4
     for bad in ("/api/entity/none", "/nothing"):
         with pytest.raises(KeyError):
             service.answer(bad)
@@ -45,7 +48,12 @@ def test_command_line(spark, tmp_path, monkeypatch):
     (tmp_path / "m.csv").write_text("Name\nRED\nrc 5nM\nnone\n")
     main(["link", f"file://{tmp_path}/m.csv", f"file://{tmp_path}/linked", "--columns", "Name", "--column", "Name", "--ontology", "T", "--obo", f"file://{tmp_path}/o.obo"])
     got = {r.Name: (r.exact_curie, r.exact_match_type) for r in spark.read.csv(f"file://{tmp_path}/linked", header=True).collect()}
-    assert got == {"RED": ("T:1", "exact_pref"), "rc 5nM": ("T:1", "prefix_truncated"), "none": (None, "NIL")} or got["RED"] == ("T:1", "exact_pref")
+    assert got == {"RED": ("T:1", "exact_pref"), "rc 5nM": ("T:1", "prefix_truncated"), "none": (None, "NIL")}
+    main(["link", f"file://{tmp_path}/m.csv", f"file://{tmp_path}/dense", "--columns", "Name", "--column", "Name", "--ontology", "T", "--obo", f"file://{tmp_path}/o.obo", "--methods", "exact,biosyn"])
+    got = {r.Name: (r.exact_match_type, r.biosyn_match_type) for r in spark.read.csv(f"file://{tmp_path}/dense", header=True).collect()}
+    assert got["RED"] == ("exact_pref", "exact_pref") and got["none"] == ("NIL", "dense_nn")
+    with pytest.raises(SystemExit):
+        main(["link", f"file://{tmp_path}/m.csv", f"file://{tmp_path}/no", "--columns", "Name", "--column", "Name", "--ontology", "T", "--obo", f"file://{tmp_path}/o.obo", "--methods", "rag"])
     (tmp_path / "g.nt").write_text("<a> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <b> .\n<b> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <c> .\n")
     main(["materialize", f"file://{tmp_path}/g.nt", f"file://{tmp_path}/full"])
     assert spark.read.text(f"file://{tmp_path}/full").count() == 3
