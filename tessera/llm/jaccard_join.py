@@ -4,10 +4,12 @@ Two documents link when the Jaccard similarity of their sets of word 5-grams is
 at least 3/4. The result is exact; it names each document's component.
 
 1. Equal sets become one representative (an aggregation by set digest).
-2. Each representative sends its rarest shingles - so many that two linked sets
-   must share one - to blocks by shingle. Rarity comes from a table of counts
-   of hashed shingles over all documents; any order is exact, a good one keeps
-   common passages out of the blocks.
+2. Each representative names its rarest shingles - so many that two linked sets
+   must share one. Rarity comes from a table of counts of hashed shingles over
+   all documents; any order is exact, a good one keeps common passages out. The
+   sets that name one shingle go to the block of the smallest of them (its
+   pivot), so any two of them share a block, and a set that many shingles lead
+   to one block is there once.
 3. A block indexes its members as points: the counts of their shingles in
    GROUPS hash groups, packed into an R-tree. The overlap of two sets is at most
    the sum of the coordinate minima of their points (for a node: of a point and
@@ -15,13 +17,12 @@ at least 3/4. The result is exact; it names each document's component.
    threshold. Pairs that are left meet the same bound over FINE groups;
    survivors are verified on the sets, each pair once.
 4. Links are found in three rounds, so a large group of near-copies costs rows
-   in proportion to its members, not their pairs: every member against a few
-   pivots, once for all blocks that share their first member; what is still
-   apart, against its best-bounded partners; at last every surviving pair that
-   still lies in two components. No link between different components is left
-   unverified. Blocks of many members are cut into slices: all have the same
-   pivots, and in the last round members outside a block's largest component
-   visit all of its slices.
+   in proportion to its members, not their pairs: every member against the first
+   few of its block; what is still apart, against its best-bounded partners; at
+   last every surviving pair that still lies in two components. No link between
+   different components is left unverified. Blocks of many members are cut into
+   slices: all meet the same first ones, and in the last round members outside a
+   block's largest component visit all of its slices.
 5. Components: by one task up to MAX_LINKS links, else by repeated contraction
    of all links to the smallest neighbour.
 
@@ -436,18 +437,12 @@ def components(links: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
 
 
 def _block(slice_col: str) -> Column:
-    """The block of a token, or of a slice of it."""
-    return F.when(F.col("slices") == 1, F.col("token")).otherwise(F.xxhash64("token", slice_col))
-
-
-def _sliced(rows: DataFrame, size: str, slice_size: int) -> DataFrame:
-    """The rows of tokens with the blocks that they go to: one, or slices by the hash of the member."""
-    rows = rows.withColumn("slices", F.ceil(F.col(size) / slice_size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
-    return rows.withColumns({"block": _block("own"), "lead": F.lit(1)})
+    """The block of a pivot, or of a slice of it."""
+    return F.when(F.col("slices") == 1, F.col("pivot")).otherwise(F.xxhash64("pivot", slice_col))
 
 
 def _guests(rows: DataFrame) -> DataFrame:
-    """The rows as guests of the other slices of their tokens."""
+    """The rows as guests of the other slices of their blocks."""
     out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).filter("other <> own")
     return out.withColumn("block", _block("other"))
 
@@ -465,14 +460,14 @@ def _visitors(rows: DataFrame) -> DataFrame:
     component, however many, are not copied.
     """
     large = rows.filter("slices > 1")
-    counts = large.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    return _guests(large.join(main, "token").filter("comp <> main")).select(*rows.columns)
+    counts = large.groupBy("pivot", "comp").agg(F.count("*").alias("k"))
+    main = counts.groupBy("pivot").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    return _guests(large.join(main, "pivot").filter("comp <> main")).select(*rows.columns)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Blocks in tasks of even size. Blocks of one group of near-copies share their first member: they lie side by side, so a task names their pairs once."""
-    return rows.repartitionByRange("pivot", "block").sortWithinPartitions("block", "lead", "rep")
+    """Blocks in tasks of even size."""
+    return rows.repartitionByRange("block").sortWithinPartitions("block", "lead", "rep")
 
 
 def _by_set(docs: DataFrame, slice_size: int, hot: int) -> tuple[DataFrame, DataFrame]:
@@ -493,33 +488,27 @@ def _by_set(docs: DataFrame, slice_size: int, hot: int) -> tuple[DataFrame, Data
     # tokens of at least two sets, and each set once in a block; rows of a token that very many documents have are dealt out, and all of them stay
     by_token = prefixes.withColumn("lo", F.expr("min(sid) over (partition by token, part)")).withColumn("hi", F.expr("max(sid) over (partition by token, part)"))
     members = stored(by_token.filter("lo <> hi or part > 0").select("token", F.col("sid").alias("rep")).distinct(), "members")
-    sizes = members.groupBy("token").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-    sizes = stored(sizes, "sizes")
-    # blocks with the same first member (pivot): most likely of one group of near-copies
-    sizes = sizes.join(sizes.groupBy("pivot").agg(F.max("size").alias("most")), "pivot")
-    sized = members.join(sizes, "token").join(reps.select("rep", "n", "vec", "many"), "rep")
-    sized = sized.withColumn("solo", F.expr("row_number() over (partition by rep, pivot order by token) = 1"))
-    sized = sized.withColumn("vec", F.when(F.col("most") > LEAF, F.col("many")).otherwise(F.col("vec")))
+    # a token's sets go to the block of the smallest of them: two sets that share a token share a block, and once for all tokens that lead there
+    pivots = members.groupBy("token").agg(F.count("*").alias("k"), F.min("rep").alias("pivot")).filter("k > 1").select("token", "pivot")
+    met = stored(members.join(pivots, "token").select("pivot", "rep").distinct(), "met")
+    sized = met.join(met.groupBy("pivot").agg(F.count("*").alias("size")), "pivot").join(reps.select("rep", "n", "vec", "many"), "rep")
+    sized = sized.withColumn("vec", F.when(F.col("size") > LEAF, F.col("many")).otherwise(F.col("vec"))).withColumn("lead", F.lit(1))
     # blocks beyond slice_size members are cut into slices
-    sized = _sliced(sized, "size", slice_size).select("block", "rep", "n", "vec", "pivot", "token", "slices", "own", "lead", "solo", "most")
-    blocks = cut(_dealt(sized))
-    sliced = not blocks.filter(F.col("most") > slice_size).isEmpty()
+    sized = sized.withColumn("slices", F.ceil(F.col("size") / slice_size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
+    blocks = cut(_dealt(sized.withColumn("block", _block("own")).select("block", "rep", "n", "vec", "pivot", "slices", "own", "lead")))
+    sliced = not blocks.filter("slices > 1").isEmpty()
 
     links, comps, tested = None, None, None
     for mode in ("pivots", "best", "rest"):
-        # in the first two rounds a member meets the others of all blocks with one pivot once, not in every block: rows and pairs follow members, not members times tokens
-        once = mode != "rest"
-        rows_in = _sliced(blocks.filter("solo").withColumn("token", F.col("pivot")), "most", slice_size) if once else blocks
         if comps is None:
-            rows_in = rows_in.withColumn("comp", F.col("rep"))
+            rows_in = blocks.withColumn("comp", F.col("rep"))
         else:
             at = small(comps.select(F.col("node").alias("rep"), "comp"))
-            rows_in = rows_in.join(at, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            rows_in = blocks.join(at, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        moved = comps is not None and comps.count() > MAX_BROADCAST
         if sliced and mode != "best":
-            rows_in = rows_in.unionByName((_pivots if mode == "pivots" else _visitors)(rows_in))
-        if once or sliced or comps is not None and comps.count() > MAX_BROADCAST:  # the blocks lie together as they were dealt otherwise
-            rows_in = _dealt(rows_in)
-        rows_in = rows_in.select("block", "rep", "n", "vec", "comp")
+            rows_in, moved = rows_in.unionByName((_pivots if mode == "pivots" else _visitors)(rows_in)), True
+        rows_in = (_dealt(rows_in) if moved else rows_in).select("block", "rep", "n", "vec", "comp")
         pairs = rows_in.mapInArrow(lambda it, mode=mode: _blocks_to_pairs(mode, it), "a long, b long").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
