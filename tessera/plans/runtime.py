@@ -12,7 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 2000  # of documents that a Python worker holds at once
+BATCH_BYTES = 4_000_000  # that a Python worker gets at once
+BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 PACKAGE_ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -83,10 +84,15 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, for the operators that run Python there, and bounds their batches."""
+    """Sends this package to the executors once, for the operators that run Python there, and bounds their batches.
+
+    The bound is the session's spark.sql.execution.arrow.maxBytesPerBatch: it is lowered to BATCH_BYTES, so batches of
+    very long texts are small ones; plans run when they are used, so it stays lowered.
+    """
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    now = spark.conf.get(BYTES_CONF).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(BYTES_CONF, str(BATCH_BYTES))
     if getattr(sc, "_tessera_shipped", False):
         return
     out = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), f"{PACKAGE_ROOT.name}.zip")
