@@ -50,6 +50,8 @@ class Codec:
             raise ValueError("only BPE models with byte fallback and identity normalisation")
         if any(p.type in (USER, UNUSED) for p in m.pieces):
             raise ValueError("models with user-defined or unused pieces are not covered")
+        if any(SPACE in p.piece.lstrip(SPACE) for p in m.pieces):
+            raise ValueError("models with a space inside a piece are not covered: words are encoded by themselves")
         self.dummy = spec.add_dummy_prefix
         self.bos, self.eos, self.unk = m.trainer_spec.bos_id, m.trainer_spec.eos_id, m.trainer_spec.unk_id
         self.unk_surface = m.trainer_spec.unk_surface
