@@ -1,10 +1,12 @@
 """SPARQL SELECT over a triple table, as a DataFrame: Catalyst plans the joins.
 
-Covered: PREFIX, SELECT [DISTINCT] with variables and aggregates (COUNT, SAMPLE,
-MIN, MAX, SUM, AVG), basic patterns with ';' and ',', property paths (/ * + ^),
-OPTIONAL, UNION, FILTER, BIND, VALUES, MINUS, nested groups, GROUP BY, HAVING,
-ORDER BY, LIMIT, OFFSET. SAMPLE is the minimum, so results do not vary.
-Values are strings; comparisons of numbers cast both sides.
+Covered: PREFIX, ASK, SELECT [DISTINCT] with variables and aggregates (COUNT,
+SAMPLE, MIN, MAX, SUM, AVG), basic patterns with ';' and ',', property paths
+(/ * + ^), OPTIONAL, UNION, FILTER, [NOT] EXISTS, BIND, VALUES, MINUS, LANG and
+LANGMATCHES, nested groups, GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET. SAMPLE is
+the minimum, so results do not vary. Values are strings; comparisons of numbers
+cast both sides. Patterns without a shared variable are combined where one of
+them has at most MAX_LOOSE rows.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')(?:@(?P<lang>[A-Za-z-]+)|\^\^(?:<[^>]*>|[\w-]*:[\w-]*))?|(?P<var>[?$]\w+)|(?P<num>\d+(?:\.\d+)?)|(?P<op>&&|\|\||!=|<=|>=|[{}()\[\].;,=<>!*+/^|-])|(?P<name>[A-Za-z_][\w-]*:[\w.-]*[\w-]|[A-Za-z_]?[\w-]*:[\w-]*|[A-Za-z_]\w*)""",
     re.X,
 )
+MAX_LOOSE = 10_000
 AGGREGATES = {"COUNT", "SAMPLE", "MIN", "MAX", "SUM", "AVG"}
 
 
 def sparql(triples: DataFrame, query: str) -> DataFrame:
-    """The rows of a SELECT query; columns are the selected variables, in order."""
-    return _Parser(query, triples).select()
+    """The rows of a SELECT query; columns are the selected variables, in order. Of an ASK query: one row, ask."""
+    return _Parser(query, triples).query()
 
 
 class _Parser:
@@ -41,6 +44,7 @@ class _Parser:
             if kind := next((k for k in ("iri", "str", "var", "num", "op", "name") if m[k] is not None), None):
                 self.tokens.append((kind, m[kind]))
         self.at, self.triples, self.prefixes, self.fresh = 0, triples, {}, 0
+        self.langs = ("name", "LANG") in [(k, t.upper()) for k, t in self.tokens]  # else languages are not carried
 
     # -- tokens
 
@@ -77,10 +81,19 @@ class _Parser:
 
     # -- query
 
-    def select(self) -> DataFrame:
+    def query(self) -> DataFrame:
         while self.word("PREFIX"):
             name = self.next()[1]
             self.prefixes[name.rstrip(":")] = self.next()[1][1:-1]
+        if not self.word("ASK"):
+            return self.select()
+        self.word("WHERE")
+        found = self.group()
+        if self.peek()[0] != "end":
+            raise ValueError(f"unexpected {self.peek()[1]!r}")
+        return found.limit(1).agg((F.count("*") > 0).alias("ask"))
+
+    def select(self) -> DataFrame:
         self.expect("SELECT")
         distinct = bool(self.word("DISTINCT"))
         items: list[tuple[str, Column | None, bool]] = []
@@ -139,17 +152,23 @@ class _Parser:
     def group(self) -> DataFrame:
         self.expect("{")
         df: DataFrame | None = None
-        filters: list[Column] = []
+        filters: list[Column | tuple[str, DataFrame]] = []
         while not self.word("}"):
             if self.word("."):
                 continue
             if self.word("FILTER"):
-                filters.append(self.primary())
+                how = "left_anti" if self.word("NOT") else "left_semi"
+                if how == "left_anti" or self.peek()[1].upper() == "EXISTS":
+                    self.expect("EXISTS")
+                    filters.append((how, self.group()))
+                else:
+                    filters.append(self.primary())
             elif self.word("OPTIONAL"):
                 df = self.join(df, self.group(), "left")
             elif self.word("MINUS"):
                 other = self.group()
-                df = df.join(other, [c for c in other.columns if c in df.columns], "left_anti")
+                if shared := self.shared(df, other):  # groups without a shared variable take nothing away
+                    df = df.join(other, shared, "left_anti")
             elif self.word("BIND"):
                 self.expect("(")
                 value = self.expr()
@@ -167,21 +186,33 @@ class _Parser:
                 df = self.patterns(df)
         df = df if df is not None else self.unit()
         for f in filters:
-            df = df.filter(f)
+            if isinstance(f, tuple):
+                how, other = f
+                shared = self.shared(df, other)
+                df = df.join(other, shared, how) if shared else df.join(other.select(F.lit(1).alias("_any")).limit(1), F.lit(True), how)
+            else:
+                df = df.filter(f)
         return df
 
+    @staticmethod
+    def shared(a: DataFrame, b: DataFrame) -> list[str]:
+        return [c for c in b.columns if c in a.columns and not c.startswith("_lang_")]
+
     def unit(self) -> DataFrame:
         return self.triples.sparkSession.range(1).select(F.lit(1).alias("_unit"))
 
     def join(self, a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
         if a is None:
             return b
-        shared = [c for c in b.columns if c in a.columns]
-        if not shared:
-            if how == "left":
-                raise ValueError("OPTIONAL without a shared variable")
-            raise ValueError("patterns without a shared variable")
-        return a.join(b, shared, how)
+        shared = self.shared(a, b)
+        b = b.drop(*[c for c in b.columns if c in a.columns and c not in shared])
+        if shared:
+            return a.join(b, shared, how)
+        if b.limit(MAX_LOOSE + 1).count() <= MAX_LOOSE:
+            return a.join(F.broadcast(b), F.lit(True), how)
+        if how == "inner" and a.limit(MAX_LOOSE + 1).count() <= MAX_LOOSE:
+            return F.broadcast(a).join(b, F.lit(True))
+        raise ValueError(f"patterns without a shared variable, and with more than {MAX_LOOSE} rows each")
 
     def inline(self) -> DataFrame:
         many = bool(self.word("("))
@@ -263,9 +294,11 @@ class _Parser:
                         nodes = nodes.union(spark.createDataFrame([(x,)], "a string"))
                 rows = rows.unionByName(nodes.distinct().select("a", F.col("a").alias("b"))).distinct()
         elif p.startswith("?"):
-            rows, extra = t.select(F.col("s").alias("a"), F.col("o").alias("b"), F.col("p").alias(p[1:])), [p[1:]]
+            rows, extra = t.select(F.col("s").alias("a"), F.col("o").alias("b"), F.col("p").alias(p[1:]), "o_lang"), [p[1:]]
         else:
-            rows = t.filter(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b"))
+            rows = t.filter(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b"), "o_lang")
+        if self.langs and not times and b[0] == "var":
+            extra = [*extra, F.col("o_lang").alias(f"_lang_{b[1]}")]
         cols = []
         for place, (kind, x) in (("a", a), ("b", b)):
             if kind == "const":
@@ -347,15 +380,25 @@ class _Parser:
 
     def call(self, name: str) -> Column:
         self.expect("(")
+        if name == "LANG":
+            kind, t = self.next()
+            if kind != "var":
+                raise ValueError("LANG takes a variable")
+            self.expect(")")
+            return F.coalesce(F.col(f"_lang_{t[1:]}"), F.lit(""))
         args: list[Column] = []
         while not self.word(")"):
             args.append(self.expr())
             self.word(",")
         if name in ("STR", "IRI", "URI"):
             return args[0].cast("string")
-        if name == "LANG":
-            raise ValueError("LANG: literals carry their language in o_lang of the triple table")
+        if name == "LANGMATCHES":
+            lang, wide = F.lower(args[0]), F.lower(args[1])
+            return F.when(wide == "*", lang != "").otherwise((lang == wide) | F.startswith(lang, F.concat(wide, F.lit("-"))))
         simple = {
+            "STRBEFORE": lambda c, x: F.when(F.contains(c, x), F.substr(c, F.lit(1), F.position(x, c) - 1)).otherwise(""),
+            "STRAFTER": lambda c, x: F.when(F.contains(c, x), F.substr(c, F.position(x, c) + F.length(x))).otherwise(""),
+            "SUBSTR": lambda c, at, n=None: F.substr(c, at.cast("int"), *([n.cast("int")] if n is not None else [])),
             "LCASE": F.lower, "UCASE": F.upper, "STRLEN": lambda c: F.length(c).cast("string"), "CONTAINS": F.contains, "STRSTARTS": F.startswith, "STRENDS": F.endswith,
             "CONCAT": F.concat, "COALESCE": F.coalesce, "BOUND": lambda c: c.isNotNull(), "ISBLANK": lambda c: c.startswith("_:"), "ISIRI": lambda c: c.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"),
             "REGEX": lambda c, p, *f: F.regexp_like(c, F.concat(F.lit("(?i)") if f else F.lit(""), p)), "REPLACE": lambda c, p, r: F.regexp_replace(c, p, r), "IF": lambda c, a, b: F.when(c, a).otherwise(b),

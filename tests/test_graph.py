@@ -215,3 +215,22 @@ def test_all_methods_of_linking(spark):
     assert rows["no idea"].rag_match_type == "rag_abstained" and rows["blue plates"].rag_match_type == "rag_hallucinated"
     with pytest.raises(ValueError):
         linking.link_all(m, terms, syn, edges, ["rag"])
+
+
+def test_sparql_beyond_joins(spark):
+    from tessera.plans.sparql import sparql
+
+    lit = lambda s, p, o, lang=None: (s, p, o, "iri", "lit", lang, None)
+    rows = [lit("x:a", "x:l", "red", "en"), lit("x:a", "x:l", "rot", "de-AT"), lit("x:b", "x:l", "blue"), lit("x:c", "x:n", "7"), ("x:a", "x:k", "x:b", "iri", "iri", None, None)]
+    g = spark.createDataFrame(rows, TRIPLE)
+    ask = lambda q: sorted(tuple(r) for r in sparql(g, q).collect())
+    assert ask("SELECT ?l WHERE { ?s <x:l> ?l FILTER(LANG(?l) = 'en') }") == [("red",)]
+    assert ask("SELECT ?l WHERE { ?s <x:l> ?l FILTER(LANGMATCHES(LANG(?l), 'DE')) }") == [("rot",)]
+    assert ask("SELECT ?s ?l WHERE { ?s <x:k> ?o . ?s ?p ?l FILTER(LANG(?l) != '') }") == [("x:a", "red"), ("x:a", "rot")]
+    assert ask("SELECT ?l ?n WHERE { ?s <x:l> ?l . ?t <x:n> ?n FILTER(LANG(?l) = '') }") == [("blue", "7")]
+    assert ask("SELECT ?l ?z WHERE { ?s <x:l> ?l FILTER(?l = 'blue') OPTIONAL { ?t <x:none> ?z } }") == [("blue", None)]
+    assert ask("SELECT ?s WHERE { ?s <x:l> ?l FILTER NOT EXISTS { ?s <x:k> ?o } }") == [("x:b",)]
+    assert ask("SELECT DISTINCT ?s WHERE { ?s <x:l> ?l FILTER EXISTS { ?s <x:k> ?o } }") == [("x:a",)]
+    assert ask("SELECT DISTINCT ?s WHERE { ?s <x:k> ?l MINUS { ?t <x:n> ?n } }") == [("x:a",)]
+    assert ask("ASK { ?s <x:n> '7' }") == [(True,)] and ask("ASK WHERE { ?s <x:n> '8' }") == [(False,)]
+    assert ask("SELECT (STRBEFORE(?s, ':') AS ?h) (STRAFTER(?s, ':') AS ?t) (SUBSTR(?s, 3) AS ?u) WHERE { ?s <x:n> ?n }") == [("x", "c", "c")]
