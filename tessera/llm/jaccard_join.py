@@ -491,7 +491,8 @@ def _by_set(docs: DataFrame, slice_size: int, hot: int) -> tuple[DataFrame, Data
     # a token's sets go to the block of the smallest of them: two sets that share a token share a block, and once for all tokens that lead there
     pivots = members.groupBy("token").agg(F.count("*").alias("k"), F.min("rep").alias("pivot")).filter("k > 1").select("token", "pivot")
     met = stored(members.join(pivots, "token").select("pivot", "rep").distinct(), "met")
-    sized = met.join(met.groupBy("pivot").agg(F.count("*").alias("size")), "pivot").join(reps.select("rep", "n", "vec", "many"), "rep")
+    large = cut(met.groupBy("pivot").agg(F.count("*").alias("size")).filter(F.col("size") > min(LEAF, slice_size)))
+    sized = met.join(small(large), "pivot", "left").withColumn("size", F.coalesce("size", F.lit(1))).join(reps.select("rep", "n", "vec", "many"), "rep")
     sized = sized.withColumn("vec", F.when(F.col("size") > LEAF, F.col("many")).otherwise(F.col("vec"))).withColumn("lead", F.lit(1))
     # blocks beyond slice_size members are cut into slices
     sized = sized.withColumn("slices", F.ceil(F.col("size") / slice_size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
