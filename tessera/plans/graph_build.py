@@ -197,11 +197,24 @@ def experiments(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [triples_of(rows.select(*of).distinct(), items) for of, items in parts])
 
 
-def ontology_header(spark, title: str, version: str = "1.0") -> DataFrame:
-    """Static description of the graph itself."""
-    one = spark.range(1)
-    s, dct = V.DATASET_NS.rstrip("/"), "http://purl.org/dc/terms/"
-    return triples_of(one, [iri(s, V.RDF_TYPE, f"{V.OWL}Ontology"), literal(s, f"{dct}title", title), literal(s, f"{V.OWL}versionInfo", version), iri(s, f"{dct}license", "https://creativecommons.org/licenses/by/4.0/")])
+def ontology_header(spark, title: str, version: str = "1.0", base: str = V.DATASET_NS, literals: dict[str, list[str]] | None = None, vocabularies: list[str] | None = None, license: str = "https://creativecommons.org/licenses/by/4.0/", service: str | None = None) -> DataFrame:
+    """What describes the graph itself: identity and version, Dublin Core and schema.org literals, license, access, vocabularies, and its query service.
+
+    literals: further Dublin Core terms (description, creator, created, ...) with their values; vocabularies: namespaces that
+    the graph uses; service: address of the query service.
+    """
+    s = base.rstrip("/#")
+    dct, sdo, dcat, vo = "http://purl.org/dc/terms/", "https://schema.org/", "http://www.w3.org/ns/dcat#", "http://rdfs.org/ns/void#"
+    items = [iri(s, V.RDF_TYPE, t) for t in (f"{V.OWL}Ontology", f"{vo}Dataset", f"{dcat}Dataset")]
+    items += [literal(s, f"{dct}title", title), literal(s, f"{V.OWL}versionInfo", version), iri(s, f"{V.OWL}versionIRI", f"{s}/{version}"), literal(s, f"{vo}uriSpace", base)]
+    items += [literal(s, f"{x}identifier", s) for x in (dct, sdo)] + [iri(s, f"{x}license", license) for x in (dct, sdo)]
+    items += [iri(s, f"{dcat}accessURL", s), iri(s, f"{dcat}downloadURL", f"{s}/api/download/ttl")]
+    items += [literal(s, dct + term, value) for term, values in (literals or {}).items() for value in values]
+    items += [iri(s, f"{vo}vocabulary", x) for x in vocabularies or []]
+    if service:
+        me = f"{s}/service"
+        items += [iri(me, V.RDF_TYPE, f"{dcat}DataService"), iri(me, f"{dcat}endpointURL", service), iri(me, f"{dcat}servesDataset", s), literal(me, V.RDFS_LABEL, f"{title}: query service")]
+    return triples_of(spark.range(1), items)
 
 
 def graph_stats(triples: DataFrame) -> DataFrame:
@@ -224,3 +237,52 @@ def relation_summary(triples: DataFrame, relations: list[tuple[str, str, str]])
     edges = triples.filter(F.col("p").isin([R[r] for _, _, r in relations])).select("s", "p", "o")
     named = edges.join(types, "s").select(F.try_element_at(wanted, F.concat_ws("|", "cls", "p")).alias("association"), "s", "o").filter("association is not null")
     return named.groupBy("association").agg(F.countDistinct(F.struct("s", "o")).alias("n"))
+
+
+#: entities of the build summary; those that are classes are counted below their parent
+ENTITIES = ["gene", "inhibitor", "peptide", "cargo", "complex", "cell_line", "subcellular", "mechanism", "experiment", "document"]
+#: name, class of the subject, relation, what is counted: distinct subjects, objects, or pairs
+ASSOCIATIONS = [
+    ("activator role is attribute of gene", "activator_role", "is_attribute_of", "pair"),
+    ("inhibitor role is attribute of inhibitor", "inhibitor_role", "is_attribute_of", "pair"),
+    ("peptide role is realized in mechanism", "peptide_role", "is_realized_in", "s"),
+    ("cargo role is realized in mechanism", "cargo_role", "is_realized_in", "s"),
+    ("cargo is part of complex", "cargo", "is_part_of", "o"),
+    ("peptide is part of complex", "peptide", "is_part_of", "o"),
+    ("complex is participant in experiment", "complex", "is_participant_in", "s"),
+    ("cell line is participant in experiment", "cell_line", "is_participant_in", "s"),
+    ("complex is located in place", "complex", "is_located_in", "s"),
+    ("experiment is about mechanism", "experiment", "is_about", "s"),
+    ("experiment is described by document", "experiment", "is_described_by", "s"),
+]
+#: name, class of the agent, relation of the process: distinct pairs of agent and mechanism
+REGULATIONS = [("gene positively regulates mechanism", "gene", "positively_regulates"), ("inhibitor negatively regulates mechanism", "inhibitor", "negatively_regulates")]
+
+
+def build_summary(triples: DataFrame) -> DataFrame:
+    """kind (entity, association), name, n of a materialized graph: ten entities and thirteen associations, 0 where there are none.
+
+    Types, subclasses and relations are each read once; counts are distinct.
+    """
+    spark, of = triples.sparkSession, lambda p: triples.filter(F.col("p") == p)
+    classes_of = {V.CLASSES[c]: c for c in ENTITIES}
+    wanted = sorted({*classes_of, *(V.CLASSES[c] for _, c, _, _ in ASSOCIATIONS)})
+    types = of(V.RDF_TYPE).filter(F.col("o").isin(wanted)).select("s", F.col("o").alias("class"))
+    below = of(V.SUB_CLASS_OF).filter(F.col("o").isin(V.CLASSES["subcellular"], V.CLASSES["mechanism"])).select("s", F.col("o").alias("class"))
+    names = F.create_map(*[F.lit(x) for pair in classes_of.items() for x in pair])
+    entities = types.unionByName(below).withColumn("name", F.try_element_at(names, "class")).filter("name is not null").groupBy("name").agg(F.countDistinct("s").alias("n"))
+    kinds = spark.createDataFrame([(V.CLASSES[c], R[r], name, what) for name, c, r, what in ASSOCIATIONS], "class string, p string, name string, what string")
+    edges = triples.filter(F.col("p").isin(sorted({R[r] for _, _, r, _ in ASSOCIATIONS}))).select("s", "p", "o")
+    named = edges.join(types, "s").join(F.broadcast(kinds), ["class", "p"])
+    key = F.when(F.col("what") == "s", F.struct(F.col("s").alias("a"), F.lit("").alias("b"))).when(F.col("what") == "o", F.struct(F.lit("").alias("a"), F.col("o").alias("b"))).otherwise(F.struct(F.col("s").alias("a"), F.col("o").alias("b")))
+    links = named.groupBy("name").agg(F.countDistinct(key).alias("n"))
+    for name, cls, relation in REGULATIONS:
+        agents = of(V.RDF_TYPE).filter(F.col("o") == V.CLASSES[cls]).select(F.col("s").alias("agent"))
+        roles = of(R["has_attribute"]).select(F.col("s").alias("agent"), F.col("o").alias("role"))
+        processes = of(R["is_realized_in"]).select(F.col("s").alias("role"), F.col("o").alias("process"))
+        ends = of(R[relation]).select(F.col("s").alias("process"), F.col("o").alias("mechanism"))
+        pairs = agents.join(roles, "agent").join(processes, "role").join(ends, "process")
+        links = links.unionByName(pairs.agg(F.lit(name).alias("name"), F.countDistinct("agent", "mechanism").alias("n")))
+    every = [("entity", c) for c in ENTITIES] + [("association", x[0]) for x in [*REGULATIONS, *ASSOCIATIONS]]
+    rows = F.broadcast(spark.createDataFrame(every, "kind string, name string"))
+    return rows.join(entities.unionByName(links), "name", "left").select("kind", "name", F.coalesce("n", F.lit(0)).alias("n"))

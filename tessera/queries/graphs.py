@@ -152,7 +152,18 @@ EXP = f"exp as (select distinct l_orderkey || '_' || l_linenumber id, l_partkey,
 add("experiment_triples", lambda s, d: B.experiments(experimental(s, d)).distinct().filter(F.col("p").isin(R["has_participant"], R["is_described_by"])).select("s", "p", "o"), f"with {EXP} select e s, '{R['has_participant']}' p, complex o from exp union select e, '{R['has_participant']}', cell from exp union select e, '{R['is_described_by']}', doc from exp")
 add("feature_literals", lambda s, d: B.feature_literals(T(s, d, "part").selectExpr("p_partkey", "p_name as Sequence", "case when p_size % 2 = 0 then 'NA' else p_type end as Chirality"), F.concat(F.lit(NS), "p_partkey"), ["Sequence", "Chirality"]).select("s", "p", "o"), f"select '{NS}' || p_partkey s, '{V.SCHEMA_NS}sequence' p, p_name o from part union all select '{NS}' || p_partkey, '{V.SCHEMA_NS}chirality', p_type from part where p_size % 2 <> 0")
 add("class_declarations", lambda s, d: B.classes(T(s, d, "region").select(F.concat(F.lit(f"{V.OBO}GO_"), "r_regionkey").alias("iri"), F.col("r_name").alias("label")), K["mechanism"]).filter(F.col("p").endswith("seeAlso")).select("s", "o"), f"select '{V.OBO}GO_' || r_regionkey s, 'https://amigo.geneontology.org/amigo/term/GO:' || r_regionkey o from region")
-add("ontology_header", lambda s, d: B.ontology_header(s, "graph").filter("o_kind = 'lit'").select("p", "o"), f"select * from (values ('http://purl.org/dc/terms/title','graph'), ('{V.OWL}versionInfo','1.0')) t(p, o)")
+HEADER = {"literals": {"description": ["A graph of tables"], "creator": ["A", "B"], "created": ["2026-01-01"]}, "vocabularies": [V.SIO, V.OBO], "service": "http://localhost:8080/api/sparql"}
+ME = NS.rstrip("/")
+_DCT, _DCAT, _VOID, _SDO, _CC = "http://purl.org/dc/terms/", "http://www.w3.org/ns/dcat#", "http://rdfs.org/ns/void#", "https://schema.org/", "https://creativecommons.org/licenses/by/4.0/"
+_HEADER_ROWS = [
+    (ME, V.RDF_TYPE, f"{V.OWL}Ontology"), (ME, V.RDF_TYPE, f"{_VOID}Dataset"), (ME, V.RDF_TYPE, f"{_DCAT}Dataset"), (ME, f"{_DCT}title", "graph"), (ME, f"{V.OWL}versionInfo", "1.0"), (ME, f"{V.OWL}versionIRI", f"{ME}/1.0"),
+    (ME, f"{_VOID}uriSpace", NS), (ME, f"{_DCT}identifier", ME), (ME, f"{_SDO}identifier", ME), (ME, f"{_DCT}license", _CC), (ME, f"{_SDO}license", _CC), (ME, f"{_DCAT}accessURL", ME), (ME, f"{_DCAT}downloadURL", f"{ME}/api/download/ttl"),
+    (ME, f"{_DCT}description", "A graph of tables"), (ME, f"{_DCT}creator", "A"), (ME, f"{_DCT}creator", "B"), (ME, f"{_DCT}created", "2026-01-01"), (ME, f"{_VOID}vocabulary", V.SIO), (ME, f"{_VOID}vocabulary", V.OBO),
+    (f"{ME}/service", V.RDF_TYPE, f"{_DCAT}DataService"), (f"{ME}/service", f"{_DCAT}endpointURL", "http://localhost:8080/api/sparql"), (f"{ME}/service", f"{_DCAT}servesDataset", ME), (f"{ME}/service", V.RDFS_LABEL, "graph: query service"),
+]
+add("ontology_header", lambda s, d: B.ontology_header(s, "graph", **HEADER).select("s", "p", "o"), "select * from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _HEADER_ROWS) + ") t(s, p, o)")
+add("void_description", lambda s, d: Q.void(molecular(s, d)).filter(F.col("p").isin(f"{_VOID}triples", f"{_VOID}properties", f"{_VOID}classes") & (F.col("s") == ME)).select("p", "o"), f"""with {PAIRS_SQL}
+select '{_VOID}triples' p, cast((select count(*) from pairs) * 22 + (select count(*) from part) * 4 + (select count(*) from supplier) * 4 as varchar) o union all select '{_VOID}properties', '10' union all select '{_VOID}classes', cast(7 + 2 * (select count(*) from pairs) as varchar)""")
 add("edges_export", lambda s, d: pairs(s, d).select(F.col("peptide").alias("subject"), F.col("place").alias("object")).distinct(), f"with {PAIRS_SQL} select distinct peptide subject, place \"object\" from pairs")
 add("namespace_histogram", lambda s, d: B.graph_stats(located(s, d).distinct()), f"{LOCATED} select 'rdf' as namespace, count(*) * 3 n from pairs union all select 'owl', count(*) * 2 from pairs union all select 'rdfs', (select count(*) from up) + (select count(*) from labels)")
 # beside complexes and places: the class of complexes, owl:Restriction and the relation, which is an object too
@@ -164,11 +175,12 @@ def _around(s, d):
     """Experiments, and what they name: cell lines and places with labels, and the regulation of mechanisms."""
     line = F.concat(F.lit(f"{NS}cell_"), "c_mktsegment")
     lines = B.triples_of(T(s, d, "customer").select("c_mktsegment").distinct(), B.individual(line, K["cell_line"], F.col("c_mktsegment")))
-    loc = F.concat(F.lit(f"{NS}loc"), "k")
-    locs = B.triples_of(T(s, d, "supplier").select((F.col("s_suppkey") % 4).cast("string").alias("k")).distinct(), [B.literal(loc, V.RDFS_LABEL, F.concat(F.lit("Compartment "), "k"))])
+    named = lambda kind, label, k: [F.concat(F.lit(f"{NS}{kind}"), k).alias("iri"), F.concat(F.lit(f"{label} "), k).alias("label")]
+    locs = B.classes(T(s, d, "supplier").select(*named("loc", "Compartment", (F.col("s_suppkey") % 4).cast("string"))).distinct(), K["subcellular"])
+    mechs = B.classes(T(s, d, "part").select(*named("mech", "Mechanism", (F.col("p_partkey") % 3).cast("string"))).distinct(), K["mechanism"])
     agents = regulation_pairs(s, d).withColumn("pubmed", (F.col("ord") + 10**9).cast("string"))  # no publication of an experiment
     regulated = B.regulation(agents).unionByName(B.regulation(agents, positive=False)).distinct()
-    return B.experiments(experimental(s, d)).unionByName(lines).unionByName(locs).unionByName(regulated)
+    return B.experiments(experimental(s, d)).unionByName(lines).unionByName(locs).unionByName(mechs).unionByName(regulated)
 
 
 def _full(s, d):
@@ -181,6 +193,19 @@ add("association_catalogue", lambda s, d: Q.association_counts(_full(s, d)), f""
 select 'Positively Regulates' as name, n from known union all select 'Negatively Regulates', n from known union all select 'Cargo Role: Is Realized In', (select count(*) from pairs) union all select 'Peptide Role: Is Realized In', (select count(*) from pairs)
 union all select 'Complex: Is Participant In', (select count(distinct complex) from exp) union all select 'Cell Line: Is Participant In', (select count(distinct cell) from exp) union all select 'Delivery Localization', (select count(distinct complex) from exp)""")
 
+_COUNTS = {
+    "gene": "n from known", "inhibitor": "n from known", "peptide": "count(*) from part", "cargo": "count(*) from supplier", "complex": "count(*) from pairs", "cell_line": "count(distinct c_mktsegment) from customer",
+    "subcellular": "count(distinct s_suppkey % 4) from supplier", "mechanism": "count(distinct p_partkey % 3) from part", "experiment": "count(distinct e) from exp", "document": "(select n from known) + count(distinct doc) from exp",
+}
+_LINKS = {
+    "gene positively regulates mechanism": "n from known", "inhibitor negatively regulates mechanism": "n from known", "activator role is attribute of gene": "n from known", "inhibitor role is attribute of inhibitor": "n from known",
+    "peptide role is realized in mechanism": "count(*) from pairs", "cargo role is realized in mechanism": "count(*) from pairs", "cargo is part of complex": "count(*) from pairs", "peptide is part of complex": "count(*) from pairs",
+    "complex is participant in experiment": "count(distinct complex) from exp", "cell line is participant in experiment": "count(distinct cell) from exp", "complex is located in place": "count(distinct complex) from exp",
+    "experiment is about mechanism": "count(distinct e) from exp", "experiment is described by document": "count(distinct e) from exp",
+}
+_SUMMARY = " union all ".join(f"select '{kind}' kind, '{name}' as name, (select {n}) n" for kind, counts in (("entity", _COUNTS), ("association", _LINKS)) for name, n in counts.items())
+add("build_summary", lambda s, d: B.build_summary(_full(s, d)), f"with {PAIRS_SQL}, {EXP}, known as (select count(*) n from nation where n_nationkey % 5 <> 4) {_SUMMARY}")
+
 # paths and patterns
 add("path_plus", lambda s, d: Q.path_plus(hierarchy(s, d), V.SUB_CLASS_OF), f"{LOCATED} select a, b from closed")
 add("path_star", lambda s, d: Q.path_star(hierarchy(s, d), V.SUB_CLASS_OF, f"{NS}Place"), f"{LOCATED} select a, b from closed where b = '{NS}Place' union select '{NS}Place', '{NS}Place'")
