@@ -122,8 +122,11 @@ def allocate(sizes: dict[str, int], total: int, floor: int = 30) -> dict[str, in
 def stratified_sample(df: DataFrame, stratum: str, value: str, sizes: dict[str, int], seed: int) -> DataFrame:
     """The sizes[s] values of each stratum with the smallest seeded hashes: the same on every run and cluster."""
     want = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if sizes else F.create_map().cast("map<string,int>")
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(value)), value)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.coalesce(F.try_element_at(want, F.col(stratum)), F.lit(0))).drop("_rn")
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(value).cast("string")))
+    w = Window.partitionBy(stratum).orderBy(draw, value)
+    # the literal bound lets tasks drop rows before they are shuffled, so a large stratum is no large task
+    first = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(sizes.values(), default=0))
+    return first.filter(F.col("_rn") <= F.coalesce(F.try_element_at(want, F.col(stratum)), F.lit(0))).drop("_rn")
 
 
 class Preprocessor:

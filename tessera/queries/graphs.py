@@ -249,7 +249,7 @@ add("entity_props", lambda s, d: Q.describe(molecular(s, d), f"{NS}part1").selec
 add("resolve_entity", lambda s, d: Q.resolve_entity(hierarchy(s, d), "region1").unionByName(Q.resolve_entity(hierarchy(s, d), "https:/example.org/kg/dataset/nope")), f"select '{NS}region1' iri, true known union all select '{NS}nope', false")
 add("neighborhood", lambda s, d: Q.neighbourhood(hierarchy(s, d), f"{NS}region1", 60, 3), f"select * from (select '{NS}region1' s, '{V.SUB_CLASS_OF}' p, '{NS}Place' o, 'out' direction union all select * from (select '{NS}nation' || n_nationkey s, '{V.SUB_CLASS_OF}' p, '{NS}region1' o, 'in' direction from nation where n_regionkey = 1 order by 1 limit 3))")
 add("entity_turtle", lambda s, d: Q.export(hierarchy(s, d), f"{NS}region1"), f"select '<{NS}region1> <{V.SUB_CLASS_OF}> <{NS}Place> .' as value union all select '<{NS}region1> <{V.RDFS_LABEL}> \"' || r_name || '\" .' from region where r_regionkey = 1")
-add("entity_jsonld", lambda s, d: Q.export(hierarchy(s, d), f"{NS}region1", "jsonld"))
+add("entity_jsonld", lambda s, d: Q.export(hierarchy(s, d), f"{NS}region1", "jsonld"), f"""select '{{"@id":"{NS}region1","@properties":{{"{V.RDFS_LABEL}":[{{"@value":"' || r_name || '"}}],"{V.SUB_CLASS_OF}":[{{"@id":"{NS}Place"}}]}}}}' as value from region where r_regionkey = 1""")
 add("query_preview", lambda s, d: s.createDataFrame([("PushedFilters" in Q.preview(T(s, d, "part").filter("p_size = 3")),)], "pushed boolean"), "select true pushed")
 
 # shapes

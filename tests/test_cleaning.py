@@ -61,3 +61,17 @@ def test_preprocessor_report(spark):
     report = p.validate(columns=["a", "nope"], complete=["a", "b"])
     assert report["n"] == 2 and report["missing a"] == 1 and report["column_missing"] == ["nope"] and report["complete_count"] == 1
     assert [r.Sequence for r in p.filter_valid().df.collect()] == ["AK"]
+
+
+def test_sample_has_the_smallest_draws_of_each_stratum(spark):
+    import hashlib
+
+    from tessera.operators import annotations as A
+
+    rows = [("abc"[i % 3] if i % 10 else None, f"v{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "stratum string, value string")
+    sizes = {"a": 7, "b": 100, "c": 0}
+    draw = lambda v: (hashlib.md5(f"5|{v}".encode()).hexdigest(), v)
+    expected = {(s, v) for s, n in sizes.items() for v in sorted((v for t, v in rows if t == s), key=draw)[:n]}
+    assert {tuple(r) for r in A.stratified_sample(df, "stratum", "value", sizes, 5).collect()} == expected
+    assert A.stratified_sample(df, "stratum", "value", {}, 5).count() == 0
