@@ -11,6 +11,7 @@ SUB_CLASS_OF = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
 ON_PROPERTY = "http://www.w3.org/2002/07/owl#onProperty"
 SOME_VALUES_FROM = "http://www.w3.org/2002/07/owl#someValuesFrom"
 OWL = "http://www.w3.org/2002/07/owl#"
+EXACT_SYNONYM = "http://www.geneontology.org/formats/oboInOwl#hasExactSynonym"
 #: own namespaces of graphs that this engine builds; pass others where needed
 SCHEMA_NS = "https://example.org/kg/schema#"
 DATASET_NS = "https://example.org/kg/dataset/"

@@ -103,6 +103,40 @@ def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("`_rdf:about`").alias("iri"), F.get(F.col("`rdfs:label`"), F.lit(0)).alias("label"), parents.alias("parents")).filter("iri is not null")
 
 
+def read_rdf_xml_triples(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of the classes and individuals of an RDF/XML file: types, labels, synonyms, superclasses, and restrictions
+    (some values from) of classes and individuals as blank nodes, named by a hash of what they say.
+    """
+    from ..plans import graph_build as B
+
+    ref = "struct<`_rdf:resource`: string>"
+    nested = f"array<struct<`_rdf:resource`: string, `owl:Restriction`: struct<`owl:onProperty`: {ref}, `owl:someValuesFrom`: {ref}>>>"
+    text = "array<struct<_VALUE: string, `_xml:lang`: string>>"
+    out = []
+    for tag, link, kind in (("owl:Class", "rdfs:subClassOf", f"{V.OWL}Class"), ("owl:NamedIndividual", "rdf:type", f"{V.OWL}NamedIndividual")):
+        schema = f"`_rdf:about` string, `rdfs:label` {text}, `oboInOwl:hasExactSynonym` {text}, `{link}` {nested}"
+        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).filter(F.col("`_rdf:about`").isNotNull())
+        rows = rows.select(F.col("`_rdf:about`").alias("s"), F.col("`rdfs:label`").alias("labels"), F.col("`oboInOwl:hasExactSynonym`").alias("synonyms"), F.col(f"`{link}`").alias("links"))
+        s, p = F.col("s"), V.SUB_CLASS_OF if link == "rdfs:subClassOf" else V.RDF_TYPE
+        out.append(B.triples_of(rows, [B.iri(s, V.RDF_TYPE, kind)]))
+        for words, name in (("labels", V.RDFS_LABEL), ("synonyms", V.EXACT_SYNONYM)):
+            out.append(_texts(rows.select("s", F.explode(words).alias("x")), name))
+        each = rows.select("s", F.explode("links").alias("x"))
+        out.append(B.triples_of(each, [B.iri(s, p, F.col("x.`_rdf:resource`"))]))
+        some = each.select("s", F.col("x.`owl:Restriction`.`owl:onProperty`.`_rdf:resource`").alias("on"), F.col("x.`owl:Restriction`.`owl:someValuesFrom`.`_rdf:resource`").alias("v")).na.drop("any")
+        b = B.bnode(s, F.col("on"), F.col("v"))
+        part = lambda a, q, o, a_kind, o_kind: F.struct(a.alias("s"), F.lit(q).alias("p"), o.alias("o"), F.lit(a_kind).alias("s_kind"), F.lit(o_kind).alias("o_kind"), *B._none())
+        out.append(B.triples_of(some, [part(s, p, b, "iri", "bnode"), part(b, V.RDF_TYPE, F.lit(f"{V.OWL}Restriction"), "bnode", "iri"), part(b, V.ON_PROPERTY, F.col("on"), "bnode", "iri"), part(b, V.SOME_VALUES_FROM, F.col("v"), "bnode", "iri")]))
+    return B.union(out)
+
+
+def _texts(found: DataFrame, p: str) -> DataFrame:
+    """Literals of s and x (text and language)."""
+    none = F.lit(None).cast("string")
+    rows = found.select("s", F.lit(p).alias("p"), F.col("x._VALUE").alias("o"), F.lit("iri").alias("s_kind"), F.lit("lit").alias("o_kind"), F.col("x.`_xml:lang`").alias("o_lang"), none.alias("o_dt"))
+    return rows.filter("o is not null and trim(o) <> ''")
+
+
 # -- triples
 
 NT = r'^(<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|_:(\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
@@ -239,7 +273,7 @@ def local_names(lines: DataFrame, pattern: str) -> DataFrame:
 
 
 def load_graph(spark: SparkSession, paths: list[str], remote: Callable[[], DataFrame] | None = None) -> DataFrame:
-    """The first graph file that exists (N-Triples, or Turtle by its suffix), else the remote one."""
+    """The first graph file that exists (N-Triples, or Turtle or RDF/XML by its suffix), else the remote one."""
     found = first_existing(spark, paths)
     if found is None:
         if remote is None:
@@ -247,6 +281,8 @@ def load_graph(spark: SparkSession, paths: list[str], remote: Callable[[], DataF
         return remote()
     if found.endswith(".ttl"):
         return turtle_to_triples(spark, "\n".join(r[0] for r in spark.read.text(found, wholetext=True).toLocalIterator()))
+    if found.endswith((".owl", ".rdf", ".xml")):
+        return read_rdf_xml_triples(spark, found)
     return read_ntriples(spark, found)
 
 

@@ -38,6 +38,35 @@ def write_graph(triples: DataFrame, path: str) -> None:
     ntriples(triples).write.mode("overwrite").text(path)
 
 
+RDF_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+
+
+def rdf_xml(triples: DataFrame) -> DataFrame:
+    """value: an RDF/XML description for each triple; predicates that end in no XML name are left out, as the format has none for them."""
+    escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    name = F.regexp_extract("p", r"([A-Za-z_][A-Za-z0-9_.-]*)$", 1)
+    space = F.substr(F.col("p"), F.lit(1), F.length("p") - F.length(name))
+    node = lambda kind, value, iri: F.when(F.col(kind) == "bnode", F.concat(F.lit(' rdf:nodeID="b'), F.replace(F.substr(F.col(value), F.lit(3)), F.lit(":"), F.lit("_")), F.lit('"'))).otherwise(F.concat(F.lit(f' rdf:{iri}="'), escape(F.col(value)), F.lit('"')))
+    tag = F.concat(F.lit("<n:"), name, F.lit(' xmlns:n="'), escape(space), F.lit('"'))
+    said = F.concat(F.coalesce(F.concat(F.lit(' xml:lang="'), "o_lang", F.lit('"')), F.concat(F.lit(' rdf:datatype="'), escape(F.col("o_dt")), F.lit('"')), F.lit("")), F.lit(">"), escape(F.col("o")), F.lit("</n:"), name, F.lit(">"))
+    body = F.when(F.col("o_kind") == "lit", F.concat(tag, said)).otherwise(F.concat(tag, node("o_kind", "o", "resource"), F.lit("/>")))
+    return triples.filter(name != "").select(F.concat(F.lit("<rdf:Description"), node("s_kind", "s", "about"), F.lit(">"), body, F.lit("</rdf:Description>")).alias("value"))
+
+
+def write_rdf_xml(triples: DataFrame, path: str) -> None:
+    """A folder of RDF/XML documents, one for each partition."""
+
+    def document(batches):
+        import pyarrow as pa
+
+        one = lambda x: pa.RecordBatch.from_arrays([pa.array([x])], names=["value"])
+        yield one(RDF_HEAD)
+        yield from batches
+        yield one("</rdf:RDF>")
+
+    rdf_xml(triples).mapInArrow(document, "value string").write.mode("overwrite").text(path)
+
+
 def write_materialized(asserted: DataFrame, materialized: DataFrame, path: str) -> int:
     """Saves the larger graph; raises if nothing was inferred. Returns the number of inferred triples."""
     inferred = materialized.count() - asserted.count()

@@ -234,3 +234,32 @@ def test_sparql_beyond_joins(spark):
     assert ask("SELECT DISTINCT ?s WHERE { ?s <x:k> ?l MINUS { ?t <x:n> ?n } }") == [("x:a",)]
     assert ask("ASK { ?s <x:n> '7' }") == [(True,)] and ask("ASK WHERE { ?s <x:n> '8' }") == [(False,)]
     assert ask("SELECT (STRBEFORE(?s, ':') AS ?h) (STRAFTER(?s, ':') AS ?t) (SUBSTR(?s, 3) AS ?u) WHERE { ?s <x:n> ?n }") == [("x", "c", "c")]
+
+
+def test_rdf_xml_in_and_out(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    text = """<rdf:RDF xmlns:rdf="r" xmlns:owl="o" xmlns:rdfs="s" xmlns:oboInOwl="b">
+    <owl:Class rdf:about="http://x/A"><rdfs:label xml:lang="en">a</rdfs:label><oboInOwl:hasExactSynonym>aa</oboInOwl:hasExactSynonym></owl:Class>
+    <owl:Class rdf:about="http://x/B"><rdfs:label>b</rdfs:label><rdfs:subClassOf rdf:resource="http://x/A"/>
+      <rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="http://x/p"/><owl:someValuesFrom rdf:resource="http://x/C"/></owl:Restriction></rdfs:subClassOf></owl:Class>
+    <owl:NamedIndividual rdf:about="http://x/i"><rdf:type rdf:resource="http://x/B"/></owl:NamedIndividual></rdf:RDF>"""
+    (tmp_path / "g.owl").write_text(text)
+    g = readers.load_graph(spark, [f"file://{tmp_path}/g.owl"])
+    rows = {(r.s, r.p, "_" if r.o_kind == "bnode" else r.o, r.o_lang) for r in g.collect() if not r.s.startswith("_:")}
+    sub, typ = V.SUB_CLASS_OF, V.RDF_TYPE
+    assert rows == {
+        ("http://x/A", typ, f"{V.OWL}Class", None), ("http://x/B", typ, f"{V.OWL}Class", None), ("http://x/A", V.RDFS_LABEL, "a", "en"), ("http://x/B", V.RDFS_LABEL, "b", None), ("http://x/A", V.EXACT_SYNONYM, "aa", None),
+        ("http://x/B", sub, "http://x/A", None), ("http://x/B", sub, "_", None), ("http://x/i", typ, f"{V.OWL}NamedIndividual", None), ("http://x/i", typ, "http://x/B", None),
+    }
+    held = {(r.p, r.o) for r in g.collect() if r.s.startswith("_:")}
+    assert held == {(typ, f"{V.OWL}Restriction"), (V.ON_PROPERTY, "http://x/p"), (V.SOME_VALUES_FROM, "http://x/C")}
+    more = g.unionByName(spark.createDataFrame([("http://x/A?a=1&b", "http://x/q#z", 'a < "b" & c', "iri", "lit", None, "http://x/t")], TRIPLE))
+    writers.write_rdf_xml(more.repartition(2), f"file://{tmp_path}/out")
+    back = set()
+    for part in (tmp_path / "out").glob("part-*"):
+        for d in ET.fromstring(part.read_text()):
+            ns = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+            (one,) = d
+            back.add((d.get(f"{ns}about") or "_:" + d.get(f"{ns}nodeID")[1:], one.tag[1:].replace("}", ""), one.get(f"{ns}resource") or (one.get(f"{ns}nodeID") and "_:" + one.get(f"{ns}nodeID")[1:]) or one.text))
+    assert back == {(r.s, r.p, r.o) for r in more.collect()}
