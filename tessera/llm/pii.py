@@ -12,7 +12,8 @@ Each is replaced by a surrogate of its own type:
   surrogate, one entity gets the same everywhere, in whatever task, and none
   gets itself. Values that must stay in a set (valid octets) walk along the
   cycle until they are in it.
-- card and IBAN check digits are made anew, so surrogates stay valid.
+- cards keep their issuer's prefix; card and IBAN check digits are made anew, so
+  surrogates stay valid.
 - phone numbers keep country code and punctuation; the digits alone decide, so
   one number in two notations stays one number.
 - names keep gender and script: known given names are permuted within the table
@@ -113,8 +114,13 @@ def luhn(digits: str) -> int:
 ISSUERS = [("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("36", "36", (14,)), ("38", "39", (14,)), ("6011", "6011", (16, 19)), ("644", "649", (16, 19)), ("65", "65", (16, 19))]
 
 
+def issuer(digits: str) -> int:
+    """The length of the issuer's prefix; 0 where there is none of this length."""
+    return next((len(a) for a, b, sizes in ISSUERS if a <= digits[: len(a)] <= b and len(digits) in sizes), 0)
+
+
 def is_card(digits: str) -> bool:
-    return any(a <= digits[: len(a)] <= b and len(digits) in sizes for a, b, sizes in ISSUERS) and luhn(digits) == 0
+    return issuer(digits) > 0 and luhn(digits) == 0
 
 
 def iban_number(text: str) -> int:
@@ -215,10 +221,11 @@ def surrogate(keyed: Keyed, kind: str, found: str) -> str:
     """The replacement of one entity (names: see Document)."""
     digits = re.sub(r"\D", "", found)
     if kind == "card":
-        body = keyed.text("card" + digits[0], digits[1:-1])
+        head = digits[: issuer(digits)]
+        body = keyed.text("card" + head, digits[len(head) : -1])
         for check in "0123456789":
-            if luhn(digits[0] + body + check) == 0:
-                return _refill(found, digits[0] + body + check)
+            if luhn(head + body + check) == 0:
+                return _refill(found, head + body + check)
     if kind == "phone":
         country = re.match(r"\+(\d{1,3})[ .(-]", found)
         skip = len(country[1]) if country else min(2, len(digits) - 7) if found[0] == "+" else 0

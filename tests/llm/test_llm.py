@@ -461,6 +461,17 @@ def test_surrogates_are_distinct_and_clean_texts_stay(spark):
     assert pii.cleaned(docs(spark, EDGES), "x").columns == ["doc_id", "text", "source", "score", "n"]
 
 
+def test_cards_stay_with_their_issuer():
+    k = pii.Keyed("x")
+    for card in ("4111 1111 1111 1111", "5105105105105100", "2223003122003222", "3782-822463-10005", "6011111111111117", "30569309025904", "36148900647913"):
+        new, kinds = pii.replaced(k, f"pay {card} now")
+        if kinds:
+            a, b = (re.sub(r"\D", "", x) for x in (card, new))
+            assert pii.is_card(b) and a != b and a[: pii.issuer(a)] == b[: pii.issuer(a)] and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"pay {card} now")
+        else:
+            assert not pii.is_card(re.sub(r"\D", "", card))
+
+
 def test_names_are_distinct_and_one_in_all_documents():
     k = pii.Keyed("x")
     words = ["".join(w) for n in (2, 3) for w in itertools.product("abcdefgh", repeat=n)] + ["Müller", "Muller", "O'Neil", "Oneil", "Jean-Luc", "Иванов", "Петров", "Παππας"]
