@@ -83,6 +83,19 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once, for the operators that run Python there, and bounds their batches.
 
