@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import ship
+from ..plans.runtime import ship, trim
 from .bytewords import _BYTE, _MUL, Words, chunks, mix
 
-BUCKETS, DIM, NGRAMS = 1 << 16, 16, (2, 3, 4)
+BUCKETS, DIM, NGRAMS = 1 << 16, 16, (2, 3, 4)  # bucket numbers fit 16 bits
 MAX_FIT, EPOCHS, RATE = 6000, 5, 0.6
 CUT = 0.3
 REPEAT = 0  # the bucket of a repeated word
@@ -102,15 +102,15 @@ class Model:
         return np.concatenate(scores) if scores else np.zeros(0)
 
 
-def _documents(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct buckets and their shares."""
+def _documents(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Each text's distinct buckets, how often it has them (in as few bytes as hold them), and the sum of that."""
     out = []
     for _, _, raw, offsets in chunks(texts):
         words = Words(raw, offsets, "space", lower=False)
         for r in range(len(offsets) - 1):
             own = np.arange(words.first[r], words.first[r + 1])
             if not len(own):
-                out.append((np.zeros(0, np.int64), np.zeros(0)))
+                out.append((np.zeros(0, np.uint16), np.zeros(0, np.uint8), 1.0))
                 continue
             _, pick, counts = np.unique(words.hash[own], return_index=True, return_counts=True)
             feats, lens = _word_features(words, own[pick])
@@ -118,8 +118,8 @@ def _documents(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             a, b = words.hash[own[:-1]], words.hash[own[1:]]
             pairs = np.where(a == b, REPEAT, _bucket(mix(a * _MUL + b)))
             ids, back = np.unique(np.r_[feats, pairs], return_inverse=True)
-            w = np.bincount(back, np.r_[weight, np.ones(len(pairs))])
-            out.append((ids.astype(np.int32), (w / w.sum()).astype(np.float32)))
+            n = np.bincount(back, np.r_[weight, np.ones(len(pairs))])
+            out.append((ids.astype(np.uint16), n.astype(np.min_scalar_type(int(n.max()))), float(n.sum())))
     return out
 
 
@@ -137,7 +137,8 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
     steps, done = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(docs)):
-            ids, w = docs[i]
+            ids, n, total = docs[i]
+            w = (n / total).astype(np.float32)
             rate = RATE * (1 - done / steps)
             done += 1
             rows = table[ids]
@@ -164,7 +165,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit:
         .limit(max_fit)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
-    return fit(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(int))
+    model = fit(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(int))
+    del rows
+    trim()
+    return model
 
 
 def held_out(doc_id: Column) -> Column:
