@@ -263,3 +263,37 @@ def test_rdf_xml_in_and_out(spark, tmp_path):
             (one,) = d
             back.add((d.get(f"{ns}about") or "_:" + d.get(f"{ns}nodeID")[1:], one.tag[1:].replace("}", ""), one.get(f"{ns}resource") or (one.get(f"{ns}nodeID") and "_:" + one.get(f"{ns}nodeID")[1:]) or one.text))
     assert back == {(r.s, r.p, r.o) for r in more.collect()}
+
+
+def test_graph_of_parts_gives_what_a_table_of_triples_gives(spark):
+    rows = spark.createDataFrame([("x", "m"), ("y", "n"), ("z", None), (None, "m")], "s string, o string")
+    s, o = F.col("s"), F.col("o")
+    up = B.triples_of(spark.createDataFrame([("m", "top"), ("C", "D")], "s string, o string"), [B.iri(s, V.SUB_CLASS_OF, o)])
+    parts = B.together(B.triples_of(rows, [B.iri(s, V.RDF_TYPE, "C"), B.literal(s, V.RDFS_LABEL, o), *B.some_values(s, "is_about", o)]), up)
+    table = spark.createDataFrame(parts.collect(), TRIPLE)
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    for p in (V.RDF_TYPE, V.RDFS_LABEL, V.ON_PROPERTY, V.SOME_VALUES_FROM, V.SUB_CLASS_OF, "none"):
+        assert same(B.of(parts, p), B.of(table, p))
+    assert same(B.of(parts, V.RDF_TYPE, "C"), B.of(table, V.RDF_TYPE, "C"))
+    assert same(Q.restricted_to(parts, "is_about", "top"), Q.restricted_to(table, "is_about", "top"))
+    (full, counts), (full_table, counts_table) = reasoner.materialize(parts), reasoner.materialize(table)
+    assert same(full.distinct(), full_table.distinct()) and same(counts, counts_table)
+    assert same(B.of(full, V.RELATIONS["is_about"]), B.of(full_table, V.RELATIONS["is_about"])) and same(B.of(full, V.RDF_TYPE, "D").distinct(), B.of(full_table, V.RDF_TYPE, "D"))
+    # restrictions of a table beside parts, and a foreign restriction of a subject of the parts
+    foreign = graph(spark, [("x", V.RDF_TYPE, "_:q"), ("_:q", V.ON_PROPERTY, "p"), ("_:q", V.SOME_VALUES_FROM, "W"), ("v", V.RDF_TYPE, "_:u"), ("_:u", V.ON_PROPERTY, V.RELATIONS["is_about"]), ("_:u", V.SOME_VALUES_FROM, "m")])
+    both = B.together(parts, foreign)
+    assert same(reasoner.unfold_restrictions(both), reasoner.unfold_restrictions(spark.createDataFrame(both.collect(), TRIPLE)))
+
+
+def test_graph_queries_build_only_what_they_name(spark, sf):
+    from tessera.queries.graphs import located, molecular
+
+    assert "sha2" not in Q.preview(Q.browse(molecular(spark, sf), V.CLASSES["peptide"], "ring", 2, 20)[0])
+    assert "lineitem" not in Q.preview(B.of(located(spark, sf), V.SUB_CLASS_OF)) and "pairs-" not in Q.preview(B.of(located(spark, sf), V.SUB_CLASS_OF))
+    assert "sha2" not in Q.preview(Q.subsumption(B.together(molecular(spark, sf)), "is_realized_in", "x"))  # stated by rows, not joined by blank nodes
+
+
+def test_unique_keeps_what_rows_state(spark):
+    rows = spark.createDataFrame([("x", "m"), ("x", "m")], "s string, o string")
+    g = B.unique(B.triples_of(rows, [B.iri(F.col("s"), V.RDF_TYPE, "C"), *B.some_values(F.col("s"), "is_about", F.col("o"))]))
+    assert g.count() == 5 and reasoner.unfold_restrictions(g).count() == 1
