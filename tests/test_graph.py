@@ -297,3 +297,13 @@ def test_unique_keeps_what_rows_state(spark):
     rows = spark.createDataFrame([("x", "m"), ("x", "m")], "s string, o string")
     g = B.unique(B.triples_of(rows, [B.iri(F.col("s"), V.RDF_TYPE, "C"), *B.some_values(F.col("s"), "is_about", F.col("o"))]))
     assert g.count() == 5 and reasoner.unfold_restrictions(g).count() == 1
+
+
+def test_dense_search_holds_few_scores_and_finds_the_same(spark, sf, monkeypatch):
+    from tessera.queries.links import vectors
+
+    assert all(s.stop - s.start <= max(1, linking.MAX_SCORES // 10_000) for s in linking.tiles(20_000, 10_000))
+    assert [i for s in linking.tiles(7, 400_000) for i in range(7)[s]] == list(range(7))
+    whole = sorted(map(tuple, linking.dense_topk(*vectors(spark, sf), k=3).collect()))
+    monkeypatch.setattr(linking, "tiles", lambda queries, n: [slice(i, i + 3) for i in range(0, queries, 3)])
+    assert sorted(map(tuple, linking.dense_topk(*vectors(spark, sf), k=3).collect())) == whole
