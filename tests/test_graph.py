@@ -299,6 +299,18 @@ def test_unique_keeps_what_rows_state(spark):
     assert g.count() == 5 and reasoner.unfold_restrictions(g).count() == 1
 
 
+def test_shuffles_start_with_more_partitions_for_larger_tables(spark, sf, monkeypatch):
+    from tessera.plans import runtime
+
+    before = spark.conf.get(runtime.INITIAL_CONF, None)
+    monkeypatch.setattr(runtime, "SPREAD_BYTES", 1000)
+    runtime.table(spark, sf, "lineitem")
+    try:
+        assert int(spark.conf.get(runtime.INITIAL_CONF)) > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set(runtime.INITIAL_CONF, before) if before else spark.conf.unset(runtime.INITIAL_CONF)
+
+
 def test_dense_search_holds_few_scores_and_finds_the_same(spark, sf, monkeypatch):
     from tessera.queries.links import vectors
 
