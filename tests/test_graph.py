@@ -370,4 +370,5 @@ def test_counts_by_names_shuffle_no_iris(spark, sf):
 
     assert "Exchange" not in Q.preview(reasoner.unfold_restrictions(located(spark, sf)))
     assert "hashpartitioning" not in Q.preview(B.relation_summary(molecular(spark, sf), [("complex has part", "complex", "has_part")]))
+    assert "SortMergeJoin" not in Q.preview(Q.located_below(located(spark, sf), "https://example.org/top")) and "hashpartitioning(value" not in Q.preview(Q.located_below(located(spark, sf), "https://example.org/top"))
     assert "pairs-" not in Q.preview(Q.describe(molecular(spark, sf), "https://example.org/elsewhere"))
