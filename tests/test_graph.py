@@ -372,3 +372,42 @@ def test_counts_by_names_shuffle_no_iris(spark, sf):
     assert "hashpartitioning" not in Q.preview(B.relation_summary(molecular(spark, sf), [("complex has part", "complex", "has_part")]))
     assert "SortMergeJoin" not in Q.preview(Q.located_below(located(spark, sf), "https://example.org/top")) and "hashpartitioning(value" not in Q.preview(Q.located_below(located(spark, sf), "https://example.org/top"))
     assert "pairs-" not in Q.preview(Q.describe(molecular(spark, sf), "https://example.org/elsewhere"))
+
+
+def test_queries_make_only_the_rows_that_they_read(spark, sf):
+    from tessera.queries.graphs import _full, molecular
+
+    full, ns = _full(spark, sf), V.DATASET_NS
+    plan = lambda df: Q.preview(df)
+    assert not any(x in plan(Q.FACETS["sequence"](full, "RING")) for x in ("lineitem", "pairs-", "experiments-"))
+    for facet, term in (("mechanism", f"{ns}mech1"), ("cargo", f"{ns}supp3"), ("cargo", "type 1")):  # lines once, not pairs by pairs
+        found = plan(Q.FACETS[facet](full, term))
+        assert "pairs-" not in found and "experiments-" not in found and "sha2" not in found
+    assert "pairs-" not in plan(Q.describe(molecular(spark, sf), f"{ns}part1"))
+    for facet, term in (("cell_line", f"{ns}cell_BUILDING"), ("doc_id", "pubmed:1")):
+        found = plan(Q.FACETS[facet](full, term))
+        assert "experiments-" in found and "pairs-" not in found and "lineitem" not in found and "hashpartitioning(l_orderkey" not in found
+
+
+@pytest.mark.parametrize("decided", [True, False])
+def test_filters_pass_over_only_where_the_node_decides(spark, decided):
+    """Experiments of several lines: with a cell line for each order, and with several for one."""
+    n = lambda kind, *c: B.name(V.DATASET_NS + kind, *c)
+    a, b = B.Num("a"), B.Num("b")
+    names = {"complex": n("c", a, "_", b), "peptide": n("part", a), "cargo": n("supp", b), "mechanism": n("mech", B.Num("m"))}
+    line = {"experiment": n("experiment_", B.Num("order"), "_", B.Num("line")), "complex": names["complex"], "mechanism": names["mechanism"], "location": n("loc", B.Num("m")), "cell_line": n("cell_", B.ANY)}
+    cells = ["x", "x", "y", "x"] if decided else ["x", "y", "y", "x"]
+    lines = [(1, 1, 1, 1), (1, 1, 2, 1), (2, 1, 3, 1), (3, 1, 4, 9)]  # the last one's cargo is not known
+    rows = spark.createDataFrame([(*x, 0, f"{V.DATASET_NS}cell_{c}", "12", None) for x, c in zip(lines, cells, strict=True)], "order long, line long, a long, b long, m long, cell_line string, pubmed string, patent string")
+    known = lambda df: df.filter("b < 9").withColumn("m", F.lit(0).cast("long"))
+    origin = B.Origin(("lines",), ("a", "b"))
+    pairs = known(rows.select("a", "b").distinct())
+    loose = B.Loose(known(rows.select("a", "b")), ("a", "b", "m"), origin=origin._replace(all=known))
+    fixed = {"m": frozenset({"a"}), **({"cell_line": frozenset({"order"}), "_doc": frozenset({"order"})} if decided else {})}
+    peptides = B.triples_of(spark.range(1, 5), B.individual(n("part", B.Num("id")), V.CLASSES["peptide"]))
+    labels = B.triples_of(spark.range(1), B.individual(f"{V.DATASET_NS}cell_x", V.CLASSES["cell_line"], F.lit("Cell X")))
+    full = reasoner.materialized(B.together(B.complexes(pairs, names, ("a", "b"), loose), peptides, labels, B.experiments(rows, line, lambda: fixed, origin)))
+    table = spark.createDataFrame(full.collect(), TRIPLE)
+    for facet, term, found in (("cell_line", f"{V.DATASET_NS}cell_x", {1, 2}), ("cell_line", "cell x", {1, 2}), ("doc_id", "pubmed:12", {1, 2, 3}), ("subcell", f"{V.DATASET_NS}loc0", {1, 2, 3})):
+        got = [sorted(r[0] for r in Q.FACETS[facet](t, term).collect()) for t in (full, table)]
+        assert got[0] == got[1] == [f"{V.DATASET_NS}part{k}" for k in sorted(found)]
