@@ -374,6 +374,26 @@ def test_counts_by_names_shuffle_no_iris(spark, sf):
     assert "pairs-" not in Q.preview(Q.describe(molecular(spark, sf), "https://example.org/elsewhere"))
 
 
+def test_pairs_are_shuffled_as_one_number(spark, sf):
+    from tessera.plans import names, runtime
+    from tessera.queries.graphs import pair_keys
+
+    odd = [(a, b) for a in (0, 7, -1, 2**39 - 1, 2**39, 2**62, None) for b in (0, 3, 2**24 - 1, 2**24, -5, None)]
+    got = names.distinct_pairs(spark.createDataFrame(odd * 2, "a long, b long"))
+    assert len(got.collect()) == len(odd) and {tuple(r) for r in got.collect()} == set(odd)
+    assert names.distinct_pairs(spark.createDataFrame([(1, 2), (1, 2)], "a int, b long")).schema.simpleString() == "struct<a:int,b:bigint>"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey")
+    assert "hashpartitioning(k" in Q.preview(names.distinct_pairs(lines)) and "IsNull(l_partkey)" in Q.preview(names.distinct_pairs(lines))
+    before = spark.conf.get(runtime.ADVISORY_CONF)
+    t = runtime.stored(lines, order=("l_partkey", "l_suppkey"))
+    assert spark.conf.get(runtime.ADVISORY_CONF) == before and t.count() == lines.count()
+    for rows in (t, pair_keys(spark, sf)):  # each file is in order
+        of_file = {}
+        for f, *key in rows.select(F.input_file_name(), "l_partkey", "l_suppkey").collect():
+            of_file.setdefault(f, []).append(key)
+        assert all(x == sorted(x) for x in of_file.values())
+
+
 def test_queries_make_only_the_rows_that_they_read(spark, sf):
     from tessera.queries.graphs import _full, molecular
 
