@@ -394,6 +394,17 @@ def test_pairs_are_shuffled_as_one_number(spark, sf):
         assert all(x == sorted(x) for x in of_file.values())
 
 
+def test_distinct_numbers_are_shuffled_as_words(spark, sf):
+    from tessera.plans import names
+    from tessera.queries.graphs import molecular
+
+    for kind, numbers in (("long", [0, 1, 63, 64, -1, -64, -65, 2**62, -(2**63), 2**63 - 1]), ("int", [0, 5, -7, 2**31 - 1, -(2**31)])):
+        got = names.distinct_numbers(spark.createDataFrame([(x,) for x in numbers * 2], f"x {kind}"))
+        assert sorted(r.x for r in got.collect()) == sorted(numbers) and dict(got.dtypes)["x"] == {"long": "bigint"}.get(kind, kind)
+    plan = Q.preview(Q.path_seq(molecular(spark, sf), V.RELATIONS["is_part_of"], V.RELATIONS["has_part"]))
+    assert "hashpartitioning(w" in plan and "hashpartitioning(l_partkey" not in plan and "hashpartitioning(l_suppkey" not in plan
+
+
 def test_queries_make_only_the_rows_that_they_read(spark, sf):
     from tessera.queries.graphs import _full, molecular
 
